@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup as x6
+from . import secret_scan as x4
 from .common import table
 from .token_counts import token_counts
 
@@ -13,9 +15,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x4.report(x4.scan_paths(table(spark, sf_dir, "documents")))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x6.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts}
+    return {f.__name__: f for f in (op1_token_counts, op4_secret_scan, op6_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_secret_scan": x4.ORACLE, "op6_exact_dedup": x6.ORACLE}
