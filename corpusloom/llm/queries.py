@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as x6
 from . import secret_scan as x4
+from . import near_dedup as x9
 from .common import table
 from .token_counts import token_counts
 
@@ -23,8 +24,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x6.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x9.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op4_secret_scan, op6_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op4_secret_scan, op6_exact_dedup, op9_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
