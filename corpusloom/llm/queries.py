@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import exact_dedup as x6
 from . import secret_scan as x4
 from . import near_dedup as x9
+from . import ann as x8
+from . import sentencepiece_codec as x2
 from .common import table
 from .token_counts import token_counts
 
@@ -28,8 +30,16 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x9.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x8.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x2.encoded_and_checked(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op4_secret_scan, op6_exact_dedup, op9_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op4_secret_scan, op6_exact_dedup, op8_nearest, op9_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
