@@ -10,6 +10,8 @@ from . import secret_scan as x4
 from . import near_dedup as x9
 from . import ann as x8
 from . import sentencepiece_codec as x2
+from . import line_dedup as x3
+from . import mixing as x10
 from .common import table
 from .token_counts import token_counts
 
@@ -38,9 +40,17 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x2.encoded_and_checked(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x3.line_dedup(table(spark, sf_dir, "pages"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x10.mixture(table(spark, sf_dir, "documents")).selectExpr("doc_id", "mix_domain as domain", "mix_lang as lang", "mix_source as source", "mix_tokens as tokens", "mix_epochs as n_epochs")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op4_secret_scan, op6_exact_dedup, op8_nearest, op9_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_line_dedup, op4_secret_scan, op6_exact_dedup, op8_nearest, op9_near_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": x4.ORACLE, "op6_exact_dedup": x6.ORACLE}
+    return {"op3_line_dedup": x3.ORACLE, "op4_secret_scan": x4.ORACLE, "op6_exact_dedup": x6.ORACLE, "op10_mixing": x10.ORACLE}
