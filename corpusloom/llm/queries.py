@@ -12,6 +12,8 @@ from . import ann as x8
 from . import sentencepiece_codec as x2
 from . import line_dedup as x3
 from . import mixing as x10
+from . import pii as x5
+from . import quality as x7
 from .common import table
 from .token_counts import token_counts
 
@@ -48,8 +50,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x10.mixture(table(spark, sf_dir, "documents")).selectExpr("doc_id", "mix_domain as domain", "mix_lang as lang", "mix_source as source", "mix_tokens as tokens", "mix_epochs as n_epochs")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x5.pseudonymised(table(spark, sf_dir, "documents"), "corpusloom")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return x7.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_line_dedup, op4_secret_scan, op6_exact_dedup, op8_nearest, op9_near_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_line_dedup, op4_secret_scan, op5_pii, op6_exact_dedup, op7_quality, op8_nearest, op9_near_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
