@@ -68,3 +68,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def take_kept(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that a deduplication keeps, with all their columns.
+
+    labelled: (id_col, text_sha256, kept), a row for each row of docs. The texts are not shuffled while the dropped rows are few
+    enough to broadcast. The digest only tells rows of one id apart. Of repeated rows of which one is kept, one is taken.
+    """
+    from .components import bounded
+
+    rows = labelled.where("not kept").select(id_col, "text_sha256").distinct().withColumn("gone", F.lit(True))
+    kept = labelled.where("kept").select(id_col, "text_sha256").withColumn("gone", F.lit(False))
+    both = rows.unionByName(kept.alias("k").join(rows.alias("r"), F.col(f"k.{id_col}").eqNullSafe(F.col(f"r.{id_col}")) & (F.col("k.text_sha256") == F.col("r.text_sha256")), "left_semi"))
+    marks = materialize(both.groupBy(id_col, "text_sha256").agg(F.min("gone").alias("gone")).toDF("_id", "_sha", "_gone"), "marks")
+    named = docs.withColumn("_text_sha", F.sha2(text_or_empty(text_col), 256))
+    met = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
+    out = named.join(bounded(marks, 200_000), met, "left_anti").drop("_text_sha")
+    once = marks.where("not _gone")
+    if not once.isEmpty():
+        repeated = named.join(bounded(once, 200_000), met, "left_semi").dropDuplicates([id_col, "_text_sha"])
+        out = out.unionByName(repeated.drop("_text_sha"))
+    return out
