@@ -28,9 +28,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         both = e.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(e.select(F.col("b").alias("node"), F.col("a").alias("to")))
         step = materialize(both.groupBy("node").agg(F.least("node", F.min("to")).alias("up")), "steps")
-        # one jump along the new pointers
-        jump = bounded(step)
-        step = materialize(step.alias("s").join(jump.alias("t"), F.expr("s.up = t.node"), "left").select("s.node", F.coalesce("t.up", "s.up").alias("up")), "jumps")
         near = bounded(step)
         if labels is None:
             labels = step.select("node", F.col("up").alias("comp"))

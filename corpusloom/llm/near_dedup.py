@@ -1,9 +1,12 @@
 """Near-duplicate classes by BagMinHash: sketch, band, verify on the multisets of word shingles, and connect.
 
-Equal texts are one node from the start. Within a bucket no pairs are listed: its members are compared with one leader. A member
-that is similar to it is linked and needs no more, the others go on to the next leader. What may still link an unsimilar member
-to a similar one is kept exactly by the triangle inequality of the Jaccard distance: only members whose distances to the leader
-differ by at most 1 - threshold are compared, and only if they are in different components so far.
+Equal texts are one node from the start. Within a bucket no pairs are listed:
+
+1. Each member is compared with one leader, first by signature, then exactly, and linked to it if similar.
+2. Where the components so far still divide a bucket, its members outside the leader's component are compared with all the
+   others, block by block: a row holds two bounded blocks of signatures, and only pairs of different components whose signatures
+   agree come out of it, the most similar first. They are verified as well, and the components joined, before less similar ones
+   are looked at; the last round takes all that are left. So no link that could join two components is lost, however large the bucket.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +24,13 @@ from .components import bounded, connected_components
 from .common import discard, materialize, small_batches, text_or_empty
 
 #: A link at the threshold is missed with a probability of (1 - 0.8 ** 5) ** 25 = 5e-5.
-COMPONENTS, BANDS, ROWS = 128, 25, 5
+COMPONENTS, BANDS, ROWS = 512, 25, 5
+#: Signatures that agree less are not verified: four standard deviations (sqrt(0.8 * 0.2 / 512)) below the threshold.
+LEAST_AGREEMENT = 0.07
+#: Members of a block, about.
+BLOCK = 500
+#: Best partners in each block that a member offers, round by round; the last round takes all that are still in other components.
+BEST = (4, None)
 #: Characters that one call of the kernels takes, about.
 GROUP_CHARS = 600_000
 
@@ -49,8 +59,10 @@ def _sketch(k: int):
                 own = sorted(first.values())
                 sig, total = bag.signatures([part[i] for i in own], COMPONENTS, k)
                 rows = bag.bands(sig, BANDS, ROWS).tolist()
-                found = {keys[i]: r if n else [] for i, r, n in zip(own, rows, total.tolist(), strict=True)}
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(keys, pa.binary()), pa.array([found[key] for key in keys], pa.list_(pa.int64()))], ["id", "key", "bands"])
+                # of each component a byte is kept
+                low = bag.mix(sig.astype(np.float32).view(np.uint32).astype(np.uint64)).astype(np.uint8)
+                found = {keys[i]: (r if n else [], s.tobytes()) for i, r, n, s in zip(own, rows, total.tolist(), low, strict=True)}
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(keys, pa.binary()), pa.array([found[key][0] for key in keys], pa.list_(pa.int64())), pa.array([found[key][1] for key in keys], pa.binary())], ["id", "key", "bands", "sketch"])
 
     return run
 
@@ -84,15 +96,69 @@ def _verify(k: int):
     return run
 
 
-def _similarities(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(a, b, sim) of pairs (a, b); texts: (node, text) of all nodes of pairs. The hub that a bucket's members share is the side that an adaptive join can split."""
+def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated similarity of signatures of one byte a component; other bytes agree by chance once in 256."""
+    return ((x == y).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _agreeing(least: float):
+    """Of rows (a, b, sketch_a, sketch_b), the pairs (a, b) whose signatures agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+                ok = pa.array(_agreement(x, y) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+
+    return run
+
+
+def _across(least: float, most: int | None):
+    """Of rows (bucket, outer, block), lists of (node, comp, sketch, bands), the pairs of different components whose signatures agree, at most so many of the best for each outer node. A pair comes out of the first bucket that it shares, and of no other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(rows: pa.Array):
+            s = rows.flatten()
+            n, c = s.field("node").to_numpy(), s.field("comp").to_numpy()
+            bands = s.field("bands").flatten().to_numpy().reshape(len(n), -1)
+            return n, c, np.frombuffer(b"".join(s.field("sketch").to_pylist()), np.uint8).reshape(len(n), -1), bands
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                bucket = batch.column("bucket")[k].as_py()
+                (n, c, x, own), (m, d, y, other) = (read(batch.column(col).slice(k, 1)) for col in ("outer", "block"))
+                a, b, cut = [], [], False
+                for i in range(len(n)):
+                    alike = _agreement(x[i], y)
+                    hit = np.flatnonzero((alike >= least) & (d != c[i]))
+                    hit = hit[own[i][(other[hit] == own[i]).argmax(axis=1)] == bucket] if len(hit) else hit
+                    if most is not None and len(hit) > most:
+                        hit, cut = hit[np.argsort(-alike[hit], kind="stable")[:most]], True
+                    a.append(np.minimum(n[i], m[hit]))
+                    b.append(np.maximum(n[i], m[hit]))
+                x, y = np.concatenate(b), np.concatenate(a)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), cut))], ["a", "b", "cut"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, threshold: float, k: int) -> DataFrame:
+    """The pairs (a, b) whose texts are similar. The texts of these nodes alone are gathered; the hub that a bucket's members share is on the side that an adaptive join can split."""
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = bounded(materialize(named.join(nodes.select("node", "key"), "node").select("node", "key"), "wanted"), 200_000)
+    texts = source.select(F.unhex(F.sha2("text", 256)).alias("key"), "text").join(wanted, "key").select("node", "text")
+    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k), "a long, b long, sim double")
+    whole = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    rated = whole.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k), "a long, b long, sim double")
+    links = materialize(rated.where(F.col("sim") >= threshold).select("a", "b"), "links")
+    discard(texts)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5) -> DataFrame:
-    """One row for each row of docs: (id_col, class_id, class_size, kept).
+    """One row for each row of docs: (id_col, class_id, class_size, kept, text_sha256).
 
     Words are runs of letters and digits (ASCII) and of characters beyond ASCII, in lower case. Two texts are linked if the
     weighted Jaccard similarity of their multisets of word shingles is at least threshold; classes are the connected components;
@@ -104,61 +170,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    rows = materialize(source.mapInArrow(_sketch(shingle), f"id {kind}, key binary, bands array<long>").withColumn("uid", F.monotonically_increasing_id()), "sketches")
-    nodes = materialize(rows.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = materialize(source.mapInArrow(_sketch(shingle), f"id {kind}, key binary, bands array<long>, sketch binary").withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    nodes = materialize(rows.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = bounded(materialize(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "buckets"))
-    members = materialize(placed.join(shared, "bucket").select("bucket", "node"), "members")
-    wanted = bounded(materialize(members.select("node").distinct().join(nodes.select("node", "key"), "node").select("node", "key"), "wanted"), 200_000)
-    texts = source.select(F.unhex(F.sha2("text", 256)).alias("key"), "text").join(wanted, "key").select("node", "text")
-    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-
-    slack = 1 - threshold
-    known: DataFrame | None = None
-    links: DataFrame | None = None
-    comps: DataFrame | None = None
-    while not members.isEmpty():
-        # one leader a bucket
-        leaders = bounded(materialize(members.groupBy("bucket").agg(F.min("node").alias("leader")), "leaders"))
-        led = members.join(leaders, "bucket").where("node <> leader")
-        pairs = led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = materialize(_similarities(pairs, texts, shingle), "similarities")
-        known = fresh if known is None else known.unionByName(fresh)
-        new = fresh.where(F.col("sim") >= threshold).select("a", "b")
-        links = new if links is None else links.unionByName(new)
+    buckets = materialize(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1"), "buckets")
+    members = materialize(placed.join(bounded(buckets), "bucket").select("bucket", "node", "n", "leader"), "members")
+    least = threshold - LEAST_AGREEMENT
+    sketches = nodes.select("node", "sketch")
+    both = nodes.select("node", "sketch", "bands")
+
+    pairs = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+    compared = materialize(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreeing(least), "a long, b long"), "compared")
+    links = _verified(compared, source, nodes, threshold, shingle)
+
+    comps = bounded(connected_components(links))
+    for most in BEST:
+        named = members.where("n > 2").join(comps, "node", "left").join(comps.select(F.col("node").alias("leader"), F.col("comp").alias("lead")), "leader", "left")
+        named = materialize(named.select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("lead", "leader").alias("lead")), "named")
+        # a bucket of two has been compared in full
+        divided = named.groupBy("bucket").agg(F.max(F.col("comp") != F.col("lead")).alias("open")).where("open").select("bucket")
+        rest = named.join(bounded(materialize(divided, "divided")), "bucket").join(both, "node")
+        rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
+        rest = materialize(rest.select("bucket", "part", F.struct("node", "comp", "sketch", "bands").alias("m"), (F.col("comp") != F.col("lead")).alias("outside")), "rest")
+        blocks = rest.groupBy("bucket", "part").agg(F.collect_list("m").alias("block"))
+        outer = rest.where("outside").groupBy("bucket", "part").agg(F.collect_list("m").alias("outer")).drop("part")
+        found = outer.join(blocks, "bucket").select("bucket", "outer", "block").mapInArrow(_across(least, most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        found = materialize(found, "found")
+        cut = found.agg(F.max("cut")).first()[0]
+        more = materialize(found.join(compared, ["a", "b"], "left_anti").select("a", "b"), "more")
+        compared = compared.unionByName(more)
+        links = links.unionByName(_verified(more, source, nodes, threshold, shingle))
         comps = bounded(connected_components(links))
-        # buckets that are in one component are done
-        rated = materialize(led.join(known, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b"))).select("bucket", "node", "leader", "sim"), "rated")
-        named = rated.join(comps.select("node", F.col("comp").alias("c")), "node", "left").join(comps.select(F.col("node").alias("leader"), F.col("comp").alias("lc")), "leader", "left")
-        named = materialize(named.select("bucket", "node", "leader", "sim", F.coalesce("c", "node").alias("c"), F.coalesce("lc", "leader").alias("lc")), "named")
-        split = bounded(materialize(named.groupBy("bucket").agg(F.max(F.col("c") != F.col("lc")).alias("open")).where("open").select("bucket"), "split"))
-        rest = named.join(split, "bucket")
-        apart = rest.where(F.col("sim") < threshold)
-        # similar members and not quite similar ones that may be similar to each other
-        edge = bounded(materialize(apart.where((F.col("sim") >= 1 - 2 * slack) & (F.col("c") != F.col("lc"))).select("bucket", F.col("node").alias("b"), F.col("sim").alias("sb"), F.col("c").alias("cb")), "edge"))
-        cross = rest.where(F.col("sim") >= threshold).select("bucket", F.col("node").alias("a"), F.col("sim").alias("sa"), F.col("c").alias("ca")).join(edge, "bucket")
-        cross = cross.where((F.col("sa") - F.col("sb") <= slack + 1e-12) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        cross = cross.join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        crossed = materialize(_similarities(cross, texts, shingle), "cross")
-        known = known.unionByName(crossed)
-        links = links.unionByName(crossed.where(F.col("sim") >= threshold).select("a", "b"))
-        left = apart.select("bucket", "node")
-        many = bounded(materialize(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "many"))
-        old = members
-        members = materialize(left.join(many, "bucket"), "members")
-        discard(old)
-    comps = connected_components(links) if links is not None else spark.createDataFrame([], "node long, comp long")
-    discard(texts)
+        if not cut:
+            break
 
-    grouped = nodes.join(bounded(comps), "node", "left").select("key", "node", "id", "copies", F.coalesce("comp", "node").alias("comp"))
+    grouped = nodes.join(comps, "node", "left").select("key", "node", "id", "copies", F.coalesce("comp", "node").alias("comp"))
     classes = grouped.groupBy("comp").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts"))
     several = materialize(grouped.join(classes.where("class_size > 1"), "comp").select("key", "comp", "class_id", "class_size"), "classes")
     out = rows.select("id", "key", "uid").join(bounded(several, 200_000), "key", "left")
-    out = materialize(out.select("id", "uid", "comp", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size")), "rows")
+    out = materialize(out.select("id", "uid", "key", "comp", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size")), "rows")
     won = out.where("class_size > 1 and id <=> class_id").groupBy("comp").agg(F.min("uid").alias("uid"))
     won = bounded(materialize(won.select("uid", F.lit(True).alias("won")), "won"))
-    single = out.where("class_size = 1").select(F.col("id").alias(id_col), "class_id", "class_size", F.lit(True).alias("kept"))
-    return single.unionByName(out.where("class_size > 1").join(won, "uid", "left").select(F.col("id").alias(id_col), "class_id", "class_size", F.coalesce("won", F.lit(False)).alias("kept")))
+    shape = (F.col("id").alias(id_col), "class_id", "class_size")
+    sha = F.lower(F.hex("key")).alias("text_sha256")
+    single = out.where("class_size = 1").select(*shape, F.lit(True).alias("kept"), sha)
+    return single.unionByName(out.where("class_size > 1").join(won, "uid", "left").select(*shape, F.coalesce("won", F.lit(False)).alias("kept"), sha))
