@@ -35,8 +35,8 @@ def _stripped(x: Column) -> Column:
 
 
 def kept_phrase(phrase: Column) -> Column:
-    """False for a possessive, dashes alone, and phrases without an ASCII letter."""
-    return ~phrase.rlike("['’]s") & ~phrase.rlike("^[-–—]+$") & phrase.rlike("[A-Za-z]")
+    """False for a lone possessive, dashes alone, and phrases without an ASCII letter."""
+    return ~phrase.rlike("^['’]s$") & ~phrase.rlike("^[-–—]+$") & phrase.rlike("[A-Za-z]")
 
 
 def noun_phrases(tokens: DataFrame, lemmatize: bool = True) -> DataFrame:

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import min_max
 
-CENTRALITY = "doc_id {k}, node_id long, degree double, betweenness double, closeness double, eigenvector double, pagerank double"
-
-
 def similarity_edges(nodes: DataFrame, least: float = 0.3) -> DataFrame:
     """(doc_id, src, dst, weight), src < dst, of nodes (doc_id, node_id, vector): pairs of a document whose cosine is at least ``least``."""
     v = F.transform("vector", lambda x: x.cast("double"))
@@ -139,33 +136,60 @@ def louvain(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, seed:
     return np.array([rank[c] for c in of])
 
 
-def _per_document(nodes: DataFrame, edges: DataFrame, schema: str, run) -> DataFrame:
-    kind = nodes.schema["doc_id"].dataType.simpleString()
+def layout(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, seed: int = 42, k: float = 0.5, rounds: int = 50) -> dict[str, np.ndarray]:
+    """Places of the nodes by a seeded force layout: all repel each other, edges attract by weight, and the steps shrink."""
+    rng = np.random.default_rng(seed)
+    at, w = rng.random((n, 2)), np.zeros((n, n))
+    w[src, dst] = w[dst, src] = weight
+    for r in range(rounds):
+        gap = at[:, None] - at[None]
+        far = np.maximum(np.sqrt((gap**2).sum(-1)), 0.01)
+        move = (gap * ((k * k / far**2 - w * far / k))[..., None]).sum(axis=1)
+        size = np.maximum(np.sqrt((move**2).sum(-1)), 0.01)
+        at = at + move * (0.1 * (1 - r / rounds) / size)[:, None]
+    return {"x": at[:, 0], "y": at[:, 1]}
+
+
+def _per_document(nodes: DataFrame, edges: DataFrame, fields: dict[str, str], run, errors: bool = False) -> DataFrame:
+    """run on each document's graph. errors: a document on which it fails has null results and the message in a column of that name, and the others go on."""
+    kind, names = nodes.schema["doc_id"].dataType.simpleString(), list(fields)
 
     def solved(left, right):
-        ids = np.sort(left["node_id"].to_numpy())
-        src, dst = (np.searchsorted(ids, right[c].to_numpy()) for c in ("src", "dst"))
         import pandas as pd
 
-        out = pd.DataFrame(run(len(ids), src, dst, right["weight"].to_numpy()))
+        ids = np.sort(left["node_id"].to_numpy())
+        message = None
+        try:
+            src, dst = (np.searchsorted(ids, right[c].to_numpy()) for c in ("src", "dst"))
+            out = pd.DataFrame(run(len(ids), src, dst, right["weight"].to_numpy()))
+        except Exception as e:
+            if not errors:
+                raise
+            message = f"{type(e).__name__}: {e}"
+            out = pd.DataFrame({c: [None] * len(ids) for c in names})
         out.insert(0, "node_id", ids)
-        if len(left):
-            out.insert(0, "doc_id", left["doc_id"].iloc[0])
-        else:
-            out.insert(0, "doc_id", pd.Series(dtype="int64"))
+        out.insert(0, "doc_id", left["doc_id"].iloc[0] if len(left) else pd.Series(dtype="int64"))
+        if errors:
+            out["error"] = message
         return out
 
-    return nodes.select("doc_id", "node_id").groupBy("doc_id").cogroup(edges.groupBy("doc_id")).applyInPandas(solved, schema.format(k=kind))
+    schema = ", ".join([f"doc_id {kind}", "node_id long", *[f"{c} {t}" for c, t in fields.items()], *["error string"] * errors])
+    return nodes.select("doc_id", "node_id").groupBy("doc_id").cogroup(edges.groupBy("doc_id")).applyInPandas(solved, schema)
 
 
-def centralities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, node_id, degree, betweenness, closeness, eigenvector, pagerank)."""
-    return _per_document(nodes, edges, CENTRALITY, solve)
+def centralities(nodes: DataFrame, edges: DataFrame, errors: bool = False) -> DataFrame:
+    """(doc_id, node_id, degree, betweenness, closeness, eigenvector, pagerank), and error if asked for."""
+    return _per_document(nodes, edges, dict.fromkeys(("degree", "betweenness", "closeness", "eigenvector", "pagerank"), "double"), solve, errors)
 
 
 def communities(nodes: DataFrame, edges: DataFrame, seed: int = 42) -> DataFrame:
     """(doc_id, node_id, community_id), numbered by their first nodes."""
-    return _per_document(nodes, edges, "doc_id {k}, node_id long, community_id int", lambda *g: {"community_id": louvain(*g, seed).astype(np.int32)})
+    return _per_document(nodes, edges, {"community_id": "int"}, lambda *g: {"community_id": louvain(*g, seed).astype(np.int32)})
+
+
+def places(nodes: DataFrame, edges: DataFrame, seed: int = 42) -> DataFrame:
+    """(doc_id, node_id, x, y) for drawing."""
+    return _per_document(nodes, edges, {"x": "double", "y": "double"}, lambda *g: layout(*g, seed))
 
 
 def node_style(central: DataFrame, community: DataFrame) -> DataFrame:

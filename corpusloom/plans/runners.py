@@ -108,8 +108,8 @@ def network_nodes(docs: DataFrame, top: int = 100, annotator: Annotator | None =
 
 
 def network(nodes: DataFrame, least: float = 0.3) -> dict[str, DataFrame]:
-    """edges, centrality, communities, node_style and edge_style of the networks of nodes (doc_id, node_id, vector)."""
+    """edges, centrality, communities, places, node_style and edge_style of the networks of nodes (doc_id, node_id, vector)."""
     edges = graph.similarity_edges(nodes, least)
     central = graph.centralities(nodes, edges)
     found = graph.communities(nodes, edges)
-    return {"edges": edges, "centrality": central, "communities": found, "node_style": graph.node_style(central, found), "edge_style": graph.edge_style(edges, central)}
+    return {"edges": edges, "centrality": central, "communities": found, "places": graph.places(nodes, edges), "node_style": graph.node_style(central, found), "edge_style": graph.edge_style(edges, central)}

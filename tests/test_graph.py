@@ -62,3 +62,12 @@ def test_network(nodes):
     style = {(r.doc_id, r.node_id): r["size"] for r in graph.node_style(central, found).collect()}
     assert style[(1, 0)] == 2500 and style[(1, 2)] == 500 and style[(2, 0)] == 500
     assert graph.edge_style(edges, central).first().width == 0.5
+
+
+def test_places_and_errors(nodes):
+    edges = graph.similarity_edges(nodes)
+    a, b = (sorted(map(tuple, graph.places(nodes, edges).collect())) for _ in range(2))
+    assert a == b and len(a) == 5
+    fields = {"x": "double"}
+    got = graph._per_document(nodes, edges, fields, lambda n, *g: {"x": np.ones(n)} if n < 4 else 1 / 0, errors=True).collect()
+    assert {(r.doc_id, r.x, (r.error or "")[:17]) for r in got} == {(1, None, "ZeroDivisionError"), (2, 1.0, "")}
