@@ -13,6 +13,8 @@ minus infinity, and the maximum over what is left is the exact result of the lib
 
 from __future__ import annotations
 
+import itertools
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +25,8 @@ _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Words of more characters go position by position; the batch would hold one word.
 LONG = 200
-#: Words that a worker remembers.
-CACHE = 500_000
+#: Words, and slots for pairs of pieces, that a worker remembers.
+CACHE, SLOTS = 500_000, 1 << 22
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -46,8 +48,12 @@ class Pieces:
         keys = np.array([sum((ord(c) + 1) * int(q) for c, q in zip(p, self.power[: len(p)].tolist(), strict=True)) % (1 << 64) for p in self.ids], U)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(list(self.ids.values()), np.int64)[order]
+        # most substrings are no pieces, and are known as such by the top bits of their hash
+        self.some = np.zeros(1 << 20, bool)
+        self.some[(self.keys >> U(44)).astype(np.int64)] = True
         self._forget()
-        self.stable: dict[int, bool] = {}
+        # verdicts on pairs of pieces, each in the one slot that its hash gives
+        self.asked, self.verdict = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
         table = [p.encode() for p in pieces]
         for b, i in enumerate(byte_ids or ()):
             table[i] = bytes([b])
@@ -63,27 +69,51 @@ class Pieces:
         found = [(self.ids[p[:k]] * self.n + self.ids[p[k:]], ranks[self.score[i]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
         found.sort()
         self.pair, self.pair_rank, self.pair_id = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        self.pair_some = np.zeros(1 << 20, bool)
+        self.pair_some[self._slot(self.pair, 20)] = True
         self.rank_of = {key: (rank, i) for key, rank, i in found}
         self.spelled = {i: [self.ids[c] for c in p] for p, i in self.ids.items()}
+        self.size = np.array([len(p) for p in self.pieces])
+        self.letters = np.zeros((self.n, 2 * self.longest), np.int64)
+        for i, row in self.spelled.items():
+            self.letters[i, : len(row)] = row
+
+    @staticmethod
+    def _slot(pairs: np.ndarray, bits: int) -> np.ndarray:
+        return ((pairs.astype(U) * U(_BASE)) >> U(64 - bits)).astype(np.int64)
 
     def _stable(self, pairs: np.ndarray) -> np.ndarray:
-        """Whether merging the characters of two pieces, pair by pair, ends at the two. pairs: first * n + second, distinct."""
-        known = self.stable
-        got = [known.get(p) for p in pairs.tolist()]
-        by: dict[int, list[int]] = {}
-        for at, (p, v) in enumerate(zip(pairs.tolist(), got, strict=True)):
-            if v is None:
-                a, b = divmod(p, self.n)
-                by.setdefault(len(self.pieces[a]) + len(self.pieces[b]), []).append(at)
-        for size, places in by.items():
-            two = [divmod(int(pairs[at]), self.n) for at in places]
-            row = np.array([self.spelled[a] + self.spelled[b] for a, b in two], np.int64)
-            edge = np.array([len(self.pieces[a]) for a, _ in two])
-            index, ok = np.arange(len(two)), np.zeros(len(two), bool)
+        """Whether merging the characters of two pieces, pair by pair, ends at the two. pairs: first * n + second."""
+        slot = self._slot(pairs, 22)
+        got, miss = self.verdict[slot], self.asked[slot] != pairs
+        if miss.any():
+            new, which = np.unique(pairs[miss], return_inverse=True)
+            found = self._merged(new)
+            got[miss] = found[which]
+            slot = self._slot(new, 22)
+            self.asked[slot] = new
+            # of pairs with one slot the last stays, in both arrays alike
+            self.verdict[slot] = found
+        return got
+
+    def _merged(self, pairs: np.ndarray) -> np.ndarray:
+        first, second = np.divmod(pairs, self.n)
+        sizes, out = self.size[first] + self.size[second], np.zeros(len(pairs), bool)
+        for size in np.unique(sizes).tolist():
+            places = np.flatnonzero(sizes == size)
+            a, b = first[places], second[places]
+            edge = self.size[a]
+            column = np.arange(size)[None]
+            row = np.where(column < edge[:, None], self.letters[a, :size], self.letters[b[:, None], np.maximum(column - edge[:, None], 0)])
+            index, ok = np.arange(len(places)), np.zeros(len(places), bool)
             for width in range(size, 1, -1):
                 key = row[:, :-1] * self.n + row[:, 1:]
-                place = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-                rank = np.where(self.pair[place] == key, self.pair_rank[place], np.iinfo(np.int64).max)
+                rank, maybe = np.full(key.shape, np.iinfo(np.int64).max), self.pair_some[self._slot(key, 20)]
+                probed = key[maybe]
+                at = np.minimum(np.searchsorted(self.pair, probed), len(self.pair) - 1)
+                rank[maybe] = np.where(self.pair[at] == probed, self.pair_rank[at], np.iinfo(np.int64).max)
+                place = np.zeros(key.shape, np.int64)
+                place[maybe] = at
                 at = rank.argmin(axis=1)
                 all_rows = np.arange(len(row))
                 ends = rank[all_rows, at] == np.iinfo(np.int64).max
@@ -96,14 +126,11 @@ class Pieces:
                 row, edge, index = row[go], (edge - (at < edge - 1))[go], index[go]
                 if not len(row):
                     break
-            for at, v in zip(places, ok.tolist(), strict=True):
-                got[at] = known[int(pairs[at])] = v
-        if len(known) > 20 * CACHE:
-            known.clear()
-        return np.array(got, bool)
+            out[places] = ok
+        return out
 
-    def _batch(self, words: list[str], size: int) -> list[np.ndarray]:
-        """Segmentations of words of size characters."""
+    def _batch(self, words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Segmentations of words of size characters: their lengths, and their ids one after the other."""
         n = len(words)
         text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size)
         total = np.zeros((n, size + 1), U)
@@ -112,8 +139,12 @@ class Pieces:
         found = np.full((most + 1, n, size + 1), -1, np.int64)  # by length and end
         for k in range(1, most + 1):
             key = (total[:, k:] - total[:, : size + 1 - k]) * self.inverse[: size + 1 - k]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            found[k, :, k:] = np.where(self.keys[place] == key, self.key_ids[place], -1)
+            maybe = self.some[(key >> U(44)).astype(np.int64)]
+            probed = key[maybe]
+            place = np.minimum(np.searchsorted(self.keys, probed), len(self.keys) - 1)
+            ids = np.full(key.shape, -1, np.int64)
+            ids[maybe] = np.where(self.keys[place] == probed, self.key_ids[place], -1)
+            found[k, :, k:] = ids
         found[1, :, 1:][found[1, :, 1:] < 0] = self.n  # an unknown character
         score = np.full((n, size + 1), -np.inf)
         score[:, 0] = 0
@@ -126,8 +157,7 @@ class Pieces:
             if self.bpe:
                 asked = np.isfinite(value) & (piece < self.n) & (before < self.n) & (j - k_all > 0)[:, None]
                 if asked.any():
-                    pairs, which = np.unique(before[asked] * self.n + piece[asked], return_inverse=True)
-                    value[asked] = np.where(self._stable(pairs)[which], value[asked], -np.inf)
+                    value[asked] = np.where(self._stable(before[asked] * self.n + piece[asked]), value[asked], -np.inf)
                 start = (j == k_all)[:, None] & (piece >= 0) & (piece < self.n) & (k_all > 1)[:, None]
                 if start.any():  # a first piece must itself be what its characters merge to
                     value[start] = np.where([self._whole(int(p)) for p in piece[start]], value[start], -np.inf)
@@ -140,7 +170,11 @@ class Pieces:
             steps.append(np.where(at > 0, last[rows, at], -1))
             at = at - np.where(at > 0, back[rows, at], 0)
         path = np.stack(steps[::-1], axis=1)
-        return [self._named(row[row >= 0], word) for row, word in zip(path, words, strict=True)]
+        if not (path == self.n).any():
+            used = path >= 0
+            return used.sum(axis=1), path[used].astype(np.int32)
+        named = [self._named(row[row >= 0], word) for row, word in zip(path, words, strict=True)]
+        return np.array([len(x) for x in named]), np.concatenate(named)
 
     @lru_cache(maxsize=1 << 16)  # noqa: B019
     def _whole(self, piece: int) -> bool:
@@ -158,15 +192,14 @@ class Pieces:
         size, ids = len(word), self.ids
         score, last, back = [0.0] + [-np.inf] * size, [self.n] * (size + 1), [0] * (size + 1)
         ends = [[(k, ids[word[j - k : j]]) for k in range(1, min(j, self.longest) + 1) if word[j - k : j] in ids] for j in range(size + 1)]
+        fine: dict[int, bool] = {}
         if self.bpe:
-            for low in range(0, size, 20_000):
-                asked = {b * self.n + a for j in range(low + 1, min(low + 20_000, size) + 1) for k, a in ends[j] for _, b in ends[j - k]}
-                if asked:
-                    self._stable(np.array(sorted(asked), np.int64))
+            asked = np.array(sorted({b * self.n + a for j in range(1, size + 1) for k, a in ends[j] for _, b in ends[j - k]}), np.int64)
+            fine = dict(zip(asked.tolist(), self._stable(asked).tolist(), strict=True))
         for j in range(1, size + 1):
             for k, a in ends[j] or [(1, self.n)]:
                 i = j - k
-                if score[i] == -np.inf or self.bpe and a < self.n and (i == 0 and k > 1 and not self._whole(a) or i > 0 and last[i] < self.n and not self._ask(last[i] * self.n + a)):
+                if score[i] == -np.inf or self.bpe and a < self.n and (i == 0 and k > 1 and not self._whole(a) or i > 0 and last[i] < self.n and not fine[last[i] * self.n + a]):
                     continue
                 value = score[i] + self.score[a]
                 if value > score[j]:
@@ -177,10 +210,6 @@ class Pieces:
             at -= back[at]
         return self._named(np.array(path[::-1], np.int64), word)
 
-    def _ask(self, pair: int) -> bool:
-        got = self.stable.get(pair)
-        return bool(self._stable(np.array([pair], np.int64))[0]) if got is None else got
-
     def _named(self, path: np.ndarray, word: str) -> np.ndarray:
         """The path's ids, with unknown characters as their bytes."""
         if not (path == self.n).any():
@@ -197,38 +226,45 @@ class Pieces:
 
     def split(self, text: str) -> list[str]:
         """Words that no piece reaches out of: spaces and what follows them, line ends apart."""
-        import re
-
         if not hasattr(self, "_split"):
             inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-            lines = not any("\n" in p for p in self.ids)
-            self._split = None if inner else re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+            line = "" if any("\n" in p for p in self.ids) else "\n"
+            self._split = None if inner else re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + ("|\n" if line else ""))
         return self._split.findall(text) if self._split else [text]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of the pieces of each text."""
         split = [self.split((SPACE if self.dummy_prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = {w for ws in split for w in ws if w not in self.known}
+        none, rest = itertools.repeat(-1), range(len(split))
+        places = [np.fromiter(map(self.known.get, ws, none), np.int64, len(ws)) for ws in split]
+        new = {split[k][i] for k in rest for i in np.flatnonzero(places[k] < 0).tolist()}
         if len(self.known) + len(new) > CACHE and self.known:
             self._forget()
             new = {w for ws in split for w in ws}
+            places = [np.full(len(ws), -1, np.int64) for ws in split]
         by: dict[int, list[str]] = {}
         for w in new:
             by.setdefault(len(w), []).append(w)
-        found = [self.flat]
+        found, lengths = [self.flat], [self.length]
         for size, words in by.items():
             step = max(1, 400_000 // (size * min(size, self.longest)))
             for at in range(0, len(words), step):
                 part = words[at : at + step]
-                for w, path in zip(part, self._batch(part, size) if size <= LONG else [self._long(w) for w in part], strict=True):
-                    self.known[w] = len(self.known)
-                    found.append(path)
-        self.length = np.concatenate([self.length, np.array([len(p) for p in found[1:]], np.int64)])
+                if size <= LONG:
+                    n, flat = self._batch(part, size)
+                else:
+                    paths = [self._long(w) for w in part]
+                    n, flat = np.array([len(x) for x in paths]), np.concatenate(paths)
+                self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
+                found.append(flat)
+                lengths.append(n)
+        self.length = np.concatenate(lengths)
         self.flat = np.concatenate(found)
         first = np.cumsum(self.length) - self.length
         out = []
-        for ws in split:
-            which = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
+        for ws, which in zip(split, places, strict=True):
+            for i in np.flatnonzero(which < 0).tolist():
+                which[i] = self.known[ws[i]]
             n = self.length[which]
             out.append(self.flat[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
         return out
