@@ -139,6 +139,18 @@ def _frequencies(path: str, head):
     return run
 
 
+def _commonest(vocab: DataFrame, most: int) -> DataFrame:
+    """The commonest pre-tokens, at most so many: those from a step of the logarithmic scale of frequencies up, by the counts of its steps."""
+    step = F.floor(F.log2("docs") * 8)
+    held, least = 0, None
+    for s, n in sorted(vocab.groupBy(step.alias("s")).count().collect(), reverse=True):
+        held += n
+        if held > most:
+            break
+        least = s
+    return vocab.where(F.lit(False) if least is None else step >= least)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, head_rows: int = 200_000) -> DataFrame:
     """Token counts of every row of docs.
 
@@ -152,7 +164,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kinds = texts.select("text").mapInArrow(_distinct(tokenizer), "pretoken string, docs long")
     vocab = materialize(kinds.groupBy("pretoken").agg(F.sum("docs").alias("docs")).mapInArrow(_count_pieces(tokenizer), "pretoken string, docs long, pieces long"), "pieces")
-    head = {w: k for w, k in vocab.orderBy(F.desc("docs"), "pretoken").limit(head_rows).select("pretoken", "pieces").collect()}
+    head = {w: k for w, k in _commonest(vocab, head_rows).select("pretoken", "pieces").collect()}
     rows = texts.select(F.monotonically_increasing_id().alias("row_id"), "id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     kind = texts.schema["id"].dataType.simpleString()
     freqs = materialize(rows.mapInArrow(_frequencies(tokenizer, spark.sparkContext.broadcast(head)), f"row_id long, id {kind}, n_bytes long, pretoken string, n long"), "frequencies")
