@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -52,7 +53,8 @@ def test_segmentation_is_the_library_s():
     texts = [t or "" for t in ODD] + mixed(150, 9) + [" " * 1000, "".join(random.Random(1).choice("abcdefghij0123+/=") for _ in range(5000))]
     got = [x.tolist() for x in m.encode(texts)]
     assert got == sp.encode(texts)
-    assert [m.decode(x) for x in got] == [t.replace("▁", " ") for t in texts]
+    flat, ends = np.array([i for x in got for i in x]), np.cumsum([len(x) for x in got])
+    assert m.decode(flat, ends) == [t.replace("▁", " ") for t in texts] == [sp.decode(x) for x in got]
 
 
 def test_unigram_by_brute_force():
