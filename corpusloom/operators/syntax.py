@@ -12,12 +12,19 @@ from .annotate import SUBORDINATE
 ROLES = ("nsubj", "dobj", "iobj", "pobj")
 
 
-def clause_metrics(tokens: DataFrame) -> DataFrame:
-    """Per sentence: main, subordinate and coordinate clauses, and the latter two per main clause."""
+def _clause_columns() -> list[Column]:
     dep = F.col("dep")
-    x = tokens.groupBy("doc_id", "sent_id").agg(F.count_if(dep == "ROOT").alias("main"), F.count_if(dep.isin(*SUBORDINATE)).alias("subordinate"), F.count_if(dep == "conj").alias("coordinate"))
+    return [F.count_if(dep == "ROOT").alias("main"), F.count_if(dep.isin(*SUBORDINATE)).alias("subordinate"), F.count_if(dep == "conj").alias("coordinate")]
+
+
+def _with_ratios(x: DataFrame) -> DataFrame:
     x = x.withColumns({"_s": safe_ratio(F.col("subordinate").cast("double"), F.col("main").cast("double")), "_c": safe_ratio(F.col("coordinate").cast("double"), F.col("main").cast("double"))})
-    return x.select("doc_id", "sent_id", "main", "subordinate", "coordinate", exact_round("_s").alias("subordination_ratio"), exact_round("_c").alias("coordination_ratio"))
+    return x.withColumns({"subordination_ratio": exact_round("_s"), "coordination_ratio": exact_round("_c")})
+
+
+def clause_metrics(tokens: DataFrame) -> DataFrame:
+    """Per sentence: main, subordinate and coordinate clauses, and the latter two per main clause."""
+    return _with_ratios(tokens.groupBy("doc_id", "sent_id").agg(*_clause_columns())).drop("_s", "_c")
 
 
 def sentence_trees(tokens: DataFrame) -> DataFrame:
@@ -40,31 +47,49 @@ def depths(up: Column) -> Column:
     return F.aggregate(rounds, start, double, lambda s: s["d"])
 
 
-def embedding_depth(tokens: DataFrame) -> DataFrame:
-    """Per sentence: max, mean and median depth of its tokens, and mean minus median."""
-    x = sentence_trees(tokens).select("doc_id", "sent_id", F.array_sort(depths(F.col("up"))).alias("d"))
+def _depth_columns() -> list[Column]:
+    """From d, the sorted depths of a sentence's tokens."""
     n = F.size("d")
     total = F.aggregate("d", F.lit(0).cast("long"), lambda a, v: a + v).cast("double")
     middle = (F.get("d", F.floor((n - 1) / 2).cast("int")) + F.get("d", F.floor(n / 2).cast("int"))).cast("double") / 2
-    return x.select("doc_id", "sent_id", F.array_max("d").alias("max_depth"), (total / n).alias("mean_depth"), middle.alias("median_depth"), (total / n - middle).alias("depth_skew"))
+    return [F.array_max("d").alias("max_depth"), (total / n).alias("mean_depth"), middle.alias("median_depth"), (total / n - middle).alias("depth_skew")]
+
+
+def embedding_depth(tokens: DataFrame) -> DataFrame:
+    """Per sentence: max, mean and median depth of its tokens, and mean minus median."""
+    x = sentence_trees(tokens).select("doc_id", "sent_id", F.array_sort(depths(F.col("up"))).alias("d"))
+    return x.select("doc_id", "sent_id", *_depth_columns())
+
+
+def _arcs(tokens: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, tok_id, dep, head_id, n, far): each token with the number of its dependents and the length of their arcs. Tokens and arcs meet in one grouping, which finds a document's rows in place, instead of a join."""
+    own = F.struct(F.col("tok_id").alias("k"), F.col("dep").alias("dep"), F.col("head_id").alias("head_id"), F.lit(0).alias("n"), F.lit(0).alias("far"))
+    arc = F.struct(F.col("head_id").alias("k"), F.lit(None).cast("string").alias("dep"), F.lit(None).cast("int").alias("head_id"), (F.col("head_id") != F.col("tok_id")).cast("int").alias("n"), F.abs(F.col("tok_id") - F.col("head_id")).alias("far"))
+    both = tokens.select("doc_id", "sent_id", F.explode(F.array(own, arc)).alias("x")).select("doc_id", "sent_id", "x.*")
+    return both.groupBy("doc_id", "sent_id", F.col("k").alias("tok_id")).agg(F.max("dep").alias("dep"), F.max("head_id").alias("head_id"), F.sum("n").alias("n"), F.sum("far").alias("far"))
+
+
+def _dependency_columns() -> list[Column]:
+    dep, sub = F.col("dep"), F.col("dep").isin(*SUBORDINATE)
+    mean = lambda cond: F.coalesce(F.avg(F.when(cond, F.col("n"))), F.lit(0.0))
+    heads = dep.isin("ROOT", "conj", *SUBORDINATE)
+    return [
+        mean(dep == "ROOT").alias("main_clause"), mean(sub).alias("subordinate_clause"), mean(dep == "conj").alias("coordinate_clause"), F.coalesce(F.max(F.when(heads, F.col("n"))), F.lit(0)).alias("max_dependents"),
+        F.coalesce(F.try_divide(F.sum("far").cast("double"), F.sum("n").cast("double")), F.lit(0.0)).alias("mean_dependency_distance"),
+    ]
 
 
 def dependency_complexity(tokens: DataFrame) -> DataFrame:
     """Per sentence: mean dependents of main, subordinate and coordinate heads and the most among them (0 without such heads), and mean length of all arcs (0 without any)."""
-    x = sentence_trees(tokens)
-    # dependents of each place: the sorted heads are counted by group
-    arcs = F.filter(F.transform("up", lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda a: a["h"] != a["i"])
-    counts = tokens.where("head_id <> tok_id").groupBy("doc_id", "sent_id", F.col("head_id").alias("tok_id")).agg(F.count(F.lit(1)).alias("n"))
-    heads = tokens.where(F.col("dep").isin("ROOT", "conj", *SUBORDINATE)).select("doc_id", "sent_id", "tok_id", "dep")
-    heads = heads.join(counts, ["doc_id", "sent_id", "tok_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    mean = lambda cond: F.coalesce(F.avg(F.when(cond, F.col("n"))), F.lit(0.0))
-    dep = F.col("dep")
-    per = heads.groupBy("doc_id", "sent_id").agg(mean(dep == "ROOT").alias("main_clause"), mean(dep.isin(*SUBORDINATE)).alias("subordinate_clause"), mean(dep == "conj").alias("coordinate_clause"), F.max("n").alias("max_dependents"))
-    total = F.aggregate(arcs, F.lit(0).cast("long"), lambda a, s: a + F.abs(s["h"] - s["i"])).cast("double")
-    far = x.select("doc_id", "sent_id", F.coalesce(F.try_divide(total, F.size(arcs).cast("double")), F.lit(0.0)).alias("mean_dependency_distance"))
-    out = far.join(per, ["doc_id", "sent_id"], "left")
-    zero = {c: 0.0 for c in ("main_clause", "subordinate_clause", "coordinate_clause")} | {"max_dependents": 0}
-    return out.fillna(zero).select("doc_id", "sent_id", "main_clause", "subordinate_clause", "coordinate_clause", "max_dependents", "mean_dependency_distance")
+    return _arcs(tokens).groupBy("doc_id", "sent_id").agg(*_dependency_columns())
+
+
+def sentence_syntax(tokens: DataFrame) -> DataFrame:
+    """Clause metrics, depths and dependencies of each sentence in one pass over its tokens."""
+    x = _arcs(tokens).groupBy("doc_id", "sent_id").agg(*_clause_columns(), *_dependency_columns(), F.array_sort(F.collect_list(F.struct("tok_id", "head_id"))).alias("t"))
+    x = x.withColumn("up", F.transform("t", lambda s: s["head_id"] - F.get("t", F.lit(0))["tok_id"]))
+    x = x.withColumn("d", F.array_sort(depths(F.col("up"))))
+    return _with_ratios(x).select("*", *_depth_columns()).drop("t", "up", "d", "_s", "_c")
 
 
 def semantic_roles(tokens: DataFrame) -> DataFrame:

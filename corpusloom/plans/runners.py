@@ -49,6 +49,10 @@ def dependency_windows(tokens: DataFrame, size: int = 3) -> DataFrame:
     return tumbling(syntax.dependency_complexity(tokens), size, DEPENDENCY)
 
 
+def syntax_windows(tokens: DataFrame, size: int = 3) -> DataFrame:
+    return tumbling(syntax.sentence_syntax(tokens), size, [*CLAUSE, *DEPTH, *DEPENDENCY])
+
+
 def density_windows(tokens: DataFrame, size: int = 3) -> DataFrame:
     return tumbling(lexical.lexical_density(tokens), size, ["token_count", "content_count"], nullable=["lexical_density"])
 
@@ -83,10 +87,8 @@ def series(windows: DataFrame, *values: str) -> DataFrame:
 
 
 def syntax_analysis(docs: DataFrame, size: int = 3, annotator: Annotator | None = None) -> DataFrame:
-    """Clause, depth and dependency windows side by side; the tokens are made once."""
-    tokens = (annotator or RuleAnnotator()).tokens(docs)
-    keys = ["doc_id", "window_id", "start_sentence", "end_sentence"]
-    return reduce(lambda a, b: a.join(b, keys), [clause_windows(tokens, size), depth_windows(tokens, size), dependency_windows(tokens, size)])
+    """Clause, depth and dependency windows side by side, in one pass over the tokens."""
+    return syntax_windows((annotator or RuleAnnotator()).tokens(docs), size)
 
 
 def window_metrics(docs: DataFrame, size: int = 3, annotator: Annotator | None = None) -> DataFrame:
@@ -96,7 +98,7 @@ def window_metrics(docs: DataFrame, size: int = 3, annotator: Annotator | None =
     keys = ["doc_id", "window_id", "start_sentence", "end_sentence"]
     surprise = tumbling(lm.surprisal(tokens, lm.UnigramScorer(docs)), size, ["mean_surprisal", "surprisal_variance", "normalized_surprisal"])
     average = tumbling(lexical.average_word_frequency(tokens, freqs), size, ["avg_word_freq", "normalized_freq", "content_function_ratio"])
-    parts = [clause_windows(tokens, size), depth_windows(tokens, size), dependency_windows(tokens, size), density_windows(tokens, size), information_windows(tokens, freqs, size), cohesion_windows(tokens, size), surprise]
+    parts = [syntax_windows(tokens, size), density_windows(tokens, size), information_windows(tokens, freqs, size), cohesion_windows(tokens, size), surprise]
     joined = reduce(lambda a, b: a.join(b, keys), parts)
     return joined.join(average.drop("start_sentence", "end_sentence"), ["doc_id", "window_id"], "left")
 
