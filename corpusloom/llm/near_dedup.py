@@ -152,7 +152,9 @@ def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, threshold:
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     whole = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     rated = whole.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k), "a long, b long, sim double")
+    small_batches(pairs.sparkSession, 100)
     links = materialize(rated.where(F.col("sim") >= threshold).select("a", "b"), "links")
+    small_batches(pairs.sparkSession)
     discard(texts)
     return links
 
@@ -197,7 +199,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         blocks = rest.groupBy("bucket", "part").agg(F.collect_list("m").alias("block"))
         outer = rest.where("outside").groupBy("bucket", "part").agg(F.collect_list("m").alias("outer")).drop("part")
         found = outer.join(blocks, "bucket").select("bucket", "outer", "block").mapInArrow(_across(least, most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        # a row holds two blocks, about 700 kB
+        small_batches(spark, 4)
         found = materialize(found, "found")
+        small_batches(spark)
         cut = found.agg(F.max("cut")).first()[0]
         more = materialize(found.join(compared, ["a", "b"], "left_anti").select("a", "b"), "more")
         compared = compared.unionByName(more)

@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialize, text_or_empty
+from .components import bounded
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,8 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+#: Blobs with findings that are joined to their paths by broadcast at most.
+FEW = 50_000
 FOUND = "array<struct<start:bigint,rank:int,end:bigint,rule:string>>"
 LEDGER = f"blob binary, scanned array<string>, found {FOUND}"
 
@@ -113,6 +116,8 @@ def scan_paths(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text"
         keep = F.array(*[F.lit(r.kind) for r in rules])
         old = ledger.select("blob", F.filter("found", lambda s: F.array_contains(keep, s["rule"])).alias("found")).where(F.size("found") > 0)
         fresh = fresh.unionByName(old).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).cast(FOUND).alias("found"))
+    # written first: the join then has an exchange of its own on both sides, and adaptive execution can split a blob of many paths
+    fresh = bounded(materialize(fresh, "findings"), FEW)
     paths = docs.select(F.col(path_col), address(text_or_empty(text_col)).alias("blob"))
     return paths.join(fresh, "blob", "left").select(path_col, "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 

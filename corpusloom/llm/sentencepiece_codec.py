@@ -47,11 +47,12 @@ def _decode(path: str):
 
         model = viterbi.load(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 ids = part.column(part.num_columns - 1)
-                values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-                texts = [model.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                offsets = ids.offsets.to_numpy()
+                values = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+                texts = model.decode(values, offsets[1:] - offsets[0])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(texts, pa.string())], [*part.schema.names[:-1], "ids", "decoded"])
 
     return run
@@ -79,7 +80,7 @@ def decode(encoded: DataFrame, model: str, keep: list[str], ids_col: str = "ids"
 
 def encoded_and_checked(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_pieces, ids, exact): the pieces of every whole text, and whether decoding them gives it back."""
-    digest = F.sha2(F.translate(text_or_empty(text_col), "▁", " "), 256)
+    digest = F.sha2(F.replace(text_or_empty(text_col), F.lit("▁"), F.lit(" ")), 256)
     coded = encode(docs.select(F.col(id_col), text_or_empty(text_col).alias("text"), digest.alias("digest")), model, [id_col, "digest"])
     back = decode(coded, model, [id_col, "digest"])
     return back.select(id_col, F.size("ids").cast("long").alias("n_pieces"), "ids", (F.sha2("decoded", 256) == F.col("digest")).alias("exact"))

@@ -26,7 +26,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Words of more characters go position by position; the batch would hold one word.
 LONG = 200
 #: Words, and slots for pairs of pieces, that a worker remembers.
-CACHE, SLOTS = 500_000, 1 << 22
+CACHE, SLOTS = 800_000, 1 << 22
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -229,12 +229,13 @@ class Pieces:
         if not hasattr(self, "_split"):
             inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
             line = "" if any("\n" in p for p in self.ids) else "\n"
-            self._split = None if inner else re.compile(f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + ("|\n" if line else ""))
+            self._split = None if inner else re.compile(f"[ {SPACE}]*[^ {SPACE}{line}]+|[ {SPACE}]+" + ("|\n" if line else ""))
         return self._split.findall(text) if self._split else [text]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of the pieces of each text."""
-        split = [self.split((SPACE if self.dummy_prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
+        # texts keep their spaces, which stand for the piece's sign until a new word is segmented
+        split = [self.split(" " + t if self.dummy_prefix else t) if t else [] for t in texts]
         none, rest = itertools.repeat(-1), range(len(split))
         places = [np.fromiter(map(self.known.get, ws, none), np.int64, len(ws)) for ws in split]
         new = {split[k][i] for k in rest for i in np.flatnonzero(places[k] < 0).tolist()}
@@ -250,10 +251,11 @@ class Pieces:
             step = max(1, 400_000 // (size * min(size, self.longest)))
             for at in range(0, len(words), step):
                 part = words[at : at + step]
+                signed = [w.replace(" ", SPACE) for w in part]
                 if size <= LONG:
-                    n, flat = self._batch(part, size)
+                    n, flat = self._batch(signed, size)
                 else:
-                    paths = [self._long(w) for w in part]
+                    paths = [self._long(w) for w in signed]
                     n, flat = np.array([len(x) for x in paths]), np.concatenate(paths)
                 self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
                 found.append(flat)
@@ -274,10 +276,18 @@ class Pieces:
         self.known: dict[str, int] = {}
         self.length, self.flat = np.empty(0, np.int64), np.empty(0, np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; bytes that aren't UTF-8 become replacement characters."""
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if self.dummy_prefix and text[:1] == " " else text
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids, which end at the offsets ends; bytes that aren't UTF-8 become replacement characters."""
+        if not hasattr(self, "_letters"):
+            table = [b.replace(SPACE.encode(), b" ") for b in self.bytes]
+            self._length = np.array([len(b) for b in table])
+            self._first, self._letters = np.cumsum(self._length) - self._length, np.frombuffer(b"".join(table), np.uint8)
+        n = self._length[ids]
+        stop = np.cumsum(n)
+        data = self._letters[np.repeat(self._first[ids] - (stop - n), n) + np.arange(n.sum())].tobytes()
+        at = np.concatenate([[0], stop])[ends].tolist()
+        skip = 1 if self.dummy_prefix else 0
+        return [data[a + (skip if data[a : a + 1] == b" " else 0) : b].decode("utf-8", "replace") if b > a else "" for a, b in zip([0, *at[:-1]], at, strict=True)]
 
 
 @lru_cache(maxsize=2)
