@@ -27,6 +27,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 LONG = 200
 #: Words, and slots for pairs of pieces, that a worker remembers.
 CACHE, SLOTS = 800_000, 1 << 22
+#: Rank of pairs that don't merge.
+NEVER = np.iinfo(np.int64).max
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -108,15 +110,15 @@ class Pieces:
             index, ok = np.arange(len(places)), np.zeros(len(places), bool)
             for width in range(size, 1, -1):
                 key = row[:, :-1] * self.n + row[:, 1:]
-                rank, maybe = np.full(key.shape, np.iinfo(np.int64).max), self.pair_some[self._slot(key, 20)]
+                rank, maybe = np.full(key.shape, NEVER), self.pair_some[self._slot(key, 20)]
                 probed = key[maybe]
                 at = np.minimum(np.searchsorted(self.pair, probed), len(self.pair) - 1)
-                rank[maybe] = np.where(self.pair[at] == probed, self.pair_rank[at], np.iinfo(np.int64).max)
+                rank[maybe] = np.where(self.pair[at] == probed, self.pair_rank[at], NEVER)
                 place = np.zeros(key.shape, np.int64)
                 place[maybe] = at
                 at = rank.argmin(axis=1)
                 all_rows = np.arange(len(row))
-                ends = rank[all_rows, at] == np.iinfo(np.int64).max
+                ends = rank[all_rows, at] == NEVER
                 if width == 2:
                     ok[index[ends]] = True
                 go = ~ends & (at != edge - 1)
@@ -131,41 +133,48 @@ class Pieces:
 
     def _batch(self, words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
         """Segmentations of words of size characters: their lengths, and their ids one after the other."""
+        # positions come first, so that what advances together lies together
         n = len(words)
-        text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size)
-        total = np.zeros((n, size + 1), U)
-        np.cumsum((text.astype(U) + U(1)) * self.power[:size], axis=1, dtype=U, out=total[:, 1:])
+        text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size).T.astype(U)
+        total = np.zeros((size + 1, n), U)
+        np.cumsum((text + U(1)) * self.power[:size, None], axis=0, dtype=U, out=total[1:])
         most = min(size, self.longest)
-        found = np.full((most + 1, n, size + 1), -1, np.int64)  # by length and end
+        found = np.full((most + 1, size + 1, n), -1, np.int32)  # by length and end
         for k in range(1, most + 1):
-            key = (total[:, k:] - total[:, : size + 1 - k]) * self.inverse[: size + 1 - k]
-            maybe = self.some[(key >> U(44)).astype(np.int64)]
+            key = ((total[k:] - total[: size + 1 - k]) * self.inverse[: size + 1 - k, None]).reshape(-1)
+            maybe = np.flatnonzero(self.some[(key >> U(44)).astype(np.int64)])
             probed = key[maybe]
             place = np.minimum(np.searchsorted(self.keys, probed), len(self.keys) - 1)
-            ids = np.full(key.shape, -1, np.int64)
-            ids[maybe] = np.where(self.keys[place] == probed, self.key_ids[place], -1)
-            found[k, :, k:] = ids
-        found[1, :, 1:][found[1, :, 1:] < 0] = self.n  # an unknown character
-        score = np.full((n, size + 1), -np.inf)
-        score[:, 0] = 0
-        last, back = np.full((n, size + 1), self.n, np.int64), np.zeros((n, size + 1), np.int64)
+            found[k, k:].reshape(-1)[maybe] = np.where(self.keys[place] == probed, self.key_ids[place], -1)
+        found[1, 1:][found[1, 1:] < 0] = self.n  # an unknown character
+        score = np.full((size + 1, n), -np.inf)
+        score[0] = 0
+        last, back = np.full((size + 1, n), self.n, np.int64), np.zeros((size + 1, n), np.int64)
+        rows = np.arange(n)
         for j in range(1, size + 1):
-            k_all = np.arange(1, min(j, most) + 1)
-            piece = found[k_all, :, j]
-            before = last[:, j - k_all].T
-            value = np.where(piece >= 0, score[:, j - k_all].T + self.score[piece], -np.inf)
+            pieces = found[1 : min(j, most) + 1, j]
+            k, row = np.nonzero(pieces >= 0)
+            i = j - 1 - k
+            base = score[i, row]
+            live = base > -np.inf
+            k, row, i, base = k[live], row[live], i[live], base[live]
+            piece = pieces[k, row].astype(np.int64)
+            got = base + self.score[piece]
             if self.bpe:
-                asked = np.isfinite(value) & (piece < self.n) & (before < self.n) & (j - k_all > 0)[:, None]
-                if asked.any():
-                    value[asked] = np.where(self._stable(before[asked] * self.n + piece[asked]), value[asked], -np.inf)
-                start = (j == k_all)[:, None] & (piece >= 0) & (piece < self.n) & (k_all > 1)[:, None]
-                if start.any():  # a first piece must itself be what its characters merge to
-                    value[start] = np.where([self._whole(int(p)) for p in piece[start]], value[start], -np.inf)
+                before = last[i, row]
+                asked = np.flatnonzero((piece < self.n) & (before < self.n) & (i > 0))
+                if len(asked):
+                    got[asked[~self._stable(before[asked] * self.n + piece[asked])]] = -np.inf
+                # a first piece must itself be what its characters merge to
+                start = np.flatnonzero((i == 0) & (piece < self.n) & (k > 0))
+                if len(start):
+                    got[start[[not self._whole(p) for p in piece[start].tolist()]]] = -np.inf
+            value = np.full(pieces.shape, -np.inf)
+            value[k, row] = got
             best = value.argmax(axis=0)
-            rows = np.arange(n)
-            score[:, j], last[:, j], back[:, j] = value[best, rows], piece[best, rows], k_all[best]
+            score[j], last[j], back[j] = value[best, rows], pieces[best, rows], best + 1
+        last, back = last.T, back.T
         at, steps = np.full(n, size), []
-        rows = np.arange(n)
         while (at > 0).any():
             steps.append(np.where(at > 0, last[rows, at], -1))
             at = at - np.where(at > 0, back[rows, at], 0)
