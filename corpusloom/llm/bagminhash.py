@@ -13,7 +13,7 @@ _PAD = U(0x5851F42D4C957F2D)
 #: Bytes that are part of words: ASCII letters and digits, and every byte of longer characters.
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +60,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what one Arrow batch holds: texts differ in length by four orders of magnitude."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def grouped(texts: list[str], most: int) -> Iterator[slice]:
+    """Runs of texts of about so many characters; a longer text ends its run."""
+    at, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size > most:
+            yield slice(at, k + 1)
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield slice(at, len(texts))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import bounded, connected_components
-from .common import discard, materialize, small_batches, text_or_empty
+from .common import discard, grouped, materialize, small_batches, text_or_empty
 
 #: A link at the threshold is missed with a probability of (1 - 0.8 ** 5) ** 25 = 5e-5.
 COMPONENTS, BANDS, ROWS = 512, 25, 5
@@ -35,25 +35,14 @@ BEST = (4, None)
 GROUP_CHARS = 600_000
 
 
-def _grouped(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size > GROUP_CHARS:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from . import bagminhash as bag
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in _grouped(texts):
-                part = texts[a:b]
+            for run_of in grouped(texts, GROUP_CHARS):
+                part = texts[run_of]
                 keys = [hashlib.sha256(t.encode()).digest() for t in part]
                 first = {key: i for i, key in reversed(list(enumerate(keys)))}
                 own = sorted(first.values())
@@ -62,7 +51,7 @@ def _sketch(k: int):
                 # of each component a byte is kept
                 low = bag.mix(sig.astype(np.float32).view(np.uint32).astype(np.uint64)).astype(np.uint8)
                 found = {keys[i]: (r if n else [], s.tobytes()) for i, r, n, s in zip(own, rows, total.tolist(), low, strict=True)}
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(keys, pa.binary()), pa.array([found[key][0] for key in keys], pa.list_(pa.int64())), pa.array([found[key][1] for key in keys], pa.binary())], ["id", "key", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(run_of.start, len(part)), pa.array(keys, pa.binary()), pa.array([found[key][0] for key in keys], pa.list_(pa.int64())), pa.array([found[key][1] for key in keys], pa.binary())], ["id", "key", "bands", "sketch"])
 
     return run
 

@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import grouped, small_batches, text_or_empty
 
 #: Word buckets, kinds of bytes, buckets of metadata.
 WORDS, CLASSES, META = 512, 16, 64
+#: Characters that are turned into features at once, about.
+GROUP_CHARS = 500_000
 _CLASS = np.zeros(256, np.int64)
 for _k, _bytes in enumerate((b"aeiou", b"bcdfghjklmnpqrstvwxyz", b"AEIOU", b"BCDFGHJKLMNPQRSTVWXYZ", b"0123456789", b" \t", b"\n\r", b".", b",;:", b"!?", b"|", b"#%&$*", b"<>/\\{}[]()=", b"'\"-_"), 1):
     _CLASS[list(_bytes)] = _k
@@ -177,7 +179,8 @@ def _scoring(model: Model | None):
             if model is None:
                 p = np.ones((batch.num_rows, 3))
             else:
-                xt = text_features(batch.column("text").to_pylist())
+                texts = batch.column("text").to_pylist()
+                xt = np.concatenate([text_features(texts[part]) for part in grouped(texts, GROUP_CHARS)])
                 p = model.score(xt, meta_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "size"))))
             keep = [batch.column(c) for c in batch.schema.names if c.startswith("_k_")]
             names = [c for c in batch.schema.names if c.startswith("_k_")]

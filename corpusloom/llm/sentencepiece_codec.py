@@ -9,10 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import grouped, small_batches, text_or_empty
 
 #: Characters that are segmented, and handed back, at once.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 500_000
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows and their texts, which are the last column, in groups of about GROUP_CHARS."""
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        for part in grouped(texts, GROUP_CHARS):
+            yield batch.slice(part.start, part.stop - part.start), texts[part]
+
+
+def _flat(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after the other, and where each text's begin and the last ends."""
+    return np.concatenate(ids) if ids else np.empty(0, np.int32), np.cumsum([0, *map(len, ids)]).astype(np.int32)
 
 
 def _encode(path: str):
@@ -20,23 +33,24 @@ def _encode(path: str):
         from . import viterbi
 
         model = viterbi.load(path)
+        for rows, texts in _groups(batches):
+            values, ends = _flat(model.encode(texts))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))], [*rows.schema.names[:-1], "ids"])
 
-        def done(rows: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-            ids = model.encode(texts)
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            return pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))], [*rows.schema.names[:-1], "ids"])
+    return run
 
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            at, size = 0, 0
-            for k, t in enumerate(texts):
-                size += len(t)
-                if size > GROUP_CHARS:
-                    yield done(batch.slice(at, k + 1 - at), texts[at : k + 1])
-                    at, size = k + 1, 0
-            if at < len(texts):
-                yield done(batch.slice(at), texts[at:])
+
+def _round_trip(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from . import viterbi
+
+        model = viterbi.load(path)
+        for rows, texts in _groups(batches):
+            values, ends = _flat(model.encode(texts))
+            back = model.decode(values, ends[1:])
+            exact = [t.replace(viterbi.SPACE, " ") == b for t, b in zip(texts, back, strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(ends), pa.int64()), ids, pa.array(exact, pa.bool_())], ["id", "n_pieces", "ids", "exact"])
 
     return run
 
@@ -79,8 +93,12 @@ def decode(encoded: DataFrame, model: str, keep: list[str], ids_col: str = "ids"
 
 
 def encoded_and_checked(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_pieces, ids, exact): the pieces of every whole text, and whether decoding them gives it back."""
-    digest = F.sha2(F.replace(text_or_empty(text_col), F.lit("▁"), F.lit(" ")), 256)
-    coded = encode(docs.select(F.col(id_col), text_or_empty(text_col).alias("text"), digest.alias("digest")), model, [id_col, "digest"])
-    back = decode(coded, model, [id_col, "digest"])
-    return back.select(id_col, F.size("ids").cast("long").alias("n_pieces"), "ids", (F.sha2("decoded", 256) == F.col("digest")).alias("exact"))
+    """(id_col, n_pieces, ids, exact): the pieces of every whole text, and whether decoding them gives it back.
+
+    Both ways are gone in one pass, so that a task holds one worker and one model, and no ids travel twice. Texts, ids and rows
+    are taken as by encode() and decode().
+    """
+    small_batches(docs.sparkSession, 500)
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("_text"))
+    out = rows.mapInArrow(_round_trip(model), f"id {rows.schema['id'].dataType.simpleString()}, n_pieces long, ids array<int>, exact boolean")
+    return out.withColumnRenamed("id", id_col)

@@ -25,8 +25,8 @@ _BASE = 0x9E3779B97F4A7C55
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Words of more characters go position by position; the batch would hold one word.
 LONG = 200
-#: Words, and slots for pairs of pieces, that a worker remembers.
-CACHE, SLOTS = 800_000, 1 << 22
+#: Words (those of the text at hand may be more), and slots for pairs of pieces, that a worker remembers.
+CACHE, SLOTS = 250_000, 1 << 22
 #: Rank of pairs that don't merge.
 NEVER = np.iinfo(np.int64).max
 
@@ -248,10 +248,11 @@ class Pieces:
         none, rest = itertools.repeat(-1), range(len(split))
         places = [np.fromiter(map(self.known.get, ws, none), np.int64, len(ws)) for ws in split]
         new = {split[k][i] for k in rest for i in np.flatnonzero(places[k] < 0).tolist()}
+        for which in places:
+            self.used[which[which >= 0]] = True
         if len(self.known) + len(new) > CACHE and self.known:
-            self._forget()
-            new = {w for ws in split for w in ws}
-            places = [np.full(len(ws), -1, np.int64) for ws in split]
+            moved = self._age()
+            places = [np.where(which >= 0, moved[which], -1) for which in places]
         by: dict[int, list[str]] = {}
         for w in new:
             by.setdefault(len(w), []).append(w)
@@ -271,6 +272,7 @@ class Pieces:
                 lengths.append(n)
         self.length = np.concatenate(lengths)
         self.flat = np.concatenate(found)
+        self.used = np.append(self.used, np.zeros(len(new), bool))
         first = np.cumsum(self.length) - self.length
         out = []
         for ws, which in zip(split, places, strict=True):
@@ -281,9 +283,21 @@ class Pieces:
         return out
 
     def _forget(self) -> None:
-        """known: the number of each remembered word; length: its pieces; flat: all their ids."""
+        """known: the number of each remembered word, in order; length: its pieces; flat: all their ids; used: whether it has come again since the last ageing."""
         self.known: dict[str, int] = {}
-        self.length, self.flat = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.length, self.flat, self.used = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
+
+    def _age(self) -> np.ndarray:
+        """Forgets the words that haven't come again. The new number of each word, or -1."""
+        keep = np.flatnonzero(self.used)
+        moved = np.full(len(self.used), -1, np.int64)
+        moved[keep] = np.arange(len(keep))
+        words = list(self.known)
+        self.known = {words[i]: k for k, i in enumerate(keep.tolist())}
+        n, first = self.length[keep], (np.cumsum(self.length) - self.length)[keep]
+        self.flat = self.flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        self.length, self.used = n, np.zeros(len(keep), bool)
+        return moved
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The texts of ids, which end at the offsets ends; bytes that aren't UTF-8 become replacement characters."""
