@@ -57,6 +57,17 @@ def test_segmentation_is_the_library_s():
     assert m.decode(flat, ends) == [t.replace("▁", " ") for t in texts] == [sp.decode(x) for x in got]
 
 
+def test_words_are_forgotten_and_found_again(monkeypatch):
+    monkeypatch.setattr(viterbi, "CACHE", 60)
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=MODEL), viterbi.load(MODEL)
+    m._forget()
+    for seed in range(12):
+        texts = [t or "" for t in ODD[:9]] + mixed(6, seed) + mixed(2, 3) + ["some words come again and again"]
+        assert [x.tolist() for x in m.encode(texts)] == sp.encode(texts)
+        assert len(m.known) == len(m.length) == len(m.used) and m.length.sum() == len(m.flat)
+    m._forget()
+
+
 def test_unigram_by_brute_force():
     pieces, scores = ["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "bab"], [0, -2.0, -3.0, -3.5, -4.0, -4.5, -4.2, -6.0]
     m = viterbi.Pieces(pieces, scores, [False] + [True] * 7, bpe=False)
