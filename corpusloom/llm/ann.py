@@ -22,6 +22,8 @@ from .common import materialize, small_batches
 
 #: Vectors of a block of the index, and of a block of queries, about.
 BLOCK, QUERY_BLOCK = 4096, 1024
+#: Distinct vectors in the sample that pivots are taken from, for each pivot.
+SPREAD = 16
 
 
 def _permutations(x: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
@@ -78,6 +80,17 @@ def _search(pivots: np.ndarray, posted: int, rerank: int, k: int):
     return run
 
 
+def _spread(x: np.ndarray, count: int) -> np.ndarray:
+    """count rows of x, farthest first by angle, from the first on."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    chosen, near = [0], unit @ unit[0]
+    while len(chosen) < min(count, len(x)):
+        near[chosen[-1]] = np.inf
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, unit @ unit[chosen[-1]])
+    return x[chosen]
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector) of the rows that take part: with an id, and a vector of the commonest length without null or non-finite components that isn't zero. Of rows with one id, the smallest vector."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -91,21 +104,22 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """The k nearest found of each query (rows whose id is divisible by every): (query_id, rank, vec_id, score).
 
     Nearness is the largest inner product in double precision, ties go to the smaller id, a query doesn't find its own id. pivots:
-    size of the documented sample that the index is fitted on (the usable vectors of smallest id hash); posted: pivots in a
+    how many are taken, farthest first, from a documented sample (the SPREAD * pivots distinct vectors of smallest hash); posted: pivots in a
     vector's prefix; rerank: entries of each block (of about 4096) that are reranked. Rows that cannot take part (see usable) are neither queries nor
     candidates; other columns are ignored; fewer candidates than k are all returned; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, id_col, vector_col), "vectors")
-    fitted = [r["vector"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").collect()]
-    if not fitted:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    p = np.array(fitted, np.float64)
-    posted = min(posted, len(p))
     # of equal vectors, no query returns more than the k + 1 smallest ids
     alike = Window.partitionBy("vector").orderBy("id")
     entries = rows.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     entries = materialize(entries, "entries")
+    # equal vectors are one entry, so copies cannot crowd the pivots
+    sample = [r["vector"] for r in entries.orderBy(F.xxhash64("vector"), "vector").limit(SPREAD * pivots).select("vector").collect()]
+    if not sample:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    p = _spread(np.array(sample, np.float64), pivots)
+    posted = min(posted, len(p))
     n = entries.count()
     n_blocks = max(1, -(-n // BLOCK))
     number = F.pmod(F.xxhash64("vector"), F.lit(n_blocks))

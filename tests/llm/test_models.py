@@ -65,6 +65,35 @@ def test_ann_recall(spark, sf):
     assert np.mean(hit) >= 0.9
 
 
+def hot_vectors(n, noise=None, lengths=False):
+    """n random unit vectors of 64 dimensions of which a third are one vector, or near it (noise); or of all lengths."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(n, 64)))
+    if noise is not None:
+        hot = rng.random(n) < 1 / 3
+        x[hot] = unit(x[0] + noise * unit(rng.normal(size=(hot.sum(), 64))))
+    return x * rng.lognormal(0, 1, (n, 1)) if lengths else x
+
+
+def worst_and_mean_recall(spark, x):
+    """Copies of a neighbour count alike."""
+    got: dict = {}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    hit = []
+    for k in range(0, len(x), 20):
+        s = x @ x[k]
+        s[k] = -np.inf
+        hit.append(np.sum(np.array(got[k]) >= np.sort(s)[-20] - 1e-9) / 20)
+    return min(hit), np.mean(hit)
+
+
+def test_ann_recall_with_a_hot_vector(spark):
+    assert worst_and_mean_recall(spark, hot_vectors(6000, noise=0))[1] >= 0.9
+
+
 def test_mixture(spark):
     def rows(source, lang, n, size):
         return [(len(source) * 1000 + i, "x" * size, lang, source, 1) for i in range(n)]
