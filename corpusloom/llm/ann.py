@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by a permutation index.
+"""Nearest neighbours by a permutation index.
 
 A vector is represented by the order in which it sees a few pivots. Vectors lie in blocks; within a block each pivot has an
 inverted file of the ranks that the block's vectors give it (one column for each pivot; a vector posts its nearest ``posted``
@@ -6,6 +6,10 @@ pivots and stands at that rank in the others' files). A query adds up the footru
 it posts, takes the nearest of the block, and reranks these by the exact inner product of the original vectors. Queries
 meet the blocks in blocks of their own; the best of all blocks are merged for each query.
 
+What was reranked is a first guess and no cut: its worst hit is a floor, and every cell of the block (the vectors with one
+nearest pivot) is searched too unless no vector in it can reach the floor. By the triangle inequality of angles a query is at
+least as far from a cell as its angle to a pivot lies outside the range of the cell's angles to it. So results are exact.
+
 Equal vectors are one entry with its smallest ids, as many as a query can return.
 """
 
@@ -26,14 +30,45 @@ BLOCK, QUERY_BLOCK = 4096, 1024
 SPREAD = 16
 
 
-def _permutations(x: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
-    """Rank that each row of x gives each pivot; posted for those beyond its nearest."""
-    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :posted]
-    ranks = np.full((len(x), len(pivots)), posted, np.int16)
-    np.put_along_axis(ranks, order, np.arange(order.shape[1], dtype=np.int16)[None].repeat(len(x), 0), 1)
+def _cosines(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Of each row of x with each pivot."""
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (pivots / np.linalg.norm(pivots, axis=1, keepdims=True)).T
+
+
+def _permutations(cosines: np.ndarray, posted: int) -> np.ndarray:
+    """Rank that each row gives each pivot; posted for those beyond its nearest."""
+    order = np.argsort(-cosines, axis=1, kind="stable")[:, :posted]
+    ranks = np.full(cosines.shape, posted, np.int16)
+    np.put_along_axis(ranks, order, np.arange(order.shape[1], dtype=np.int16)[None].repeat(len(cosines), 0), 1)
     return ranks
 
 
+class _Cells:
+    """A block's vectors, sorted by their nearest pivot, and what bounds their inner products with a query."""
+
+    def __init__(self, x: np.ndarray, cosines: np.ndarray):
+        """x and its cosines with the pivots, both sorted by nearest pivot."""
+        self.x, self.ends = x, [*np.flatnonzero(np.diff(cosines.argmax(axis=1), prepend=-1)), len(x)]
+        angles, lengths = np.arccos(np.clip(cosines, -1, 1)), np.linalg.norm(x, axis=1)
+        of_cells = lambda f, v: f.reduceat(v, self.ends[:-1], axis=0)
+        self.low, self.high = of_cells(np.minimum, angles), of_cells(np.maximum, angles)
+        self.short, self.long = of_cells(np.minimum, lengths), of_cells(np.maximum, lengths)
+
+    def reaching(self, q: np.ndarray, cosines: np.ndarray, floors: np.ndarray) -> list[np.ndarray]:
+        """For each query the rows of x whose inner product is at least its floor, to within rounding."""
+        lengths = np.linalg.norm(q, axis=1)
+        floors = floors - 1e-7 * lengths * self.long.max()
+        angles = np.arccos(np.clip(cosines, -1, 1))[:, None, :]
+        most = np.cos(np.maximum(np.maximum(self.low - angles, angles - self.high), 0).max(axis=2))
+        bounds = lengths[:, None] * np.maximum(most * self.short, most * self.long)
+        scores = np.full((len(q), len(self.x)), -np.inf)
+        for cell, (a, b) in enumerate(zip(self.ends, self.ends[1:])):
+            asks = np.flatnonzero(~(bounds[:, cell] < floors))  # what overflows is searched
+            if len(asks):
+                scores[asks, a:b] = q[asks] @ self.x[a:b].T
+        return [np.flatnonzero(~(s < f)) for s, f in zip(scores, floors, strict=True)]
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
@@ -49,14 +84,17 @@ def _search(pivots: np.ndarray, posted: int, rerank: int, k: int):
                 if number not in kept:
                     kept.clear()
                     s = batch.column("block").slice(row, 1).flatten()
-                    x = _vectors(s.field("vector"))
-                    files = np.ascontiguousarray(_permutations(x, pivots, posted).T)
-                    kept[number] = (x, files, s.field("ids").to_pylist())
-                x, files, ids = kept[number]
+                    x, ids = _vectors(s.field("vector")), s.field("ids").to_pylist()
+                    cosines = _cosines(x, pivots)
+                    order = np.argsort(cosines.argmax(axis=1), kind="stable")
+                    x, cosines, ids = x[order], cosines[order], [ids[c] for c in order]
+                    kept[number] = (x, np.ascontiguousarray(_permutations(cosines, posted).T), ids, _Cells(x, cosines))
+                x, files, ids, cells = kept[number]
                 s = batch.column("queries").slice(row, 1).flatten()
                 q_ids, q = s.field("id").to_numpy(), _vectors(s.field("vector"))
-                ranks = _permutations(q, pivots, posted)
-                # entries that may hold the query itself and k more
+                q_cosines = _cosines(q, pivots)
+                ranks = _permutations(q_cosines, posted)
+                # entries that may hold the query itself and k more; a first guess
                 want = min(len(x), max(rerank, 2 * (k + 1)))
                 found = []
                 for at in range(0, len(q), 64):
@@ -69,11 +107,12 @@ def _search(pivots: np.ndarray, posted: int, rerank: int, k: int):
                         far += step
                     near = np.argpartition(far, want - 1, axis=1)[:, :want] if want < len(x) else np.arange(len(x))[None].repeat(len(part), 0)
                     score = np.einsum("qd,qcd->qc", q[at : at + 64], x[near])
-                    for i in range(len(part)):
-                        own, best, hits = q_ids[at + i], np.argsort(-score[i], kind="stable")[: 4 * k], []
-                        floor = score[i][best[min(len(best), k + 1) - 1]]
-                        for c in np.flatnonzero(score[i] >= floor):
-                            hits += [(-score[i][c], v) for v in ids[near[i][c]] if v != own]
+                    least = min(len(x), k + 1)
+                    floors = np.partition(score, want - least, axis=1)[:, want - least]
+                    for i, some in enumerate(cells.reaching(q[at : at + 64], q_cosines[at : at + 64], floors)):
+                        own, exact = q_ids[at + i], np.einsum("d,cd->c", q[at + i], x[some])
+                        floor = np.partition(exact, len(some) - least)[len(some) - least]
+                        hits = [(-exact[c], v) for c in np.flatnonzero(exact >= floor) for v in ids[some[c]] if v != own]
                         found += [(int(own), v, -s) for s, v in sorted(hits)[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
@@ -101,11 +140,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, pivots: int = 64, posted: int = 64, rerank: int = 1200) -> DataFrame:
-    """The k nearest found of each query (rows whose id is divisible by every): (query_id, rank, vec_id, score).
+    """The k nearest of each query (rows whose id is divisible by every): (query_id, rank, vec_id, score).
 
     Nearness is the largest inner product in double precision, ties go to the smaller id, a query doesn't find its own id. pivots:
     how many are taken, farthest first, from a documented sample (the SPREAD * pivots distinct vectors of smallest hash); posted: pivots in a
-    vector's prefix; rerank: entries of each block (of about 4096) that are reranked. Rows that cannot take part (see usable) are neither queries nor
+    vector's prefix; rerank: entries of each block (of about 4096) that are reranked before
+    the cells that may hold better ones; it bears on the cost and not on the result. Rows that cannot take part (see usable) are neither queries nor
     candidates; other columns are ignored; fewer candidates than k are all returned; an empty table gives an empty result.
     """
     spark = vectors.sparkSession

@@ -94,6 +94,11 @@ def test_ann_recall_with_a_hot_vector(spark):
     assert worst_and_mean_recall(spark, hot_vectors(6000, noise=0))[1] >= 0.9
 
 
+def test_ann_is_exact_in_full_blocks(spark):
+    assert worst_and_mean_recall(spark, hot_vectors(4096))[0] == 1
+    assert worst_and_mean_recall(spark, hot_vectors(5000, noise=0.1))[0] == 1
+
+
 def test_mixture(spark):
     def rows(source, lang, n, size):
         return [(len(source) * 1000 + i, "x" * size, lang, source, 1) for i in range(n)]
