@@ -142,7 +142,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, pivots: int = 64, posted: int = 64, rerank: int = 1200) -> DataFrame:
     """The k nearest of each query (rows whose id is divisible by every): (query_id, rank, vec_id, score).
 
-    Nearness is the largest inner product in double precision, ties go to the smaller id, a query doesn't find its own id. pivots:
+    Nearness is the largest inner product in double precision, of vectors of any length (cells know their lengths), ties go to the smaller id, a query doesn't find its own id. pivots:
     how many are taken, farthest first, from a documented sample (the SPREAD * pivots distinct vectors of smallest hash); posted: pivots in a
     vector's prefix; rerank: entries of each block (of about 4096) that are reranked before
     the cells that may hold better ones; it bears on the cost and not on the result. Rows that cannot take part (see usable) are neither queries nor

@@ -99,6 +99,10 @@ def test_ann_is_exact_in_full_blocks(spark):
     assert worst_and_mean_recall(spark, hot_vectors(5000, noise=0.1))[0] == 1
 
 
+def test_ann_with_vectors_of_all_lengths(spark):
+    assert worst_and_mean_recall(spark, hot_vectors(4096, lengths=True))[0] == 1
+
+
 def test_mixture(spark):
     def rows(source, lang, n, size):
         return [(len(source) * 1000 + i, "x" * size, lang, source, 1) for i in range(n)]
