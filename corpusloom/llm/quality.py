@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, small_batches, text_or_empty
+from .common import grouped, materialize, small_batches, text_or_empty
+from .components import bounded
 
 #: Word buckets, kinds of bytes, buckets of metadata.
 WORDS, CLASSES, META = 512, 16, 64
+#: Labelled ids that are broadcast at most.
+FEW_LABELS = 200_000
 #: Characters that are turned into features at once, about.
 GROUP_CHARS = 500_000
 _CLASS = np.zeros(256, np.int64)
@@ -155,16 +158,20 @@ def _sampled(rows: DataFrame, total: int, sample: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = 5000, rounds: int = 3) -> Model | None:
-    """The model, or None if the labels don't hold both classes. Conflicting labels of one id are averaged; null ids and labels are left out."""
+    """The model, or None if the labels don't hold both classes. The unlabelled documents are sampled from those without any label, so the labelled ones held out for calibration are in no part of the training. Conflicting labels of one id are averaged; null ids and labels are left out."""
     small_batches(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
+    marks = materialize(marks, "labels")
     chosen = _sampled(marks, marks.count(), sample)
     views = _views(docs, id_col)
     # the sample is bounded, whatever the size of the labels
     known = _collected(views.join(F.broadcast(chosen), "id"))
     if not len(known[2]) or len(np.unique(known[2])) < 2:
         return None
-    pool = _collected(_sampled(views, views.count(), sample).withColumn("y", F.lit(None).cast("double")))
+    # the filter by hash goes below the join, so only sampled texts meet the labels
+    labelled = bounded(marks.select("id"), FEW_LABELS)
+    total = views.select("id").join(labelled, "id", "left_anti").count()
+    pool = _collected(_sampled(views.join(labelled, "id", "left_anti"), total, sample).withColumn("y", F.lit(None).cast("double")))
     order = np.lexsort((known[0][:, -2], known[2]))  # the rows come in any order
     spread = np.argsort(np.arange(len(order)) * 7919 % max(len(order), 1), kind="stable")
     order = order[spread]

@@ -28,6 +28,20 @@ def test_quality_edges(spark):
     assert quality.classified(docs.limit(0), labels).count() == 0
 
 
+def test_quality_pool_is_unlabelled(spark, monkeypatch):
+    rows = [(i, f"text {i} " * 5, "en", "s", i) for i in range(60)] + [(None, "no id", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(50, None)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "co_train", lambda xt, xm, y, pool_t, pool_m, rounds: seen.append((y, pool_m)))
+    for few in (200_000, 0):
+        monkeypatch.setattr(quality, "FEW_LABELS", few, raising=False)
+        quality.train(docs, labels)
+        y, pool = seen.pop()
+        # lengths tell the documents
+        assert len(y) == 40 and sorted(np.rint(np.expm1(pool[:, -3] * 10)).astype(int).tolist()) == [1, *range(40, 60)]
+
+
 def brute(rows, k, every):
     x = {i: np.array(v) for i, v in rows if i is not None and v is not None and len(v) == 3 and None not in v and np.isfinite(v).all() and any(v)}
     out = []
