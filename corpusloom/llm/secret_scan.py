@@ -1,7 +1,7 @@
 """Secret scans over a ledger of content-addressed blobs, in DataFrame operations only.
 
 Every version of every path is addressed by the SHA-256 of its text. The ledger holds, for each blob, the rule versions that
-have seen it and what they found. A scan takes the blobs with at least one pending rule version, reads each such blob once
+have seen it and what each version found. A scan takes the blobs with at least one pending rule version, reads each such blob once
 however many paths carry it, and joins the findings back to all paths.
 
 A match's place is found without a user function: ``split`` gives the gaps between the matches and ``regexp_extract_all`` the
@@ -42,7 +42,7 @@ RULES = (
 )
 #: Blobs with findings that are joined to their paths by broadcast at most.
 FEW = 50_000
-FOUND = "array<struct<start:bigint,rank:int,end:bigint,rule:string>>"
+FOUND = "array<struct<start:bigint,rank:int,end:bigint,rule:string,version:string>>"
 LEDGER = f"blob binary, scanned array<string>, found {FOUND}"
 
 
@@ -86,7 +86,8 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     upto = Window.partitionBy("blob", "rank").orderBy("k")
     ends = each.withColumn("end", F.sum((F.col("gap") + F.col("len")).cast("long")).over(upto)).where("ok")
     name = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rank") + 1)
-    span = F.struct((F.col("end") - F.col("len")).alias("start"), "rank", "end", name.alias("rule"))
+    version = F.element_at(F.array(*[F.lit(r.version) for r in rules]), F.col("rank") + 1)
+    span = F.struct((F.col("end") - F.col("len")).alias("start"), "rank", "end", name.alias("rule"), version.alias("version"))
     return ends.groupBy("blob").agg(F.array_sort(F.collect_list(span)).cast(FOUND).alias("found"))
 
 
@@ -97,7 +98,19 @@ def extend_ledger(ledger: DataFrame | None, blobs: DataFrame, found: DataFrame)
     if ledger is None:
         return now
     both = ledger.select("blob", "scanned", "found").unionByName(now)
-    return both.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("scanned")))).alias("scanned"), F.array_sort(F.flatten(F.collect_list("found"))).cast(FOUND).alias("found"))
+    return both.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("scanned")))).alias("scanned"), _merged().alias("found"))
+
+
+def _merged() -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).cast(FOUND)
+
+
+def _current(found: Column, rules: tuple[Rule, ...]) -> Column:
+    """The findings of these versions of the rules, with the rules' present ranks."""
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    place = lambda s: F.array_position(keys, F.concat_ws("@", s["rule"], s["version"])).cast("int")
+    ranked = lambda s: F.struct(s["start"].alias("start"), (place(s) - 1).alias("rank"), s["end"].alias("end"), s["rule"].alias("rule"), s["version"].alias("version"))
+    return F.transform(F.filter(found, lambda s: place(s) > 0), ranked).cast(FOUND)
 
 
 def joined(found: Column) -> Column:
@@ -109,13 +122,12 @@ def scan_paths(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text"
 
     A null or empty text is the empty blob and has no findings; a null path stays null; repeated rows each keep their row;
     columns other than the two named are ignored; an empty table gives an empty result. With a ledger (see extend_ledger),
-    only rule versions that haven't seen a blob are run, and older findings of the same rules come from the ledger.
+    only rule versions that haven't seen a blob are run, and older findings of the same rule versions come from the ledger: those of other versions are left out.
     """
     fresh = scan_blobs(pending_blobs(docs, text_col, rules, ledger), rules)
     if ledger is not None:
-        keep = F.array(*[F.lit(r.kind) for r in rules])
-        old = ledger.select("blob", F.filter("found", lambda s: F.array_contains(keep, s["rule"])).alias("found")).where(F.size("found") > 0)
-        fresh = fresh.unionByName(old).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).cast(FOUND).alias("found"))
+        old = ledger.select("blob", _current(F.col("found"), rules).alias("found")).where(F.size("found") > 0)
+        fresh = fresh.unionByName(old).groupBy("blob").agg(_merged().alias("found"))
     # written first: the join then has an exchange of its own on both sides, and adaptive execution can split a blob of many paths
     fresh = bounded(materialize(fresh, "findings"), FEW)
     paths = docs.select(F.col(path_col), address(text_or_empty(text_col)).alias("blob"))

@@ -56,6 +56,23 @@ def test_ledger(spark):
     assert secret_scan.scan_paths(one.limit(0)).count() == 0
 
 
+def test_raised_version(spark):
+    from corpusloom.llm.common import materialize
+
+    docs = spark.createDataFrame([(1, "a" * 32), (2, "b" * 40), (3, "token = abcdefgh1 " + "c" * 40)], "doc_id long, text string")
+    first = secret_scan.pending_blobs(docs, "text", secret_scan.RULES, None)
+    ledger = materialize(secret_scan.extend_ledger(None, first, secret_scan.scan_blobs(first)), "ledger")
+    raised = (secret_scan.Rule("hex", r"[0-9a-f]{40,}", version="2"), *secret_scan.RULES[:2])
+    pending = secret_scan.pending_blobs(docs, "text", raised, ledger)
+    book = materialize(secret_scan.extend_ledger(ledger, pending, secret_scan.scan_blobs(pending, raised)), "ledger")
+    want = {1: [], 2: [("hex", 0, 0, 40)], 3: [("assign", 1, 0, 17), ("hex", 0, 18, 58)]}
+    for known in (ledger, book):
+        got = secret_scan.scan_paths(docs, rules=raised, ledger=known).collect()
+        assert {r.doc_id: [(s["rule"], s["rank"], s["start"], s["end"]) for s in r.found] for r in got} == want
+    # the same scan entered twice changes nothing
+    assert secret_scan.extend_ledger(book, pending, secret_scan.scan_blobs(pending, raised)).exceptAll(book).count() == 0
+
+
 def test_lines(spark, monkeypatch):
     html = lambda *ls: "<html><head><title>t</title></head><body><script>x<p>y</p></script>" + "".join(f"<p>{x}</p>" for x in ls) + "</body></html>"
     rows = [(i, "http://www.a.com/x", html("menu", f"own {i}", "menu", "a &amp; b")) for i in range(6)] + [(10, "http://b.com", html("menu", "solo")), (11, None, html("menu")), (12, "nonsense", None), (13, "http://A.com:80/", html("menu")), (14, "http://user@www.a.com?q", html("menu"))]
