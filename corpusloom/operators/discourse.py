@@ -10,17 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONNECTIVES = ("and", "but", "or", "because", "if", "when", "while", "although", "however", "therefore")
-LIMIT = 512
 
 
-def encode(text: Column, limit: int = LIMIT) -> Column:
-    """The first ``limit`` tokens, as the encoder of such a parser would truncate them."""
-    return F.slice(F.regexp_extract_all(text, F.lit(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"), 0), 1, limit)
+def encode(text: Column, limit: int | None = None) -> Column:
+    """The tokens; the first ``limit`` of them, where given, as the encoder of a trained parser would truncate them (at 512)."""
+    tokens = F.regexp_extract_all(text, F.lit(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"), 0)
+    return tokens if limit is None else F.slice(tokens, 1, limit)
 
 
-def parse(docs: DataFrame, connectives: tuple[str, ...] = CONNECTIVES) -> DataFrame:
-    """(doc_id, level1, level2, level3, arg1_span, arg2_span, connective, explicit, direction): one relation for each text; without a connective it is implicit and its arguments are empty."""
-    t = encode(F.coalesce(F.col("text"), F.lit("")))
+def parse(docs: DataFrame, connectives: tuple[str, ...] = CONNECTIVES, limit: int | None = None) -> DataFrame:
+    """(doc_id, level1, level2, level3, arg1_span, arg2_span, connective, explicit, direction): one relation for each text; without a connective it is implicit and its arguments are empty. The whole text is read, or its first ``limit`` tokens."""
+    t = encode(F.coalesce(F.col("text"), F.lit("")), limit)
     at = F.array_min(F.filter(F.transform("t", lambda w, i: F.when(F.lower(w).isin(*connectives), i)), lambda i: i.isNotNull()))
     x = docs.select("doc_id", t.alias("t")).withColumn("at", at)
     joined = lambda start, n: F.array_join(F.slice(F.col("t"), start, n), " ")
@@ -28,7 +28,7 @@ def parse(docs: DataFrame, connectives: tuple[str, ...] = CONNECTIVES) -> DataFr
     here = F.coalesce("at", F.lit(0))
     return x.select(
         "doc_id", F.lit("Expansion").alias("level1"), F.lit("Conjunction").alias("level2"), F.lit(None).cast("string").alias("level3"),
-        F.when(some, joined(F.lit(1), here)).otherwise("").alias("arg1_span"), F.when(some, joined(here + 2, F.lit(LIMIT))).otherwise("").alias("arg2_span"),
+        F.when(some, joined(F.lit(1), here)).otherwise("").alias("arg1_span"), F.when(some, joined(here + 2, F.size("t"))).otherwise("").alias("arg2_span"),
         F.when(some, F.get("t", here)).alias("connective"), F.when(some, "true").otherwise("false").alias("explicit"), F.lit("forward").alias("direction"),
     )
 

@@ -118,3 +118,12 @@ def test_discourse(spark):
     a, b, c = discourse.parse(df).orderBy("doc_id").collect()
     assert (a.arg1_span, a.connective, a.arg2_span, a.explicit) == ("We came", "because", "they left", "true")
     assert b.explicit == c.explicit == "false" and a.level1 == "Expansion"
+
+
+def test_discourse_reads_the_whole_text(spark):
+    text = "word " * 600 + "but " + "more " * 600
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = discourse.parse(docs).collect()
+    assert (r.connective, r.explicit, r.arg1_span, r.arg2_span) == ("but", "true", ("word " * 600).strip(), ("more " * 600).strip())
+    (r,) = discourse.parse(docs, limit=512).collect()
+    assert (r.explicit, r.arg1_span) == ("false", "")
