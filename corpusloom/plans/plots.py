@@ -1,13 +1,10 @@
-"""Optional pictures of plot-ready tables, drawn on the driver from one document's rows. The tables are the product; nothing else needs this."""
+"""Optional pictures of plot-ready tables, drawn on the driver from all of one document's rows. The tables are the product; nothing else needs this."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A document has fewer windows or edges than this in any picture that can be read.
-MOST = 10_000
-
 
 def _axes():
     try:
@@ -22,7 +19,7 @@ def _axes():
 
 def save_series(series: DataFrame, doc_id, path: str, kind: str = "line") -> None:
     """series (doc_id, midpoint, values…) of one document as lines, stacked bars ("bar") or stacked areas ("area")."""
-    rows = series.where(F.col("doc_id") == doc_id).orderBy("midpoint").limit(MOST).toPandas().drop(columns="doc_id").set_index("midpoint")
+    rows = series.where(F.col("doc_id") == doc_id).orderBy("midpoint").toPandas().drop(columns="doc_id").set_index("midpoint")
     figure, axes = _axes()
     rows.plot(kind=kind, stacked=kind in ("bar", "area"), ax=axes, xlabel="sentence")
     figure.savefig(path)
@@ -30,8 +27,8 @@ def save_series(series: DataFrame, doc_id, path: str, kind: str = "line") -> Non
 
 def save_network(tables: dict[str, DataFrame], doc_id, path: str) -> None:
     """One document's network, from the tables of runners.network()."""
-    nodes = tables["node_style"].join(tables["places"], ["doc_id", "node_id"]).where(F.col("doc_id") == doc_id).limit(MOST).toPandas()
-    edges = tables["edge_style"].where(F.col("doc_id") == doc_id).limit(MOST).toPandas()
+    nodes = tables["node_style"].join(tables["places"], ["doc_id", "node_id"]).where(F.col("doc_id") == doc_id).toPandas()
+    edges = tables["edge_style"].where(F.col("doc_id") == doc_id).toPandas()
     at = {r.node_id: (r.x, r.y) for r in nodes.itertuples()}
     figure, axes = _axes()
     for e in edges.itertuples():

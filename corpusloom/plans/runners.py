@@ -12,10 +12,15 @@ from ..operators import concepts, graph, lexical, lm, syntax
 from ..operators.annotate import Annotator, RuleAnnotator
 from ..operators.windows import sliding, tumbling
 
+#: Configured books that are broadcast at most; more meet the texts in a shuffle join.
+FEW_BOOKS = 100_000
+
 
 def preprocess(texts: DataFrame, config: DataFrame) -> DataFrame:
     """(name, text): of texts (name, text) with a row in config (book, start_marker, end_marker, patterns), trimmed to the markers, without the patterns, and with clean white space. Each row's patterns are its own: they are applied in order by a fold."""
-    x = texts.join(F.broadcast(config.select("book", "start_marker", "end_marker", "patterns").limit(100_000)), F.lower("name") == F.lower("book"))
+    books = config.select("book", "start_marker", "end_marker", "patterns")
+    books = F.broadcast(books) if books.limit(FEW_BOOKS + 1).count() <= FEW_BOOKS else books
+    x = texts.join(books, F.lower("name") == F.lower("book"))
     text = F.when(F.col("start_marker").isNotNull(), trim_to_start(F.col("text"), F.col("start_marker"))).otherwise(F.col("text"))
     x = x.withColumn("text", text)
     x = x.withColumn("text", F.when(F.col("end_marker").isNotNull(), trim_to_end(F.col("text"), F.col("end_marker"))).otherwise(F.col("text")))

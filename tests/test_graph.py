@@ -71,3 +71,18 @@ def test_places_and_errors(nodes):
     fields = {"x": "double"}
     got = graph._per_document(nodes, edges, fields, lambda n, *g: {"x": np.ones(n)} if n < 4 else 1 / 0, errors=True).collect()
     assert {(r.doc_id, r.x, (r.error or "")[:17]) for r in got} == {(1, None, "ZeroDivisionError"), (2, 1.0, "")}
+
+
+def test_pictures_hold_all_rows(spark, monkeypatch):
+    from unittest.mock import MagicMock
+
+    from corpusloom.plans import plots
+
+    figure, axes = MagicMock(), MagicMock()
+    monkeypatch.setattr(plots, "_axes", lambda: (figure, axes))
+    monkeypatch.setattr(plots, "MOST", 1, raising=False)
+    styles = spark.createDataFrame([(1, i, 1.0, 0, 1.0) for i in range(3)], "doc_id long, node_id long, size double, colour int, border double")
+    places = spark.createDataFrame([(1, i, float(i), 0.0) for i in range(3)], "doc_id long, node_id long, x double, y double")
+    edges = spark.createDataFrame([(1, 0, 1, 1.0, 1.0), (1, 1, 2, 1.0, 1.0)], "doc_id long, src long, dst long, width double, alpha double")
+    plots.save_network({"node_style": styles, "places": places, "edge_style": edges}, 1, "x.png")
+    assert axes.plot.call_count == 2 and len(axes.scatter.call_args.args[0]) == 3

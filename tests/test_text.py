@@ -9,6 +9,7 @@ from corpusloom.functions.rounding import exact_round
 from corpusloom.functions.text import base_name, clean_text, midpoint, remove_boilerplate, remove_patterns
 from corpusloom.operators.windows import chunks, sliding, tumbling
 from corpusloom.sources.books import PATTERNS, config
+from corpusloom.plans import runners
 from corpusloom.plans.runners import preprocess
 
 
@@ -79,3 +80,12 @@ def test_chunks(spark, n, size, stride):
     words = [f"w{k}" for k in range(n)]
     assert got == [(i, min(i + size, n), len(words[i : i + size]), words[i : i + size]) for i in range(0, n, size - stride)]
     assert not math.isnan(len(got))
+
+
+def test_preprocess_with_many_books(spark, monkeypatch):
+    n = 100_010
+    books = spark.range(n).selectExpr("concat('b', id) as book", "cast(null as string) as start_marker", "cast(null as string) as end_marker", "cast(null as array<string>) as patterns")
+    texts = books.selectExpr("book as name", "'x' as text")
+    assert preprocess(texts, books).count() == n
+    monkeypatch.setattr(runners, "FEW_BOOKS", n)
+    assert preprocess(texts, books).count() == n
