@@ -1,8 +1,9 @@
 """Secret scans over a ledger of content-addressed blobs, in DataFrame operations only.
 
 Every version of every path is addressed by the SHA-256 of its text. The ledger holds, for each blob, the rule versions that
-have seen it and what each version found. A scan takes the blobs with at least one pending rule version, reads each such blob once
-however many paths carry it, and joins the findings back to all paths.
+have seen it and what each version found. A scan takes the blobs with at least one pending rule version, finds the spans of each
+such blob once however many paths carry it, and joins the findings back to all paths. Texts in which no pattern occurs at all are
+not shuffled: each is passed over where it lies, and only the addresses go into the ledger.
 
 A match's place is found without a user function: ``split`` gives the gaps between the matches and ``regexp_extract_all`` the
 matches themselves, in the same order, so a running sum of their lengths is the position.
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import discard, materialize, quoted, text_or_empty
 from .components import bounded
 
 
@@ -50,17 +51,32 @@ def address(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def pending_blobs(docs: DataFrame, text_col: str, rules: tuple[Rule, ...], ledger: DataFrame | None) -> DataFrame:
-    """(blob, text, pending): each blob that some rule version hasn't seen, once. Copies meet in map-side aggregation first, so a blob that a third of all paths share costs one row a task."""
+def candidate(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether some rule's pattern occurs in the text."""
+    return text.rlike("|".join(f"(?:{r.pattern})" for r in rules))
+
+
+def pending_blobs(docs: DataFrame, text_col: str, rules: tuple[Rule, ...], ledger: DataFrame | None, whole: bool = True) -> DataFrame:
+    """(blob, text, pending): each blob that some rule version hasn't seen, once. Copies meet in map-side aggregation first, so a blob that a third of all paths share costs one row a task.
+
+    whole: whether all texts are asked for; else those without a candidate of any rule are null, and stay where they lie instead of being shuffled.
+    """
     text = text_or_empty(text_col)
     every = F.array(*[F.lit(r.key) for r in rules])
     blobs = docs.select(address(text).alias("blob"), text.alias("text"))
-    if ledger is None:
-        return blobs.groupBy("blob").agg(F.first("text").alias("text")).withColumn("pending", every)
-    # the blob is not a join key of the whole texts until the seen ones are gone
-    seen = ledger.select("blob", "scanned")
-    fresh = blobs.groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left")
-    return fresh.select("blob", "text", F.array_except(every, F.coalesce("scanned", F.array().cast("array<string>"))).alias("pending")).where(F.size("pending") > 0)
+    if ledger is not None:
+        # the addresses alone meet the ledger; the texts meet what is left of them
+        scanned = F.coalesce("scanned", F.array().cast("array<string>"))
+        fresh = blobs.select("blob").distinct().join(ledger.select("blob", "scanned"), "blob", "left").select("blob", F.array_except(every, scanned).alias("pending"))
+        fresh = materialize(fresh.where(F.size("pending") > 0), "pending")
+        if fresh.isEmpty():
+            return blobs.join(fresh.limit(0), "blob").select("blob", "text", "pending")
+        # where nearly all is pending, the texts are made distinct first and meet the addresses then
+        few = bounded(fresh, FEW)
+        blobs = blobs.join(few, "blob", "left_semi") if few is not fresh else blobs
+    kept = F.col("text") if whole else F.when(candidate(F.col("text"), rules), F.col("text"))
+    blobs = blobs.select("blob", kept.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    return blobs.withColumn("pending", every) if ledger is None else blobs.join(fresh, "blob")
 
 
 def _sizes(rank: int, least: int):
@@ -73,7 +89,6 @@ def _of_kind(kind: str):
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, found): the spans of every pending rule in each blob that has any, by start and then by the order of the rules. Positions count code points, ends are exclusive."""
-    some = "|".join(f"(?:{r.pattern})" for r in rules)
     none = F.array().cast("array<struct<rank:int,gap:int,len:int,ok:boolean>>")
     hits = []
     for rank, r in enumerate(rules):
@@ -82,7 +97,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         found = F.arrays_zip(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("gap"), whole.alias("whole"), part.alias("part"))
         rows = F.transform(found, _sizes(rank, r.least))
         hits.append(F.when(F.array_contains("pending", r.key), rows).otherwise(none))
-    each = blobs.where(F.col("text").rlike(some)).select("blob", F.posexplode(F.concat(*hits)).alias("k", "m")).select("blob", "k", "m.*")
+    each = blobs.where(candidate(F.col("text"), rules)).select("blob", F.posexplode(F.concat(*hits)).alias("k", "m")).select("blob", "k", "m.*")
     upto = Window.partitionBy("blob", "rank").orderBy("k")
     ends = each.withColumn("end", F.sum((F.col("gap") + F.col("len")).cast("long")).over(upto)).where("ok")
     name = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rank") + 1)
@@ -117,21 +132,29 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["rule"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def updated_ledger(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+    """The ledger after docs have been scanned by the rule versions that it doesn't hold for their blobs, as a table in the shared folder; write it where the next scan finds it."""
+    blobs = materialize(pending_blobs(docs, text_col, rules, ledger, whole=False), "blobs")
+    out = materialize(extend_ledger(ledger, blobs, scan_blobs(blobs, rules)), "ledger")
+    discard(blobs)
+    return out
+
+
 def scan_paths(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """(path, blob, found) for every row of docs; found is empty where nothing was found.
 
-    A null or empty text is the empty blob and has no findings; a null path stays null; repeated rows each keep their row;
-    columns other than the two named are ignored; an empty table gives an empty result. With a ledger (see extend_ledger),
-    only rule versions that haven't seen a blob are run, and older findings of the same rule versions come from the ledger: those of other versions are left out.
+    A null or empty text is the empty blob and has no findings; a text of any length is read whole; a null path stays null;
+    repeated rows each keep their row; findings at one place (ties) stand in the order of the rules; columns other than the two
+    named are ignored; an empty table gives an empty result. With a ledger (see updated_ledger), only rule versions that haven't
+    seen a blob are run, and findings of the same rule versions come from the ledger: those of other versions are left out, and
+    no finding can come twice.
     """
-    fresh = scan_blobs(pending_blobs(docs, text_col, rules, ledger), rules)
-    if ledger is not None:
-        old = ledger.select("blob", _current(F.col("found"), rules).alias("found")).where(F.size("found") > 0)
-        fresh = fresh.unionByName(old).groupBy("blob").agg(_merged().alias("found"))
+    book = updated_ledger(docs, text_col, rules, ledger)
+    found = book.select("blob", _current(F.col("found"), rules).alias("found")).where(F.size("found") > 0)
     # written first: the join then has an exchange of its own on both sides, and adaptive execution can split a blob of many paths
-    fresh = bounded(materialize(fresh, "findings"), FEW)
-    paths = docs.select(F.col(path_col), address(text_or_empty(text_col)).alias("blob"))
-    return paths.join(fresh, "blob", "left").select(path_col, "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
+    found = bounded(materialize(found, "findings"), FEW)
+    paths = docs.select(quoted(path_col).alias("path"), address(text_or_empty(text_col)).alias("blob"))
+    return paths.join(found, "blob", "left").select(F.col("path").alias(path_col), "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
 
 def report(found: DataFrame, path_col: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
