@@ -1,33 +1,39 @@
 """Nearest neighbours by a permutation index.
 
-A vector is represented by the order in which it sees a few pivots. Vectors lie in blocks; within a block each pivot has an
-inverted file of the ranks that the block's vectors give it (one column for each pivot; a vector posts its nearest ``posted``
-pivots and stands at that rank in the others' files). A query adds up the footrule distance over the files of the pivots that
-it posts, takes the nearest of the block, and reranks these by the exact inner product of the original vectors. Queries
-meet the blocks in blocks of their own; the best of all blocks are merged for each query.
+A vector is represented by the order in which it sees a few pivots. The first pivot, or the first two where many vectors begin
+alike, is the cell that it lies in; small cells share a shard, large ones have several. Within a shard each pivot has an inverted
+file of the ranks that the shard's vectors give it (a vector stands in the files of its nearest ``posted`` pivots, and at that
+rank in the others).
 
-What was reranked is a first guess and no cut: its worst hit is a floor, and every cell of the block (the vectors with one
-nearest pivot) is searched too unless no vector in it can reach the floor. By the triangle inequality of angles a query is at
-least as far from a cell as its angle to a pivot lies outside the range of the cell's angles to it. So results are exact.
+1. A query goes to the one shard of the cell that lies best for it, adds up the footrule distance over the files of the pivots
+   that it posts itself, and reranks the nearest by the exact inner product of the original vectors. What it finds there is a
+   guess, and its worst hit a floor.
+2. With its floor it goes to every other shard with a cell that can reach it, and to no other: by the triangle inequality of
+   angles a query is at least as far from a cell as its angle to any pivot lies outside the range of the cell's angles to that
+   pivot. Within a shard, cells that can't reach the floor are passed over as well.
 
-Equal vectors are one entry with its smallest ids, as many as a query can return.
+So nothing is cut and results are exact; how much is searched depends on how far the vectors lie in groups. Equal vectors are one
+entry with its smallest ids, as many as a query can return.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import arrow_batches, discard, materialize, sliced
 
-#: Vectors of a block of the index, and of a block of queries, about.
-BLOCK, QUERY_BLOCK = 4096, 1024
+#: Entries of a shard, and queries that go to it together, about.
+SHARD, QUERY_BLOCK = 4096, 1024
 #: Distinct vectors in the sample that pivots are taken from, for each pivot.
 SPREAD = 16
+ASKED = "shard long, queries array<struct<id:long,floor:double,vector:array<double>>>"
+HITS = "query_id long, vec_id long, score double"
 
 
 def _cosines(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -43,78 +49,215 @@ def _permutations(cosines: np.ndarray, posted: int) -> np.ndarray:
     return ranks
 
 
-class _Cells:
-    """A block's vectors, sorted by their nearest pivot, and what bounds their inner products with a query."""
-
-    def __init__(self, x: np.ndarray, cosines: np.ndarray):
-        """x and its cosines with the pivots, both sorted by nearest pivot."""
-        self.x, self.ends = x, [*np.flatnonzero(np.diff(cosines.argmax(axis=1), prepend=-1)), len(x)]
-        angles, lengths = np.arccos(np.clip(cosines, -1, 1)), np.linalg.norm(x, axis=1)
-        of_cells = lambda f, v: f.reduceat(v, self.ends[:-1], axis=0)
-        self.low, self.high = of_cells(np.minimum, angles), of_cells(np.maximum, angles)
-        self.short, self.long = of_cells(np.minimum, lengths), of_cells(np.maximum, lengths)
-
-    def reaching(self, q: np.ndarray, cosines: np.ndarray, floors: np.ndarray) -> list[np.ndarray]:
-        """For each query the rows of x whose inner product is at least its floor, to within rounding."""
-        lengths = np.linalg.norm(q, axis=1)
-        floors = floors - 1e-7 * lengths * self.long.max()
-        angles = np.arccos(np.clip(cosines, -1, 1))[:, None, :]
-        most = np.cos(np.maximum(np.maximum(self.low - angles, angles - self.high), 0).max(axis=2))
-        bounds = lengths[:, None] * np.maximum(most * self.short, most * self.long)
-        scores = np.full((len(q), len(self.x)), -np.inf)
-        for cell, (a, b) in enumerate(zip(self.ends, self.ends[1:])):
-            asks = np.flatnonzero(~(bounds[:, cell] < floors))  # what overflows is searched
-            if len(asks):
-                scores[asks, a:b] = q[asks] @ self.x[a:b].T
-        return [np.flatnonzero(~(s < f)) for s, f in zip(scores, floors, strict=True)]
+def _prefixes(cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each row and the one after it (the same one if there is no other)."""
+    first, rows = cosines.argmax(axis=1), np.arange(len(cosines))
+    rest = cosines.copy()
+    rest[rows, first] = -np.inf
+    return first, rest.argmax(axis=1) if cosines.shape[1] > 1 else first
+
+
+@dataclass
+class Bounds:
+    """Of some groups of vectors: the range of their angles to each pivot, and of their lengths."""
+
+    low: np.ndarray
+    high: np.ndarray
+    short: np.ndarray
+    long: np.ndarray
+
+    def most(self, q: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+        """(queries, groups): what no inner product with a member exceeds, to within rounding."""
+        lengths, out = np.linalg.norm(q, axis=1), np.empty((len(q), len(self.low)))
+        angles = np.arccos(np.clip(cosines, -1, 1))
+        for at in range(0, len(q), 16):
+            a = angles[at : at + 16, None, :]
+            near = np.cos(np.maximum(np.maximum(self.low - a, a - self.high), 0).max(axis=2))
+            out[at : at + 16] = lengths[at : at + 16, None] * (np.maximum(near * self.short, near * self.long) + 1e-7 * self.long)
+        return out
+
+
+def _bounds(cosines: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> Bounds:
+    """Of runs of rows that begin at starts."""
+    angles = np.arccos(np.clip(cosines, -1, 1))
+    return Bounds(np.minimum.reduceat(angles, starts), np.maximum.reduceat(angles, starts), np.minimum.reduceat(lengths, starts), np.maximum.reduceat(lengths, starts))
+
+
+@dataclass
+class Routes:
+    """Where things lie: of each pair of first pivots the cell (-1: none) and, of each cell, its first shard and how many it has."""
+
+    pivots: np.ndarray
+    cell: np.ndarray
+    shard: np.ndarray
+    parts: np.ndarray
+    bounds: Bounds | None = None
+
+    def home(self, most: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The shard that each query begins with: that of the cell of the greatest bound."""
+        best = np.nan_to_num(most, nan=np.inf).argmax(axis=1)
+        return self.shard[best] + ids % self.parts[best]
+
+
+def _planned(pivots: np.ndarray, counts: dict[tuple[int, int], int]) -> Routes:
+    """Cells of the first pivot, of the first two where there are more than a shard of them; neighbouring cells share a shard while there is room."""
+    n = len(pivots)
+    cell, shard, parts = np.full((n, n), -1, np.int64), [], []
+    by_first: dict[int, int] = {}
+    for (a, _), c in counts.items():
+        by_first[a] = by_first.get(a, 0) + c
+    groups = [([(a, b) for (x, b) in sorted(counts) if x == a], t) for a, t in sorted(by_first.items()) if t <= SHARD]
+    groups += [([pair], c) for pair, c in sorted(counts.items()) if by_first[pair[0]] > SHARD]
+    at, room = -1, 0
+    for number, (pairs, size) in enumerate(groups):
+        for a, b in pairs:
+            cell[a, b] = number
+        if size > SHARD:
+            split = -(-size // SHARD)
+            shard.append(at + 1)
+            parts.append(split)
+            at, room = at + split, 0
+            continue
+        if size > room or at < 0:
+            at, room = at + 1, SHARD
+        room -= size
+        shard.append(at)
+        parts.append(1)
+    return Routes(pivots, cell, np.array(shard, np.int64), np.array(parts, np.int64))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
+def _posted(pivots: np.ndarray):
+    """Entries with their first two pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 4096):
+            first, second = _prefixes(_cosines(_vectors(batch.column("vector")), pivots))
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64()), batch.column("part"), batch.column("vector"), batch.column("ids")], ["first", "second", "part", "vector", "ids"])
+
+    return run
+
+
+def _measured(routes: Routes):
+    """Bounds of the cells, as far as a task has seen them: (cell, pivot, low, high, short, long)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, list[np.ndarray]] = {}
+        for batch in sliced(batches, 4096):
+            x = _vectors(batch.column("vector"))
+            cells = routes.cell[batch.column("first").to_numpy(), batch.column("second").to_numpy()]
+            order = np.argsort(cells, kind="stable")
+            cells, x = cells[order], x[order]
+            starts = np.flatnonzero(np.diff(cells, prepend=-1))
+            b = _bounds(_cosines(x, routes.pivots), np.linalg.norm(x, axis=1), starts)
+            for c, *found in zip(cells[starts].tolist(), b.low, b.high, b.short, b.long):
+                old = seen.get(c, found)
+                seen[c] = [np.minimum(old[0], found[0]), np.maximum(old[1], found[1]), np.minimum(old[2], found[2]), np.maximum(old[3], found[3])]
+        for c, (low, high, short, long) in seen.items():
+            n = len(low)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c)), pa.array(np.arange(n)), pa.array(low), pa.array(high), pa.array(np.full(n, short)), pa.array(np.full(n, long))], ["cell", "pivot", "low", "high", "short", "long"])
+
+    return run
+
+
+def _sent(routes: Routes, homes: bool):
+    """Queries (id, floor, vector) in lists by the shards that they go to: their own, or all others that can reach the floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = routes.shard + routes.parts
+        for batch in sliced(batches, QUERY_BLOCK):
+            ids, q = batch.column("id").to_numpy(), _vectors(batch.column("vector"))
+            most = routes.bounds.most(q, _cosines(q, routes.pivots))
+            home = routes.home(most, ids)
+            if homes:
+                wanted = {s: np.flatnonzero(home == s) for s in np.unique(home).tolist()}
+            else:
+                floors = batch.column("floor").to_numpy(zero_copy_only=False)
+                reach = ~(most < floors[:, None])  # what overflows is searched
+                wanted = {}
+                for s in range(int(ends.max())):
+                    cells = (routes.shard <= s) & (s < ends)
+                    wanted[s] = np.flatnonzero(reach[:, cells].any(axis=1) & (home != s))
+            for s, rows in wanted.items():
+                if len(rows):
+                    part = batch.take(pa.array(rows))
+                    each = pa.StructArray.from_arrays([part.column(c) for c in ("id", "floor", "vector")], ["id", "floor", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), each)], ["shard", "queries"])
+
+    return run
+
+
+class _Shard:
+    """A shard's entries, sorted by nearest pivot, with the inverted files and the bounds of its own cells."""
+
+    def __init__(self, block: pa.Array, pivots: np.ndarray, posted: int):
+        x, ids = _vectors(block.field("vector")), block.field("ids").to_pylist()
+        cosines = _cosines(x, pivots)
+        order = np.argsort(cosines.argmax(axis=1), kind="stable")
+        self.x, self.ids, cosines = x[order], [ids[c] for c in order], cosines[order]
+        self.starts = np.flatnonzero(np.diff(cosines.argmax(axis=1), prepend=-1))
+        self.ends = [*self.starts[1:].tolist(), len(x)]
+        self.bounds = _bounds(cosines, np.linalg.norm(self.x, axis=1), self.starts)
+        self.files = np.ascontiguousarray(_permutations(cosines, posted).T)
+
+    def guessed(self, q: np.ndarray, ranks: np.ndarray, posted: int, want: int, least: int) -> np.ndarray:
+        """Of each query the least-th best inner product among the want entries nearest by footrule."""
+        out = np.empty(len(q))
+        for i, own in enumerate(ranks):
+            asks = np.flatnonzero(own < posted)
+            far = np.abs(self.files[asks] - own[asks, None]).sum(axis=0, dtype=np.int32)
+            near = np.argpartition(far, want - 1)[:want] if want < len(far) else np.arange(len(far))
+            score = self.x[near] @ q[i]
+            out[i] = np.partition(score, len(score) - least)[len(score) - least]
+        return out
+
+    def hits(self, q: np.ndarray, own: np.ndarray, floors: np.ndarray, most: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+        """Of each query its k best here, of those whose inner product is at least its floor."""
+        score = np.full((len(q), len(self.x)), -np.inf)
+        for cell, (a, b) in enumerate(zip(self.starts, self.ends, strict=True)):
+            asks = np.flatnonzero(~(most[:, cell] < floors))
+            if len(asks):
+                score[asks, a:b] = q[asks] @ self.x[a:b].T
+        slack = floors - 1e-7 * np.abs(floors)
+        for i in range(len(q)):
+            some = np.flatnonzero(~(score[i] < slack[i]))
+            if len(some) > k + 1:
+                # one entry may hold the query itself
+                cut = np.partition(score[i][some], len(some) - k - 1)[len(some) - k - 1]
+                some = some[~(score[i][some] < cut - 1e-7 * abs(cut))]
+            exact = np.einsum("d,cd->c", q[i], self.x[some])
+            found = [(-s, v) for s, c in zip(exact.tolist(), some.tolist(), strict=True) for v in self.ids[c] if v != own[i]]
+            for s, v in sorted(found)[:k]:
+                yield int(own[i]), v, -s
+
+
 def _search(pivots: np.ndarray, posted: int, rerank: int, k: int):
-    """Of rows (queries, block), each a list of entries, the k best hits of each query in the block."""
+    """Of rows (shard, queries, block), lists of queries and of entries, the k best hits of each query in the shard; without a floor, from a guess by footrule."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple] = {}
+        held, shard = None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                number = batch.column("number")[row].as_py()
-                if number not in kept:
-                    kept.clear()
-                    s = batch.column("block").slice(row, 1).flatten()
-                    x, ids = _vectors(s.field("vector")), s.field("ids").to_pylist()
-                    cosines = _cosines(x, pivots)
-                    order = np.argsort(cosines.argmax(axis=1), kind="stable")
-                    x, cosines, ids = x[order], cosines[order], [ids[c] for c in order]
-                    kept[number] = (x, np.ascontiguousarray(_permutations(cosines, posted).T), ids, _Cells(x, cosines))
-                x, files, ids, cells = kept[number]
+                number = batch.column("shard")[row].as_py()
+                if number != held:
+                    held, shard = number, _Shard(batch.column("block").slice(row, 1).flatten(), pivots, posted)
                 s = batch.column("queries").slice(row, 1).flatten()
-                q_ids, q = s.field("id").to_numpy(), _vectors(s.field("vector"))
-                q_cosines = _cosines(q, pivots)
-                ranks = _permutations(q_cosines, posted)
-                # entries that may hold the query itself and k more; a first guess
-                want = min(len(x), max(rerank, 2 * (k + 1)))
-                found = []
+                ids, q, floors = s.field("id").to_numpy(), _vectors(s.field("vector")), s.field("floor").to_numpy(zero_copy_only=False)
+                cosines = _cosines(q, pivots)
+                most, n = shard.bounds.most(q, cosines), len(shard.x)
+                found: list[tuple[int, int, float]] = []
                 for at in range(0, len(q), 64):
-                    part = ranks[at : at + 64]
-                    far = np.zeros((len(part), len(x)), np.int32)
-                    for p in range(len(pivots)):
-                        asks = part[:, p] < posted
-                        step = np.abs(files[p][None, :] - part[:, p][:, None])
-                        step[~asks] = 0
-                        far += step
-                    near = np.argpartition(far, want - 1, axis=1)[:, :want] if want < len(x) else np.arange(len(x))[None].repeat(len(part), 0)
-                    score = np.einsum("qd,qcd->qc", q[at : at + 64], x[near])
-                    least = min(len(x), k + 1)
-                    floors = np.partition(score, want - least, axis=1)[:, want - least]
-                    for i, some in enumerate(cells.reaching(q[at : at + 64], q_cosines[at : at + 64], floors)):
-                        own, exact = q_ids[at + i], np.einsum("d,cd->c", q[at + i], x[some])
-                        floor = np.partition(exact, len(some) - least)[len(some) - least]
-                        hits = [(-exact[c], v) for c in np.flatnonzero(exact >= floor) for v in ids[some[c]] if v != own]
-                        found += [(int(own), v, -s) for s, v in sorted(hits)[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+                    part = slice(at, at + 64)
+                    floor = floors[part]
+                    if np.isnan(floor).any():
+                        guess = shard.guessed(q[part], _permutations(cosines[part], posted), posted, min(n, max(rerank, 2 * (k + 1))), min(n, k + 1))
+                        floor = np.where(np.isnan(floor), guess, floor)
+                    found += shard.hits(q[part], ids[part], floor, most[part], k)
+                columns = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -139,14 +282,37 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("vector") == (sizes[0]["d"] if sizes else 0)).groupBy("id").agg(F.min("vector").alias("vector"))
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, pivots: int = 64, posted: int = 64, rerank: int = 1200) -> DataFrame:
+def index(entries: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, Routes]:
+    """(shards (shard, block), routes) of entries (vector, ids): every entry lies in one shard."""
+    part = F.pmod(F.xxhash64("vector"), F.lit(1 << 40)).alias("part")
+    posted = materialize(entries.select(part, "vector", "ids").mapInArrow(_posted(pivots), "first long, second long, part long, vector array<double>, ids array<long>"), "posted", 4096)
+    counts = {(r["first"], r["second"]): r["n"] for r in posted.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).collect()}
+    routes = _planned(pivots, counts)
+    n = len(pivots)
+    with arrow_batches(entries.sparkSession, 4096):
+        seen = posted.select("first", "second", "vector").mapInArrow(_measured(routes), "cell long, pivot long, low double, high double, short double, long double")
+        got = seen.groupBy("cell", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("short").alias("short"), F.max("long").alias("long")).orderBy("cell", "pivot").toArrow()
+    low, high, short, long = (np.array(got[c].to_pylist(), float).reshape(-1, n) for c in ("low", "high", "short", "long"))
+    routes.bounds = Bounds(low, high, short[:, 0], long[:, 0])
+    # a table of at most pivots * pivots rows
+    pairs = [(int(a), int(b), int(routes.shard[c]), int(routes.parts[c])) for (a, b) in counts for c in [routes.cell[a, b]]]
+    where = F.broadcast(entries.sparkSession.createDataFrame(pairs, "first long, second long, base long, parts long"))
+    dealt = posted.join(where, ["first", "second"]).select((F.col("base") + F.col("part") % F.col("parts")).alias("shard"), F.struct("vector", "ids").alias("e"))
+    shards = materialize(dealt.groupBy("shard").agg(F.collect_list("e").alias("block")), "shards")
+    discard(posted)
+    return shards, routes
+
+
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, pivots: int = 64, posted: int = 16, rerank: int = 400) -> DataFrame:
     """The k nearest of each query (rows whose id is divisible by every): (query_id, rank, vec_id, score).
 
-    Nearness is the largest inner product in double precision, of vectors of any length (cells know their lengths), ties go to the smaller id, a query doesn't find its own id. pivots:
-    how many are taken, farthest first, from a documented sample (the SPREAD * pivots distinct vectors of smallest hash); posted: pivots in a
-    vector's prefix; rerank: entries of each block (of about 4096) that are reranked before
-    the cells that may hold better ones; it bears on the cost and not on the result. Rows that cannot take part (see usable) are neither queries nor
-    candidates; other columns are ignored; fewer candidates than k are all returned; an empty table gives an empty result.
+    Nearness is the largest inner product in double precision, of vectors of any length (cells know their lengths), ties go to
+    the smaller id, a query doesn't find its own id. pivots: how many are taken, farthest first, from a documented sample (the
+    SPREAD * pivots distinct vectors of smallest hash); posted: pivots in a vector's prefix; rerank: entries of its first shard
+    that a query reranks for its floor. The last two bear on the cost and not on the result. Rows that cannot take part (see
+    usable) are neither queries nor candidates: nulls, zeros, vectors of a length other than the commonest, and of repeated rows
+    of one id all but the smallest vector; other columns are ignored; fewer candidates than k are all returned; an empty table
+    gives an empty result.
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, id_col, vector_col), "vectors")
@@ -159,18 +325,22 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     p = _spread(np.array(sample, np.float64), pivots)
-    posted = min(posted, len(p))
-    n = entries.count()
-    n_blocks = max(1, -(-n // BLOCK))
-    number = F.pmod(F.xxhash64("vector"), F.lit(n_blocks))
-    blocks = entries.groupBy(number.alias("number")).agg(F.collect_list(F.struct("vector", "ids")).alias("block"))
-    asked = rows.where(F.col("id") % every == 0)
-    q_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(q_blocks)).alias("q")).agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
-    # the stated query set against all blocks: a block of queries goes to every block of the index by its number
-    asked = asked.select("queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("number"))
-    small_batches(spark, 16)
-    met = asked.repartition(min(4 * n_blocks, 10_000), "number").join(blocks.withColumn("number", F.col("number").cast("long")), "number").select("number", "queries", "block")
-    hits = met.mapInArrow(_search(p, posted, rerank, k), "query_id long, vec_id long, score double")
+    shards, routes = index(entries, p)
+    tasks = min(4 * int((routes.shard + routes.parts).max()), 10_000)
+    search = _search(p, min(posted, len(p)), rerank, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def hits(asked: DataFrame, homes: bool, name: str) -> DataFrame:
+        # the stated query set against the shards, in blocks; a row holds a block of queries and a shard, some MB
+        sent = materialize(asked.select("id", "floor", "vector").mapInArrow(_sent(routes, homes), ASKED), f"{name}-asked", QUERY_BLOCK)
+        met = sent.repartition(tasks, "shard").join(shards, "shard").select("shard", "queries", "block")
+        return materialize(met.mapInArrow(search, HITS), name, 16)
+
+    asked = rows.where(F.col("id") % every == 0)
+    first = hits(asked.withColumn("floor", F.lit(None).cast("double")), True, "home")
+    top = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    # fewer hits than k are no floor
+    floors = asked.join(top, "id", "left").select("id", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "vector")
+    rest = hits(floors, False, "others")
+    both = first.unionByName(rest)
+    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
