@@ -14,23 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize, quoted, whole_row
 
 #: Documents of a leaf that are sorted in one task, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 #: Leaves that are joined by broadcast at most.
 BROADCAST_LEAVES = 100_000
-LEVELS = ("domain", "lang", "source")
 #: Relative weights among siblings (1 if not listed), by level and name.
-WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 6, "de": 2}, "source": {}}
-
-
-def domain_of(source: Column) -> Column:
-    """The domain of the test corpus's sources: the source's number modulo 4."""
-    number = F.regexp_extract(F.coalesce(source, F.lit("")), r"(\d{1,9})$", 1)
-    return F.concat(F.lit("d"), F.when(number == "", F.lit("0")).otherwise((F.expr("try_cast(nullif(regexp_extract(coalesce(source, ''), '(\\\\d{1,9})$', 1), '') as bigint)") % 4).cast("string")))
-
-
+Weights = dict[str, dict[str, int]]
 def tokens_of(text: Column) -> Column:
     """A token for every four bytes begun."""
     return F.floor((F.octet_length(F.coalesce(text, F.lit(""))) + 3) / 4).cast("long")
@@ -71,23 +62,15 @@ def _place(seed: int, ident: Column, epoch: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(ident.cast("string"), F.lit("null"))))
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", levels: tuple[tuple[str, Column], ...] | None = None, tokens: Column | None = None, weights: dict | None = None, share: float = 0.8, epochs: int = 2, seed: int = 17) -> DataFrame:
-    """docs with the columns mix_tokens and mix_epochs, how often each row is in the mixture (0: not at all).
-
-    levels: names and columns of the tree from the top; tokens: size of a document; share: the budget as a part of all tokens;
-    epochs: how often a document may be repeated at most. A prefix ends before the document that would exceed the budget. Nulls
-    in a level are the empty name, a null text is empty, null ids are one id; rows with one id stand together in a leaf's order,
-    so they are taken or left together; columns of docs keep their names; an empty table gives an empty result.
-    """
-    if levels is None:
-        levels = (("domain", domain_of(F.col("source"))), ("lang", F.col("lang")), ("source", F.col("source")))
-    names = tuple(n for n, _ in levels)
-    tokens = tokens_of(F.col("text")) if tokens is None else tokens
-    keys = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels]
-    small = docs.select(F.col(id_col).alias("id"), *keys, tokens.alias("tokens"))
+def _counted(docs: DataFrame, id_col: str, levels: tuple[tuple[str, Column], ...], tokens: Column, weights: Weights, share: float, epochs: int, seed: int) -> DataFrame:
+    """(row, id, tokens, n, l0, l1, ...) for every row of docs: the row as a struct, its size, how often it is in the mixture, and its path in the tree."""
+    names = tuple(f"l{k}" for k in range(len(levels)))
+    by_name = {n: weights.get(level, {}) for n, (level, _) in zip(names, levels, strict=True)}
+    keys = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, (_, c) in zip(names, levels, strict=True)]
+    small = docs.select(quoted(id_col).alias("id"), *keys, tokens.alias("tokens"))
     leaves = materialize(small.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
-    plan = leaf_budgets(leaves, names, int(total * share), epochs, WEIGHTS if weights is None else weights)
+    plan = leaf_budgets(leaves, names, int(total * share), epochs, by_name)
     whole = F.when(F.col("tokens") > 0, F.least(F.expr("budget div greatest(tokens, 1)"), F.lit(epochs).cast("long"))).otherwise(0)
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")).withColumn("ranges", F.ceil(F.col("docs") / RANGE_ROWS))
     plan = materialize(plan.select(*names, "whole", "rest", "ranges"), "plan")
@@ -100,21 +83,41 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", levels: tuple[tuple[str, Co
     ranges = placed.groupBy(*names, "range").agg(F.sum("tokens").alias("sum"), F.first("rest").alias("rest")).withColumn("before", F.coalesce(F.sum("sum").over(upto), F.lit(0)))
     # the one range of each leaf in which the budget ends
     ends = materialize(ranges.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("sum") > F.col("rest"))).select(*names, "range", "before"), "ends")
-    inside = placed.join(hint(ends), [*names, "range"])
+    # rows of one place stand or fall together, so they are one row before they are sorted: a leaf of one id is no more work than any other
+    inside = placed.join(hint(ends), [*names, "range"]).groupBy(*names, "range", "place").agg(F.sum("tokens").alias("tokens"), F.first("before").alias("before"), F.first("rest").alias("rest"), F.first("ranges").alias("ranges"))
     running = F.col("before") + F.sum("tokens").over(Window.partitionBy(*names).orderBy("place"))
     cuts = inside.withColumn("ok", running <= F.col("rest")).groupBy(*names).agg(F.max(F.when(F.col("ok"), F.col("place"))).alias("cut"), F.min(F.format_string("%08x", F.ceil(F.col("range") * F.lit(1 << 32) / F.col("ranges")))).alias("from"))
-    cuts = plan.join(cuts, list(names), "left").select(*[F.col(n).alias(f"_{n}") for n in names], F.col("whole").alias("_whole"), F.when(F.col("rest") > 0, F.coalesce("cut", "from", F.lit("g"))).alias("_cut"))
+    cuts = plan.join(cuts, list(names), "left").select(*names, "whole", F.when(F.col("rest") > 0, F.coalesce("cut", "from", F.lit("g"))).alias("cut"))
     cuts = materialize(cuts, "cuts")
-    marked = docs.withColumns({f"_{n}": c for n, c in zip(names, keys, strict=True)}).join(hint(cuts), [f"_{n}" for n in names])
-    extra = F.when(_place(seed, F.col(id_col), F.col("_whole")) <= F.col("_cut"), 1).otherwise(0)
-    size = tokens.alias("mix_tokens")
-    return marked.select(*[docs[c] for c in docs.columns], size, (F.col("_whole") + extra).alias("mix_epochs"), *[F.col(f"_{n}").alias(f"mix_{n}") for n in names])
+    marked = docs.select(whole_row(docs).alias("row"), quoted(id_col).alias("id"), tokens.alias("tokens"), *keys).join(hint(cuts), list(names))
+    extra = F.when(_place(seed, F.col("id"), F.col("whole")) <= F.col("cut"), 1).otherwise(0)
+    return marked.select("row", "id", "tokens", (F.col("whole") + extra).alias("n"), *names)
+
+
+def mixture(docs: DataFrame, levels: tuple[tuple[str, Column], ...], weights: Weights, id_col: str = "doc_id", tokens: Column | None = None, share: float = 0.8, epochs: int = 2, seed: int = 17) -> DataFrame:
+    """docs with the columns mix_tokens and mix_epochs, how often each row is in the mixture (0: not at all), and mix_<level> for each level.
+
+    levels: names and columns of the tree from the top; weights: relative weights among siblings, by level and name (1 where
+    none is given); tokens: size of a document; share: the budget as a part of all tokens; epochs: how often a document may be
+    repeated at most. A prefix ends before the document that would exceed the budget. Nulls in a level are the empty name, a
+    null text is empty and costs nothing, a text of any length counts whole, null ids are one id; rows with one id (ties) stand
+    together in a leaf's order, so they are taken or left together; columns of docs keep their names and values, and a result
+    whose name one of them has takes leading underscores; an empty table gives an empty result.
+    """
+    out = _counted(docs, id_col, levels, tokens_of(F.col("text")) if tokens is None else tokens, weights, share, epochs, seed)
+    called = free_names(docs.columns, "mix_tokens", "mix_epochs", *[f"mix_{n}" for n, _ in levels])
+    return out.select("row.*", *[F.col(c).alias(n) for c, n in zip(("tokens", "n", *[f"l{k}" for k in range(len(levels))]), called, strict=True)])
+
+
+def mixed(docs: DataFrame, levels: tuple[tuple[str, Column], ...], weights: Weights, id_col: str = "doc_id", tokens: Column | None = None, share: float = 0.8, epochs: int = 2, seed: int = 17) -> DataFrame:
+    """The mixture's rows with the columns of docs, each as often as mixture() says."""
+    out = _counted(docs, id_col, levels, tokens_of(F.col("text")) if tokens is None else tokens, weights, share, epochs, seed).where("n > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long")))).select("row.*")
 
 
 def _sql_divide(name: str, source: str, level: str, parents: str) -> str:
     by = f"partition by {parents}" if parents else ""
-    cases = " ".join(f"when {level} = '{k}' then {v}" for k, v in WEIGHTS[level].items())
-    w = f"case {cases} else 1 end" if cases else "1"
+    w = {"domain": "case domain when 'd0' then 4 when 'd1' then 3 when 'd2' then 2 else 1 end", "lang": "case lang when 'en' then 6 when 'de' then 2 else 1 end", "source": "1"}[level]
     return f"""
 {name}a as (select *, ({w})::bigint as w from {source}),
 {name}b as (select *, coalesce(sum(cap) over o, 0) as cap_before, coalesce(sum(w) over o, 0) as w_before, sum(w) over ({by}) as w_all from {name}a
