@@ -6,13 +6,19 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _RUN = uuid.uuid4().hex[:12]
 _LOCAL: list[str] = []
+#: Paths of the tables in the shared folder that are not deleted yet, in order.
+_TABLES: list[str] = []
+#: Rows of an Arrow batch that a kernel turns into Python objects at once, at most.
+SLICE = 256
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,39 +34,72 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: the lineage is cut and a lost executor costs no recomputation."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back: the lineage is cut and a lost executor costs no recomputation. rows: bound on the rows of an Arrow batch meanwhile."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/corpusloom-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
+    with arrow_batches(spark, rows):
+        df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _TABLES:
+        _TABLES.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by materialize() that no later plan reads."""
     for df in tables:
-        spark, path = df.sparkSession, getattr(df, "_corpusloom_path", None)
+        path = getattr(df, "_corpusloom_path", None)
         if path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def materialized_alone(df_of, name: str, spark: SparkSession, *spent: DataFrame) -> DataFrame:
+    """The table of df_of(), written; then every other table that was written for it is deleted, and so are the spent ones."""
+    before = set(_TABLES)
+    out = materialize(df_of(), name)
+    for path in [p for p in _TABLES if p not in before and p != out._corpusloom_path]:
+        _delete(spark, path)
+    discard(*spent)
+    return out
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes every table this process has put into the shared folder. Call it once the results are written."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/corpusloom-{_RUN}")
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _delete(spark, f"{shared_root(spark)}/corpusloom-{_RUN}")
+    _TABLES.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what one Arrow batch holds: texts differ in length by four orders of magnitude."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Bounds what one Arrow batch holds in the jobs of this block, and puts the session's settings back: texts differ in length by four orders of magnitude. None changes nothing."""
+    wanted = {} if rows is None else {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, none empty: a kernel's memory doesn't hang on the session's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def grouped(texts: list[str], most: int) -> Iterator[slice]:
@@ -83,23 +122,45 @@ def text_or_empty(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct: what an operator adds beside it can't clash with them."""
+    return F.struct(*[quoted(c) for c in df.columns])
+
+
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with leading underscores for as long as a taken column has it (case is ignored)."""
+    used, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n = f"_{n}"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
 def take_kept(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that a deduplication keeps, with all their columns.
+    """The rows of docs that a deduplication keeps, with all their columns, of whatever names.
 
     labelled: (id_col, text_sha256, kept), a row for each row of docs. The texts are not shuffled while the dropped rows are few
     enough to broadcast. The digest only tells rows of one id apart. Of repeated rows of which one is kept, one is taken.
     """
     from .components import bounded
 
-    rows = labelled.where("not kept").select(id_col, "text_sha256").distinct().withColumn("gone", F.lit(True))
-    kept = labelled.where("kept").select(id_col, "text_sha256").withColumn("gone", F.lit(False))
-    both = rows.unionByName(kept.alias("k").join(rows.alias("r"), F.col(f"k.{id_col}").eqNullSafe(F.col(f"r.{id_col}")) & (F.col("k.text_sha256") == F.col("r.text_sha256")), "left_semi"))
-    marks = materialize(both.groupBy(id_col, "text_sha256").agg(F.min("gone").alias("gone")).toDF("_id", "_sha", "_gone"), "marks")
-    named = docs.withColumn("_text_sha", F.sha2(text_or_empty(text_col), 256))
-    met = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha"))
-    out = named.join(bounded(marks, 200_000), met, "left_anti").drop("_text_sha")
-    once = marks.where("not _gone")
+    marked = labelled.select(F.col(id_col).alias("i"), F.col("text_sha256").alias("h"), "kept")
+    rows = marked.where("not kept").select("i", "h").distinct()
+    again = marked.where("kept").alias("k").join(rows.alias("r"), F.expr("k.i <=> r.i and k.h = r.h"), "left_semi").select("i", "h")
+    marks = rows.withColumn("gone", F.lit(True)).unionByName(again.withColumn("gone", F.lit(False)))
+    marks = materialize(marks.groupBy("i", "h").agg(F.min("gone").alias("gone")), "marks")
+    named = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("own"), F.sha2(text_or_empty(text_col), 256).alias("sha"))
+    met = F.expr("own <=> i and sha = h")
+    out = named.join(bounded(marks, 200_000), met, "left_anti").select("row")
+    once = marks.where("not gone")
     if not once.isEmpty():
-        repeated = named.join(bounded(once, 200_000), met, "left_semi").dropDuplicates([id_col, "_text_sha"])
-        out = out.unionByName(repeated.drop("_text_sha"))
-    return out
+        repeated = named.join(bounded(once, 200_000), met, "left_semi").dropDuplicates(["own", "sha"])
+        out = out.unionByName(repeated.select("row"))
+    return out.select("row.*")

@@ -14,18 +14,21 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import discard, materialize, text_or_empty
 
-#: Bytes by which each round splits; the last width repeats.
+#: Bytes by which each round splits; after the last, every round is four times as wide as the one before, up to WIDEST.
 WIDTHS = (64, 1 << 10, 1 << 14, 1 << 18, 1 << 20)
-#: Groups that are joined by broadcast at most: times the width, 16 MB. Beyond it the join shuffles.
+WIDEST = 1 << 26
+#: Groups that are joined by broadcast at most, in bytes of their slices. Beyond it the join shuffles.
 BROADCAST_BYTES = 16 << 20
 
 
 def _widths() -> Iterator[int]:
     yield from WIDTHS
+    width = WIDTHS[-1]
     while True:
-        yield WIDTHS[-1]
+        width = max(width, min(4 * width, WIDEST))
+        yield width
 
 
 def _split(state: DataFrame, width: int, level: int) -> DataFrame:
@@ -34,8 +37,10 @@ def _split(state: DataFrame, width: int, level: int) -> DataFrame:
     sliced = state.withColumn("slice", cut)
     groups = sliced.groupBy("gid", "slice").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep")).where("n > 1")
     groups = groups.select("gid", "slice", "n", "keep", (F.octet_length("slice") < width).alias("ended"))
-    groups = materialize(groups.withColumn("next", F.monotonically_increasing_id()), f"groups{level}")
-    if groups.count() * (width + 64) <= BROADCAST_BYTES:
+    groups = made = materialize(groups.withColumn("next", F.monotonically_increasing_id()), f"groups{level}")
+    # by the bytes that the groups really hold, not by the width
+    size = groups.agg(F.sum(F.octet_length("slice") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         groups = F.broadcast(groups)
     out = sliced.alias("s").join(groups.alias("g"), F.expr("s.gid = g.gid and s.slice = g.slice"), "left")
     single, done = F.col("n").isNull(), F.coalesce("ended", F.lit(True))
@@ -43,15 +48,17 @@ def _split(state: DataFrame, width: int, level: int) -> DataFrame:
         F.monotonically_increasing_id().alias("uid"), "s.id", "sha", F.coalesce("g.next", F.lit(-1)).alias("gid"), F.coalesce("n", F.lit(1)).alias("n"),
         F.when(single, F.col("s.id")).otherwise(F.col("keep")).alias("keep"), done.alias("done"), F.when(~done, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
     )
-    return materialize(out, f"split{level}")
+    out = materialize(out, f"split{level}")
+    discard(made)
+    return out
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: (id_col, keep_id, group_size, kept, text_sha256).
 
     Of equal texts the row with the largest id stays. A null text counts as empty; a null id is smaller than any other; of
-    repeated rows (same text and id) exactly one is kept; other columns are ignored; an empty table gives an empty result.
-    text_sha256 is reported only: no decision reads it.
+    repeated rows (same text and id) exactly one is kept; texts of any length are compared whole, in rounds of growing width; other
+    columns are ignored, whatever their names; an empty table gives an empty result. text_sha256 is reported only: no decision reads it.
     """
     text = text_or_empty(text_col)
     state = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.lit(0).cast("long").alias("gid"), text.cast("binary").alias("rest"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import bounded, connected_components
-from .common import discard, grouped, materialize, small_batches, text_or_empty
+from .common import discard, grouped, materialize, sliced, text_or_empty
 
 #: A link at the threshold is missed with a probability of (1 - 0.8 ** 5) ** 25 = 5e-5.
 COMPONENTS, BANDS, ROWS = 512, 25, 5
@@ -39,7 +39,7 @@ def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from . import bagminhash as bag
 
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             for run_of in grouped(texts, GROUP_CHARS):
                 part = texts[run_of]
@@ -73,14 +73,12 @@ def _verify(k: int):
                 kept.popitem(last=False)
             return out
 
-        for batch in batches:
+        for batch in sliced(batches, 64):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            for at in range(0, len(a), 64):
-                cut = slice(at, at + 64)
-                left = sets(a[cut], batch.column("text_a").slice(at, 64).to_pylist())
-                right = sets(b[cut], batch.column("text_b").slice(at, 64).to_pylist())
-                sims = [bag.similarity(x, y) for x, y in zip(left, right, strict=True)]
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a[cut], pa.int64()), "b": pa.array(b[cut], pa.int64()), "sim": pa.array(sims, pa.float64())})
+            left = sets(a, batch.column("text_a").to_pylist())
+            right = sets(b, batch.column("text_b").to_pylist())
+            sims = [bag.similarity(x, y) for x, y in zip(left, right, strict=True)]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(sims, pa.float64())})
 
     return run
 
@@ -141,9 +139,7 @@ def _verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, threshold:
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     whole = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     rated = whole.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k), "a long, b long, sim double")
-    small_batches(pairs.sparkSession, 100)
-    links = materialize(rated.where(F.col("sim") >= threshold).select("a", "b"), "links")
-    small_batches(pairs.sparkSession)
+    links = materialize(rated.where(F.col("sim") >= threshold).select("a", "b"), "links", 100)
     discard(texts)
     return links
 
@@ -155,13 +151,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weighted Jaccard similarity of their multisets of word shingles is at least threshold; classes are the connected components;
     class_id is the smallest id in it and kept marks one row of it, with that id. Equal texts are always one class, texts
     without words (null counts as empty) link to nothing else; a text of fewer words than a shingle is one shingle. A null id
-    is larger than any other; of repeated rows exactly one is kept; other columns are ignored; an empty table gives an empty result.
+    is larger than any other; of repeated rows exactly one is kept; texts of any length are read whole; other columns are ignored, whatever their names; an
+    empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    rows = materialize(source.mapInArrow(_sketch(shingle), f"id {kind}, key binary, bands array<long>, sketch binary").withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    rows = materialize(source.mapInArrow(_sketch(shingle), f"id {kind}, key binary, bands array<long>, sketch binary").withColumn("uid", F.monotonically_increasing_id()), "sketches", 1000)
     nodes = materialize(rows.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -173,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
-    compared = materialize(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreeing(least), "a long, b long"), "compared")
+    compared = materialize(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreeing(least), "a long, b long"), "compared", 1000)
     links = _verified(compared, source, nodes, threshold, shingle)
 
     comps = bounded(connected_components(links))
@@ -183,15 +178,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # a bucket of two has been compared in full
         divided = named.groupBy("bucket").agg(F.max(F.col("comp") != F.col("lead")).alias("open")).where("open").select("bucket")
         rest = named.join(bounded(materialize(divided, "divided")), "bucket").join(both, "node")
-        rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-        rest = materialize(rest.select("bucket", "part", F.struct("node", "comp", "sketch", "bands").alias("m"), (F.col("comp") != F.col("lead")).alias("outside")), "rest")
+        rest = rest.withColumn("parts", F.ceil(F.col("n") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+        rest = materialize(rest.select("bucket", "part", "parts", F.struct("node", "comp", "sketch", "bands").alias("m"), (F.col("comp") != F.col("lead")).alias("outside")), "rest")
         blocks = rest.groupBy("bucket", "part").agg(F.collect_list("m").alias("block"))
-        outer = rest.where("outside").groupBy("bucket", "part").agg(F.collect_list("m").alias("outer")).drop("part")
-        found = outer.join(blocks, "bucket").select("bucket", "outer", "block").mapInArrow(_across(least, most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        # an outer block is sent to each block of its bucket by that block's number, so a hot bucket is dealt over as many keys as it has blocks
+        outer = rest.where("outside").groupBy("bucket", "part", "parts").agg(F.collect_list("m").alias("outer"))
+        outer = outer.select("bucket", "outer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        found = outer.join(blocks, ["bucket", "part"]).select("bucket", "outer", "block").mapInArrow(_across(least, most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
         # a row holds two blocks, about 700 kB
-        small_batches(spark, 4)
-        found = materialize(found, "found")
-        small_batches(spark)
+        found = materialize(found, "found", 4)
         cut = found.agg(F.max("cut")).first()[0]
         more = materialize(found.join(compared, ["a", "b"], "left_anti").select("a", "b"), "more")
         compared = compared.unionByName(more)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup as x6
 from . import secret_scan as x4
@@ -23,7 +24,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x4.report(x4.scan_paths(table(spark, sf_dir, "documents")))
+    """In increments, as a history grows: the first scan knows two rules; when the third is added, the ledger tells that only it is pending, and for all blobs; the report's own scan finds nothing pending."""
+    docs = table(spark, sf_dir, "documents")
+    ledger = x4.updated_ledger(docs, rules=x4.RULES[:2])
+    ledger = x4.updated_ledger(docs, ledger=ledger)
+    return x4.report(x4.scan_paths(docs, ledger=ledger))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,12 +51,25 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x3.line_dedup(table(spark, sf_dir, "pages"))
 
 
+#: Weights of the test corpus's tree.
+WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 6, "de": 2}}
+
+
+def corpus_levels() -> tuple[tuple[str, Column], ...]:
+    """The test corpus's tree: its sources end in a number, whose remainder by 4 is their domain."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"(\d{1,9})$", 1)
+    domain = F.concat(F.lit("d"), (F.coalesce(F.when(number != "", number).cast("long"), F.lit(0)) % 4).cast("string"))
+    return ("domain", domain), ("lang", F.col("lang")), ("source", F.col("source"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x10.mixture(table(spark, sf_dir, "documents")).selectExpr("doc_id", "mix_domain as domain", "mix_lang as lang", "mix_source as source", "mix_tokens as tokens", "mix_epochs as n_epochs")
+    return x10.mixture(table(spark, sf_dir, "documents"), corpus_levels(), WEIGHTS).selectExpr("doc_id", "mix_domain as domain", "mix_lang as lang", "mix_source as source", "mix_tokens as tokens", "mix_epochs as n_epochs")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x5.pseudonymised(table(spark, sf_dir, "documents"), "corpusloom")
+    # Spark redacts the values of settings with "secret" in their names
+    key = spark.conf.get("spark.corpusloom.pii.secret", "key of the test corpus")
+    return x5.pseudonymised(table(spark, sf_dir, "documents"), key)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

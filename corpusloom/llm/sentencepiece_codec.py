@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import grouped, small_batches, text_or_empty
+from .common import free_names, grouped, quoted, sliced, text_or_empty
 
 #: Characters that are segmented, and handed back, at once.
 GROUP_CHARS = 500_000
@@ -17,7 +18,7 @@ GROUP_CHARS = 500_000
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Rows and their texts, which are the last column, in groups of about GROUP_CHARS."""
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column(batch.num_columns - 1).to_pylist()
         for part in grouped(texts, GROUP_CHARS):
             yield batch.slice(part.start, part.stop - part.start), texts[part]
@@ -60,36 +61,46 @@ def _decode(path: str):
         from . import viterbi
 
         model = viterbi.load(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                ids = part.column(part.num_columns - 1)
-                offsets = ids.offsets.to_numpy()
-                values = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-                texts = model.decode(values, offsets[1:] - offsets[0])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(texts, pa.string())], [*part.schema.names[:-1], "ids", "decoded"])
+        for part in sliced(batches, 100):
+            ids = part.column(part.num_columns - 1)
+            offsets = ids.offsets.to_numpy()
+            values = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            texts = model.decode(values, offsets[1:] - offsets[0])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(texts, pa.string())], [*part.schema.names[:-1], "ids", "decoded"])
 
     return run
 
 
+def _kept(df: DataFrame, keep: list[str], last) -> DataFrame:
+    """The columns keep under numbers, and a last one."""
+    return df.select(*[quoted(c).alias(f"k{k}") for k, c in enumerate(keep)], last)
+
+
+def _handed(out: DataFrame, keep: list[str], *results: str) -> DataFrame:
+    names = free_names(keep, *results)
+    return out.select(*[F.col(f"k{k}").alias(c) for k, c in enumerate(keep)], *[F.col(r).alias(n) for r, n in zip(results, names, strict=True)])
+
+
+def _schema(rows: DataFrame, results: str) -> T.StructType:
+    return T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL(results).fields])
+
+
 def encode(docs: DataFrame, model: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns keep and ids array<int>, a row for each row of docs.
 
-    model: path of the model file, readable on every executor. A null or empty text has no ids; other columns are ignored;
-    repeated rows each keep their row; an empty table gives an empty result; there are no begin or end pieces.
+    model: path of the model file, readable on every executor. A null or empty text has no ids; a text of any length is segmented
+    whole, word by word; nulls in kept columns stay; other columns are ignored, and a result whose name a kept column has takes
+    leading underscores; repeated rows each keep their row; an empty table gives an empty result; there are no begin or end
+    pieces. Of paths of equal score (ties) the library's is taken.
     """
-    small_batches(docs.sparkSession, 500)
-    rows = docs.select(*keep, text_or_empty(text_col).alias("_text"))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_encode(model), f"{schema}, ids array<int>")
+    rows = _kept(docs, keep, text_or_empty(text_col).alias("t"))
+    return _handed(rows.mapInArrow(_encode(model), _schema(rows, "ids array<int>")), keep, "ids")
 
 
 def decode(encoded: DataFrame, model: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
-    """The columns keep, ids and decoded. The text comes back as it was, but for U+2581, which the model writes for spaces. Null ids give an empty text."""
-    small_batches(encoded.sparkSession, 500)
-    rows = encoded.select(*keep, F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("_ids"))
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(_decode(model), f"{schema}, ids array<int>, decoded string")
+    """The columns keep, ids and decoded. The text comes back as it was, but for U+2581, which the model writes for spaces. Null and empty ids give an empty text; names, repeated rows and empty tables are taken as by encode()."""
+    rows = _kept(encoded, keep, F.coalesce(quoted(ids_col), F.array().cast("array<int>")).alias("t"))
+    return _handed(rows.mapInArrow(_decode(model), _schema(rows, "ids array<int>, decoded string")), keep, "ids", "decoded")
 
 
 def encoded_and_checked(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +109,5 @@ def encoded_and_checked(docs: DataFrame, model: str, id_col: str = "doc_id", tex
     Both ways are gone in one pass, so that a task holds one worker and one model, and no ids travel twice. Texts, ids and rows
     are taken as by encode() and decode().
     """
-    small_batches(docs.sparkSession, 500)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("_text"))
-    out = rows.mapInArrow(_round_trip(model), f"id {rows.schema['id'].dataType.simpleString()}, n_pieces long, ids array<int>, exact boolean")
-    return out.withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_round_trip(model), _schema(rows, "n_pieces long, ids array<int>, exact boolean")).withColumnRenamed("id", id_col)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_or_empty
+from .common import materialize, sliced, text_or_empty
 
 #: Code points on which the regular-expression module and the tokenizer agree (checked in the tests); other texts are split by the tokenizer itself.
 AGREED = "\u0000-ԯḀ-⁯₠-₿℀-⯿　-鿯가-힣＀-￯"
@@ -80,7 +80,7 @@ def _distinct(path: str):
             seen.clear()
             return out
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column("text").to_pylist():
                 seen.update(set(pretokens(path, text)))
                 if len(seen) > 500_000:
@@ -112,7 +112,7 @@ def _frequencies(path: str, head):
                 x.clear()
             return out
 
-        for batch in batches:
+        for batch in sliced(batches):
             id_type = batch.column("id").type
             for row, own, size, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "id", "n_bytes", "text")), strict=True):
                 total = 0
@@ -156,18 +156,17 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     tokenizer: path of a byte-level tokenizer file, readable on every executor. head_rows: bound on the rows of the broadcast table.
     Returns (id_col, n_bytes, n_tokens, over_limit), a row for each row of docs. A null or empty text has 0 bytes and 0 tokens;
-    a null id stays null; repeated rows (same id, same or other text) each get their own row; other columns are ignored; an empty
-    table gives an empty result. Special strings inside texts count as their single token, as the library does by default.
+    a text of any length is counted whole; a null id stays null; repeated rows (same id, same or other text) each get their own
+    row; other columns are ignored; an empty table gives an empty result; the order of rows is open, and nothing hangs on ties. Special strings inside texts count as their single token, as the library does by default.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kinds = texts.select("text").mapInArrow(_distinct(tokenizer), "pretoken string, docs long")
-    vocab = materialize(kinds.groupBy("pretoken").agg(F.sum("docs").alias("docs")).mapInArrow(_count_pieces(tokenizer), "pretoken string, docs long, pieces long"), "pieces")
+    vocab = materialize(kinds.groupBy("pretoken").agg(F.sum("docs").alias("docs")).mapInArrow(_count_pieces(tokenizer), "pretoken string, docs long, pieces long"), "pieces", 1000)
     head = {w: k for w, k in _commonest(vocab, head_rows).select("pretoken", "pieces").collect()}
     rows = texts.select(F.monotonically_increasing_id().alias("row_id"), "id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     kind = texts.schema["id"].dataType.simpleString()
-    freqs = materialize(rows.mapInArrow(_frequencies(tokenizer, spark.sparkContext.broadcast(head)), f"row_id long, id {kind}, n_bytes long, pretoken string, n long"), "frequencies")
+    freqs = materialize(rows.mapInArrow(_frequencies(tokenizer, spark.sparkContext.broadcast(head)), f"row_id long, id {kind}, n_bytes long, pretoken string, n long"), "frequencies", 1000)
     tail = freqs.where("pretoken is not null").join(vocab.select("pretoken", "pieces"), "pretoken")
     parts = freqs.where("pretoken is null").drop("pretoken").unionByName(tail.select("row_id", "id", "n_bytes", (F.col("n") * F.col("pieces")).alias("n")))
     counts = parts.groupBy("row_id").agg(F.max("id").alias(id_col), F.sum("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
