@@ -41,6 +41,19 @@ def test_exact(spark, monkeypatch, bound):
     assert sorted(map(tuple, got), key=str) == exact_model(rows)
 
 
+def test_exact_at_the_real_widths(spark):
+    """Texts that differ in one byte on either side of each width, and copies beyond the widest fixed one."""
+    rows, n = [], 0
+    for edge in (64, 64 + (1 << 10), 64 + (1 << 10) + (1 << 14), 64 + (1 << 10) + (1 << 14) + (1 << 18)):
+        for size in (edge - 1, edge, edge + 1):
+            for tail in ("a", "a", "b"):
+                rows.append((n, "x" * (size - 1) + tail))
+                n += 1
+    rows += [(n, "y" * 3_000_000), (n + 1, "y" * 3_000_000), (n + 2, "y" * 2_999_999)]
+    got = exact_dedup.exact_dedup(docs(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == exact_model(rows)
+
+
 def test_exact_empty_and_kept_rows(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
     rows = [(1, "a"), (2, "a"), (3, "b"), (3, "b"), (3, "c"), (None, "d"), (None, "d")]
