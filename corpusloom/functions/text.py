@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What Python calls white space, for the JVM's regular expressions.
@@ -66,6 +66,12 @@ def midpoint(start: Column, end: Column) -> Column:
     return F.floor((start + end) / 2)
 
 
+def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row. The optimizer would put an expression into the lambda that reads it, where it is computed for every element; it puts nothing into a generator."""
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(packed)).alias("_once")).select("*", "_once.*").drop("_once")
+
+
 def min_max(x: Column, over) -> Column:
     """x scaled to 0..1 among its group; 0 where all are alike."""
     low, high = F.min(x).over(over), F.max(x).over(over)

@@ -54,6 +54,11 @@ def lemma(low: Column) -> Column:
     return out.when((n > 3) & low.endswith("s") & ~low.endswith("ss"), F.regexp_replace(low, "s$", "")).otherwise(low)
 
 
+def with_sentences(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows (doc_id, sent_id, ...) of the rule annotator's sentences with sentence_text."""
+    return rows.join(sentences(docs).withColumnRenamed("sentence", "sentence_text"), ["doc_id", "sent_id"], "left")
+
+
 class RuleAnnotator:
     """Tokens by rules, all of them window expressions over a sentence.
 
