@@ -9,14 +9,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Common English function words.
+#: English function words, with the parts that contractions leave behind.
 STOP_WORDS = tuple(
-    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
-    itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has
-    had having do does did doing a an the and but if or because as until while of at by for with about against between into
-    through during before after above below to from up down in out on off over under again further then once here there when
-    where why how all any both each few more most other some such no nor not only own same so than too very can will just don
-    should now""".split()
+    """i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she
+    she's her hers herself it it's its itself they them their theirs themselves what which who whom this that that'll these those
+    am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by
+    for with about against between into through during before after above below to from up down in out on off over under again
+    further then once here there when where why how all any both each few more most other some such no nor not only own same so
+    than too very s t can will just don don't should should've now d ll m o re ve y ain aren aren't couldn couldn't didn didn't
+    doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't
+    shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't""".split()
 )
 PHRASE = ("DET", "ADJ", "NUM", "NOUN")
 
@@ -39,14 +41,14 @@ def kept_phrase(phrase: Column) -> Column:
     return ~phrase.rlike("^['’]s$") & ~phrase.rlike("^[-–—]+$") & phrase.rlike("[A-Za-z]")
 
 
-def noun_phrases(tokens: DataFrame, lemmatize: bool = True) -> DataFrame:
+def noun_phrases(tokens: DataFrame, lemmatize: bool = True, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(doc_id, phrase_idx, phrase): the distinct normalised noun phrases of each document, in order of first appearance, over all occurrences."""
     x = noun_chunks(tokens)
     word = _stripped(F.lower("lemma")) if lemmatize else F.col("text")
     fine = ~F.col("is_punct") & ~F.col("is_space") & ~F.lower("text").isin("'s", "’s")
     x = x.withColumn("w", word).where((fine & F.col("w").rlike(r"[\p{L}\p{N}]")) if lemmatize else F.lit(True))
     per = x.groupBy("doc_id", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", "w"))), lambda s: s["w"]).alias("ws"))
-    left = F.filter("ws", lambda w: ~F.lower(w).isin(*STOP_WORDS))
+    left = F.filter("ws", lambda w: ~F.lower(w).isin(*stop_words))
     per = per.withColumn("left", left).where((F.size("left") > 1) | ((F.size("left") == 1) & F.get("left", F.lit(0)).rlike(r"^\p{L}+$")))
     per = per.withColumn("phrase", F.lower(F.trim(F.array_join("left", " ")))).where(kept_phrase(F.col("phrase")))
     first = per.groupBy("doc_id", "phrase").agg(F.min("chunk").alias("at"), F.count(F.lit(1)).alias("occurrences"))
@@ -55,9 +57,10 @@ def noun_phrases(tokens: DataFrame, lemmatize: bool = True) -> DataFrame:
 
 def top_phrases(phrases: DataFrame, n: int = 100) -> DataFrame:
     """The rows (doc_id, phrase_idx, phrase) whose phrase is among the n commonest of its document (ties: first seen); every occurrence stays. On phrases that are distinct already these are the first n."""
-    counts = phrases.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("c"), F.min("phrase_idx").alias("first"))
-    best = counts.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("c"), "first"))).where(F.col("r") <= n)
-    return phrases.join(best.select("doc_id", "phrase"), ["doc_id", "phrase"], "left_semi")
+    own, per = Window.partitionBy("doc_id", "phrase"), Window.partitionBy("doc_id")
+    x = phrases.withColumn("_c", F.count(F.lit(1)).over(own)).withColumn("_first", F.min("phrase_idx").over(own))
+    # a phrase's rows rank alike
+    return x.withColumn("_r", F.dense_rank().over(per.orderBy(F.desc("_c"), "_first"))).where(F.col("_r") <= n).drop("_c", "_first", "_r")
 
 
 class Embedder(Protocol):
@@ -103,7 +106,9 @@ def density_clusters(x: np.ndarray, least: int = 5) -> np.ndarray:
     n = len(x)
     if n < max(2, least):
         return np.full(n, -1)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
+    square = (x * x).sum(axis=1)
+    d = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, 0)
     core = np.sort(d, axis=1)[:, min(least, n) - 1]
     reach = np.maximum(d, np.maximum(core[:, None], core[None]))
     inside, best, via, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []

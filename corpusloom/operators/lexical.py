@@ -35,23 +35,39 @@ def lexical_density(tokens: DataFrame) -> DataFrame:
     return counts.withColumn("lexical_density", F.try_divide(F.col("content_count").cast("double"), F.col("token_count").cast("double")))
 
 
+def sentence_words(tokens: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, word, tok_ids, content): each sentence's distinct lower-case alphabetic words, where they stand, and how often as content words.
+
+    The rows are found in place, and a word that every sentence holds costs a row for each, not for each token, when it meets the
+    frequencies. A sentence without words has one row with a word that is no word, so that it isn't lost and is no hot key.
+    """
+    none = F.concat_ws(" ", F.lit("\u0000"), F.col("doc_id").cast("string"), F.col("sent_id").cast("string"))
+    word = F.when(F.col("is_alpha"), F.lower("text"))
+    x = tokens.withColumn("first", F.row_number().over(Window.partitionBy("doc_id", "sent_id").orderBy(F.col("is_alpha").desc(), "tok_id")) == 1)
+    x = x.where(F.col("is_alpha") | F.col("first")).select("doc_id", "sent_id", F.coalesce(word, none).alias("word"), F.when(F.col("is_alpha"), F.col("tok_id")).alias("tok_id"), (F.col("is_alpha") & F.col("pos").isin(*CONTENT)).alias("content"))
+    return x.groupBy("doc_id", "sent_id", "word").agg(F.collect_list("tok_id").alias("tok_ids"), F.count_if("content").alias("content"))
+
+
 def information_content(tokens: DataFrame, freqs: DataFrame) -> DataFrame:
-    """Per sentence: mean of -log(frequency) over its alphabetic tokens found in freqs (word, freq; raw counts), null if none, and how many."""
-    keyed = tokens.where("is_alpha").select("doc_id", "sent_id", "tok_id", F.lower("text").alias("word"))
-    found = keyed.join(freqs.where("freq > 0"), "word").select("doc_id", "sent_id", "tok_id", (-F.log(F.col("freq").cast("double"))).alias("ic"))
-    values = F.array_sort(F.collect_list(F.struct("tok_id", "ic")))
-    mean = F.aggregate(values, F.lit(0.0), lambda a, s: a + s["ic"]) / F.size(values)
-    per = found.groupBy("doc_id", "sent_id").agg(mean.alias("information_content"), F.count(F.lit(1)).alias("ic_count"))
-    every = tokens.select("doc_id", "sent_id").distinct()
-    return every.join(per, ["doc_id", "sent_id"], "left").withColumn("ic_count", F.coalesce("ic_count", F.lit(0)))
+    """Per sentence: mean of -log(frequency) over its alphabetic tokens found in freqs (word, freq; raw counts), null if none, the values in order (ic_values), and how many."""
+    met = sentence_words(tokens).join(freqs.where("freq > 0"), "word", "left")
+    placed = F.transform("tok_ids", lambda t: F.struct(t.alias("tok_id"), (-F.log(F.col("freq").cast("double"))).alias("ic")))
+    values = F.array_sort(F.flatten(F.collect_list(F.when(F.col("freq").isNotNull(), placed))))
+    per = met.groupBy("doc_id", "sent_id").agg(F.transform(values, lambda s: s["ic"]).alias("ic_values"))
+    mean = F.try_divide(F.aggregate("ic_values", F.lit(0.0), lambda a, x: a + x), F.size("ic_values"))
+    return per.select("doc_id", "sent_id", mean.alias("information_content"), "ic_values", F.size("ic_values").cast("long").alias("ic_count"))
 
 
 def cohesion(tokens: DataFrame) -> DataFrame:
-    """Per sentence: how many distinct alphabetic lemmas it shares with the one before (null for the first), and its own."""
-    lemmas = F.array_sort(F.collect_set(F.when(F.col("is_alpha"), F.col("lemma"))))
-    per = tokens.groupBy("doc_id", "sent_id").agg(lemmas.alias("content_words"))
+    """Per sentence: how many distinct alphabetic lemmas, in lower case, it shares with the one before (null for the first), and its own."""
+    lemmas = F.array_sort(F.collect_set(F.when(F.col("is_alpha"), F.lower("lemma"))))
+    return with_overlap(tokens.groupBy("doc_id", "sent_id").agg(lemmas.alias("content_words")))
+
+
+def with_overlap(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, sent_id, content_words, ...) with cohesion_overlap."""
     last = F.lag("content_words").over(Window.partitionBy("doc_id").orderBy("sent_id"))
-    return per.withColumn("cohesion_overlap", F.when(last.isNotNull(), F.size(F.array_intersect(last, "content_words"))))
+    return rows.withColumn("cohesion_overlap", F.when(last.isNotNull(), F.size(F.array_intersect(last, "content_words"))))
 
 
 def turn_overlap(turns: DataFrame) -> DataFrame:
@@ -63,11 +79,12 @@ def turn_overlap(turns: DataFrame) -> DataFrame:
 
 
 def average_word_frequency(tokens: DataFrame, freqs: DataFrame) -> DataFrame:
-    """Per sentence: mean frequency of its alphabetic tokens (1 if unseen), that mean over the overall mean frequency, and content words per function word; to 3 places."""
-    keyed = tokens.where("is_alpha").select("doc_id", "sent_id", F.lower("text").alias("word"), F.col("pos").isin(*CONTENT).alias("content"))
+    """Per sentence with alphabetic tokens: mean frequency of these (1 if unseen), that mean over the overall mean frequency, and content words per function word; to 3 places."""
     overall = F.broadcast(freqs.agg(F.avg("freq").alias("overall")))  # one row
-    x = keyed.join(freqs, "word", "left").groupBy("doc_id", "sent_id").agg(F.sum(F.coalesce("freq", F.lit(1))).alias("total"), F.count(F.lit(1)).alias("n"), F.count_if("content").alias("content"))
-    x = x.withColumn("_mean", F.col("total").cast("double") / F.col("n")).join(overall).withColumn("_norm", F.try_divide(F.col("_mean"), F.col("overall"))).withColumn("_ratio", F.try_divide(F.col("content").cast("double"), (F.col("n") - F.col("content")).cast("double")))
+    n = F.size("tok_ids").cast("long")
+    x = sentence_words(tokens).join(freqs, "word", "left").groupBy("doc_id", "sent_id").agg(F.sum(F.coalesce("freq", F.lit(1)) * n).alias("total"), F.sum(n).alias("n"), F.sum("content").alias("content"))
+    x = x.where("n > 0").withColumn("_mean", F.col("total").cast("double") / F.col("n")).crossJoin(overall)
+    x = x.withColumn("_norm", F.try_divide(F.col("_mean"), F.col("overall"))).withColumn("_ratio", F.try_divide(F.col("content").cast("double"), (F.col("n") - F.col("content")).cast("double")))
     return x.select("doc_id", "sent_id", exact_round("_mean", 3).alias("avg_word_freq"), F.coalesce(exact_round("_norm", 3), F.lit(0.0)).alias("normalized_freq"), F.coalesce(exact_round("_ratio", 3), F.lit(0.0)).alias("content_function_ratio"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import exact_round
 from ..functions.text import words
+from .lexical import sentence_words
 from .windows import chunks
 
 
@@ -33,7 +34,7 @@ class UnigramScorer:
     def log_probs(self, rows: DataFrame) -> DataFrame:
         """rows (…, word) with log_prob."""
         size = F.broadcast(self.freqs.agg((F.sum("freq") + F.count(F.lit(1))).cast("double").alias("mass")))  # one row
-        known = rows.join(self.freqs, "word", "left").join(size)
+        known = rows.join(self.freqs, "word", "left").crossJoin(size)
         return known.withColumn("log_prob", F.log((F.coalesce("freq", F.lit(0)) + 1) / F.col("mass"))).drop("freq", "mass")
 
     def score(self, chunked: DataFrame) -> DataFrame:
@@ -60,6 +61,40 @@ class ModelScorer:
         return chunked.select("doc_id", "chunk_id", "chunk").mapInPandas(run, "doc_id bigint, chunk_id int, avg_log_prob double")
 
 
+class LogitScorer:
+    """load() makes, once in each Python worker, a function from a list of tokens to (ids, logits of every position over the vocabulary).
+
+    A chunk's score is the mean, over its tokens, of the log-softmax at the token's own position (shifted: at the position before
+    it, which leaves the first token out and makes it a next-token probability).
+    """
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], tuple]], shifted: bool = False):
+        self.load, self.shifted = load, shifted
+
+    def score(self, chunked: DataFrame) -> DataFrame:
+        load, shifted = self.load, self.shifted
+
+        def made():
+            import numpy as np
+
+            run = load()
+
+            def mean(tokens: list[str]) -> float | None:
+                ids, logits = (np.asarray(x) for x in run(tokens))
+                logits = logits.astype(float)
+                if shifted:
+                    ids, logits = ids[1:], logits[:-1]
+                if not len(ids):
+                    return None
+                top = logits.max(axis=1, keepdims=True)
+                log_probs = logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
+                return float(log_probs[np.arange(len(ids)), ids].mean())
+
+            return mean
+
+        return ModelScorer(made).score(chunked)
+
+
 def chunk_log_probs(docs: DataFrame, scorer: LogProbScorer, size: int = 2048, stride: int = 0) -> DataFrame:
     """(doc_id, chunk_id, start_token, end_token, avg_log_prob, num_tokens, text_snippet): the snippet is a chunk's first 50 tokens."""
     parts = chunks(whitespace_tokens(docs), size, stride)
@@ -75,10 +110,23 @@ def document_log_probs(chunk_scores: DataFrame) -> DataFrame:
 
 def surprisal(tokens: DataFrame, scorer: UnigramScorer) -> DataFrame:
     """Per sentence: mean surprisal of its alphabetic tokens, their sample variance (0 for one token), and the mean over the overall mean; to 3 places, 0 without tokens."""
-    rows = scorer.log_probs(tokens.where("is_alpha").select("doc_id", "sent_id", F.lower("text").alias("word")))
-    per = rows.groupBy("doc_id", "sent_id").agg(F.avg(-F.col("log_prob")).alias("_m"), F.coalesce(F.var_samp(-F.col("log_prob")), F.lit(0.0)).alias("_v"), F.sum(-F.col("log_prob")).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    overall = F.broadcast(per.agg((F.sum("_s") / F.sum("_n")).alias("_o")))  # one row
-    per = per.join(overall).withColumn("_r", F.try_divide(F.col("_m"), F.col("_o")))
-    every = tokens.select("doc_id", "sent_id").distinct().join(per, ["doc_id", "sent_id"], "left")
-    zero = lambda c, name: F.coalesce(exact_round(c, 3), F.lit(0.0)).alias(name)
-    return every.select("doc_id", "sent_id", zero("_m", "mean_surprisal"), zero("_v", "surprisal_variance"), zero("_r", "normalized_surprisal"))
+    rows = scorer.log_probs(sentence_words(tokens).select("doc_id", "sent_id", "word", F.size("tok_ids").alias("n")))
+    per = rows.groupBy("doc_id", "sent_id").agg(F.collect_list(F.when(F.col("n") > 0, F.struct((-F.col("log_prob")).alias("p"), "n"))).alias("ps"))
+    return surprisal_of(per, overall_surprisal(tokens, scorer)).drop("ps")
+
+
+def overall_surprisal(tokens: DataFrame, scorer: UnigramScorer) -> DataFrame:
+    """One row (overall): the mean surprisal of all alphabetic tokens. The tokens are counted by word first, in place and then together."""
+    words = tokens.where("is_alpha").groupBy(F.lower("text").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return scorer.log_probs(words).agg((-F.sum(F.col("log_prob") * F.col("n")) / F.sum("n")).alias("overall"))
+
+
+def surprisal_of(per: DataFrame, overall: DataFrame) -> DataFrame:
+    """per (doc_id, sent_id, ps array<struct<p, n>>, ...) with the metrics of surprisal."""
+    n = F.aggregate("ps", F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    mean = F.try_divide(F.aggregate("ps", F.lit(0.0), lambda a, s: a + s["p"] * s["n"]), F.col("_n"))
+    spread = F.aggregate("ps", F.lit(0.0), lambda a, s: a + (s["p"] - F.col("_m")) * (s["p"] - F.col("_m")) * s["n"])
+    x = per.withColumn("_n", n).withColumn("_m", mean).withColumn("_v", F.when(F.col("_n") > 1, spread / (F.col("_n") - 1)).otherwise(F.lit(0.0)))
+    x = x.crossJoin(F.broadcast(overall)).withColumn("_r", F.try_divide(F.col("_m"), F.col("overall")))
+    zero = lambda c: F.when(F.col("_n") > 0, F.coalesce(exact_round(c, 3), F.lit(0.0))).otherwise(F.lit(0.0))
+    return x.withColumns({"mean_surprisal": zero("_m"), "surprisal_variance": zero("_v"), "normalized_surprisal": zero("_r")}).drop("_n", "_m", "_v", "_r", "overall")
