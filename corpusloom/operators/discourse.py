@@ -6,10 +6,18 @@ second. The sense is always Expansion.Conjunction, the direction always forward.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CONNECTIVES = ("and", "but", "or", "because", "if", "when", "while", "although", "however", "therefore")
+#: English connectives of one word, by the relation that they most often mark.
+CONNECTIVES = tuple(
+    """and but or because if when while although however therefore though since unless until before after once so thus hence
+    instead otherwise moreover furthermore besides also then nevertheless nonetheless whereas as yet still meanwhile
+    consequently accordingly similarly likewise indeed specifically additionally finally afterwards later previously
+    nor except rather lest""".split()
+)
 
 
 def encode(text: Column, limit: int | None = None) -> Column:
@@ -33,6 +41,24 @@ def parse(docs: DataFrame, connectives: tuple[str, ...] = CONNECTIVES, limit: in
     )
 
 
+FIELDS = ("level1", "level2", "level3", "arg1_span", "arg2_span", "connective", "explicit", "direction")
+
+
+def parse_with(docs: DataFrame, load: Callable[[], Callable[[str], list[dict]]]) -> DataFrame:
+    """Relations by a parser of one's own, with the columns of parse(): load() makes, once in each Python worker, a function from a text to its relations, dicts of FIELDS (those left out are null)."""
+
+    def run(batches):
+        import pandas as pd
+
+        parser = load()
+        for pdf in batches:
+            rows = [(i, *(r.get(f) for f in FIELDS)) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for r in parser(t or "")]
+            yield pd.DataFrame(rows, columns=["doc_id", *FIELDS])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, " + ", ".join(f"{f} string" for f in FIELDS))
+
+
 def to_json(relations: DataFrame) -> DataFrame:
     """(doc_id, json)."""
     return relations.select("doc_id", F.to_json(F.struct(*[c for c in relations.columns if c != "doc_id"])).alias("json"))

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import min_max
 
+#: Nodes of a network that one task solves at most: the matrices of more would not fit its memory.
+LARGEST = 10_000
+
+
 def similarity_edges(nodes: DataFrame, least: float = 0.3) -> DataFrame:
     """(doc_id, src, dst, weight), src < dst, of nodes (doc_id, node_id, vector): pairs of a document whose cosine is at least ``least``."""
     v = F.transform("vector", lambda x: x.cast("double"))
@@ -160,6 +164,8 @@ def _per_document(nodes: DataFrame, edges: DataFrame, fields: dict[str, str], ru
         ids = np.sort(left["node_id"].to_numpy())
         message = None
         try:
+            if len(ids) > LARGEST:
+                raise ValueError(f"a network of {len(ids)} nodes is more than one task solves ({LARGEST}); take fewer phrases a document")
             src, dst = (np.searchsorted(ids, right[c].to_numpy()) for c in ("src", "dst"))
             out = pd.DataFrame(run(len(ids), src, dst, right["weight"].to_numpy()))
         except Exception as e:
@@ -182,20 +188,20 @@ def centralities(nodes: DataFrame, edges: DataFrame, errors: bool = False) -> Da
     return _per_document(nodes, edges, dict.fromkeys(("degree", "betweenness", "closeness", "eigenvector", "pagerank"), "double"), solve, errors)
 
 
-def communities(nodes: DataFrame, edges: DataFrame, seed: int = 42) -> DataFrame:
-    """(doc_id, node_id, community_id), numbered by their first nodes."""
-    return _per_document(nodes, edges, {"community_id": "int"}, lambda *g: {"community_id": louvain(*g, seed).astype(np.int32)})
+def communities(nodes: DataFrame, edges: DataFrame, seed: int = 42, errors: bool = False) -> DataFrame:
+    """(doc_id, node_id, community_id), numbered by their first nodes, and error if asked for."""
+    return _per_document(nodes, edges, {"community_id": "int"}, lambda *g: {"community_id": louvain(*g, seed).astype(np.int32)}, errors)
 
 
-def places(nodes: DataFrame, edges: DataFrame, seed: int = 42) -> DataFrame:
-    """(doc_id, node_id, x, y) for drawing."""
-    return _per_document(nodes, edges, {"x": "double", "y": "double"}, lambda *g: layout(*g, seed))
+def places(nodes: DataFrame, edges: DataFrame, seed: int = 42, errors: bool = False) -> DataFrame:
+    """(doc_id, node_id, x, y) for drawing, and error if asked for."""
+    return _per_document(nodes, edges, {"x": "double", "y": "double"}, lambda *g: layout(*g, seed), errors)
 
 
 def node_style(central: DataFrame, community: DataFrame) -> DataFrame:
     """Size and border of each node, from degree and eigenvector scaled within the document, and its colour number."""
     own = Window.partitionBy("doc_id")
-    x = central.withColumns({"deg": min_max(F.col("degree"), own), "eig": min_max(F.col("eigenvector"), own)}).join(community, ["doc_id", "node_id"])
+    x = central.withColumns({"deg": min_max(F.col("degree"), own), "eig": min_max(F.col("eigenvector"), own)}).join(community.select("doc_id", "node_id", "community_id"), ["doc_id", "node_id"])
     return x.select("doc_id", "node_id", (500 + 2000 * F.col("deg")).alias("size"), (1 + 4 * F.col("eig")).alias("border"), (F.col("community_id") % 20).alias("colour"))
 
 

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from ..functions.text import base_name
 
 GENRES = ("novels", "novellas", "short_stories")
-LAYERS = ("raw", "cleaned", "metrics", "syntax", "embeddings", "graph")
+#: The folders of a corpus, by what they hold and its type.
+FOLDERS = {
+    "texts": {"cleaned": "cleaned_texts", "corpus": "corpus_analytics", "window": "window_metrics"},
+    "embeddings": {"concept": "concept_embeddings", "passage": "passage_embeddings"},
+    "graphs": {"network": "network_analysis", "syntactic": "syntactic_graphs"},
+}
 
 
 @dataclass(frozen=True)
@@ -20,10 +25,19 @@ class Layout:
 
     root: str
 
-    def path(self, layer: str) -> str:
-        if layer not in LAYERS:
-            raise ValueError(f"unknown layer {layer!r}; known: {', '.join(LAYERS)}")
-        return f"{self.root.rstrip('/')}/{layer}"
+    def _joined(self, *parts: str | None) -> str:
+        return "/".join([self.root.rstrip("/"), *[p for p in parts if p]])
+
+    def raw(self, category: str | None = None) -> str:
+        return self._joined("raw_texts", category)
+
+    def path(self, layer: str, kind: str, subfolder: str | None = None, filename: str | None = None) -> str:
+        """The folder, or a file in it, of a layer (texts, embeddings, graphs) and a type of it."""
+        if layer not in FOLDERS:
+            raise ValueError(f"unknown layer {layer!r}; known: {', '.join(FOLDERS)}")
+        if kind not in FOLDERS[layer]:
+            raise ValueError(f"unknown type {kind!r} of {layer}; known: {', '.join(FOLDERS[layer])}")
+        return self._joined(layer, FOLDERS[layer][kind], subfolder, filename)
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,6 +54,26 @@ def list_pdfs(spark: SparkSession, folder: str, genres: tuple[str, ...] = GENRES
     return rows.select(genre.alias("genre"), F.lower(base_name(F.col("path"))).alias("name"), "path", "content").where(genre.isin(*genres))
 
 
+def pdf_reader() -> Callable[[bytes], list[str]]:
+    """The reader that an installed library gives: from a file's bytes to its pages' texts."""
+    import io
+
+    try:
+        import pdfplumber
+    except ImportError:
+        try:
+            import pypdf
+        except ImportError as e:
+            raise RuntimeError("reading PDF files needs pdfplumber or pypdf, or a reader of your own") from e
+        return lambda data: [page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(data)).pages]
+
+    def read(data: bytes) -> list[str]:
+        with pdfplumber.open(io.BytesIO(data)) as pdf:
+            return [page.extract_text() or "" for page in pdf.pages]
+
+    return read
+
+
 def read_pdf_pages(pdfs: DataFrame, load: Callable[[], Callable[[bytes], list[str]]]) -> DataFrame:
     """(genre, name, page_no, page_text), pages from 1. load() makes, once in each Python worker, the function from a file's bytes to its pages' texts."""
 
@@ -66,6 +100,12 @@ def pages_to_text(pages: DataFrame, wanted: DataFrame | None = None) -> DataFram
     return placed.where(F.length("page_text") > 0).groupBy("genre", "name").agg(F.array_join(F.transform(rows, lambda r: r["page_text"]), "\n").alias("text"))
 
 
+def missing_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, page_no): pages that are asked for of a file that was read, and don't exist in it."""
+    asked = wanted.select("name", F.explode("pages").alias("page_no")).join(pages.select("name").distinct(), "name", "left_semi")
+    return asked.join(pages.select("name", "page_no"), ["name", "page_no"], "left_anti")
+
+
 def with_config(files: DataFrame, config: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files with their config, files without any), matched by lower-case name. config: (book, pages, start_marker, end_marker, patterns)."""
     key = F.lower(F.col("name")) == F.lower(F.col("book"))
