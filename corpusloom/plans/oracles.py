@@ -9,7 +9,7 @@ R = exact_round_sql
 
 
 def _listed(names) -> str:
-    return ", ".join(f"'{n}'" for n in names)
+    return ", ".join("'" + n.replace("'", "''") + "'" for n in names)
 
 
 _POS = " ".join(f"when low in ({_listed(w)}) then '{tag}'" for tag, w in LEXICON.items())
@@ -50,10 +50,12 @@ SUB = "dep in ('advcl', 'ccomp', 'xcomp')"
 CLAUSES = f"""
 cl0 as (select doc_id, sent_id, count(*) filter (where dep = 'ROOT') as main, count(*) filter (where {SUB}) as subordinate, count(*) filter (where dep = 'conj') as coordinate from tok group by doc_id, sent_id),
 cl as (select doc_id, sent_id, main, subordinate, coordinate, {R("case when main > 0 then subordinate::double / main else 0 end")} as subordination_ratio, {R("case when main > 0 then coordinate::double / main else 0 end")} as coordination_ratio from cl0)"""
-DEPTHS = """
-up1 as (select a.doc_id, a.sent_id, a.tok_id, a.head_id as h1, b.head_id as h2 from tok a join tok b on a.doc_id = b.doc_id and a.head_id = b.tok_id),
-up2 as (select a.*, b.h2 as h4, b.h1 as h3 from up1 a join up1 b on a.doc_id = b.doc_id and a.h2 = b.tok_id),
-deep as (select doc_id, sent_id, (tok_id <> h1)::int + (h1 <> h2)::int + (h2 <> h3)::int + (h3 <> h4)::int as d from up2),
+#: Each token with itself and all its ancestors, however deep.
+TREE = """
+tree(doc_id, sent_id, tok_id, a, d) as (select doc_id, sent_id, tok_id, tok_id, 0 from tok
+  union all select x.doc_id, x.sent_id, x.tok_id, h.head_id, x.d + 1 from tree x join tok h on x.doc_id = h.doc_id and x.a = h.tok_id where h.head_id <> h.tok_id)"""
+DEPTHS = TREE + """,
+deep as (select doc_id, sent_id, tok_id, max(d) as d from tree group by doc_id, sent_id, tok_id),
 dp as (select doc_id, sent_id, max(d) as max_depth, sum(d)::double / count(*) as mean_depth, median(d)::double as median_depth, sum(d)::double / count(*) - median(d)::double as depth_skew from deep group by doc_id, sent_id)"""
 DEPENDENCIES = f"""
 kids as (select doc_id, head_id as tok_id, count(*) as n from tok where head_id <> tok_id group by doc_id, head_id),
@@ -67,7 +69,7 @@ ic as (select s.doc_id, s.sent_id, information_content, coalesce(ic_count, 0) as
   select doc_id, sent_id, list_reduce(list_prepend(0e0, list(-ln(freq::double) order by tok_id)), lambda a, b: a + b) / count(*) as information_content, count(*) as ic_count
   from tok join freqs on lower(tok.text) = freqs.word where is_alpha group by doc_id, sent_id) i on s.doc_id = i.doc_id and s.sent_id = i.sent_id)"""
 COHESION = """
-lem as (select doc_id, sent_id, list(distinct lemma) filter (where is_alpha) as own from tok group by doc_id, sent_id),
+lem as (select doc_id, sent_id, list(distinct lower(lemma)) filter (where is_alpha) as own from tok group by doc_id, sent_id),
 co as (select doc_id, sent_id, case when sent_id > 0 then len(list_intersect(coalesce(own, []), coalesce(lag(own) over (partition by doc_id order by sent_id), []))) end as cohesion_overlap from lem)"""
 AVERAGE = f"""
 aw0 as (select doc_id, sent_id, sum(coalesce(freq, 1)) as total, count(*) as n, count(*) filter (where pos in ('NOUN', 'VERB', 'ADJ', 'ADV')) as content from tok left join freqs on lower(tok.text) = freqs.word where is_alpha group by doc_id, sent_id),
@@ -75,11 +77,21 @@ aw1 as (select doc_id, sent_id, total::double / n as m, (total::double / n) / (s
 aw as (select doc_id, sent_id, {R("m", 3)} as avg_word_freq, {R("r", 3)} as normalized_freq, coalesce({R("q", 3)}, 0) as content_function_ratio from aw1)"""
 
 
-_VERB = f"(dep in ('ROOT', 'conj') or {SUB}) and pos in ('VERB', 'AUX')"
-_TOPS = "select j.doc_id, j.head_id as tok_id, string_agg(x.text, ' ' order by x.tok_id) as s from tok j join (select doc_id, tok_id, unnest(list_distinct([tok_id, h1, h2, h3])) as a from up2) u on u.doc_id = j.doc_id and u.a = j.tok_id join tok x on x.doc_id = u.doc_id and x.tok_id = u.tok_id where j.head_id <> j.tok_id and j.dep like '%{role}%' group by j.doc_id, j.head_id"
 CLAUSE_ROLES = f"""
-sb as ({_TOPS.format(role="subj")}), ob as ({_TOPS.format(role="obj")}),
-ap as (select v.doc_id, v.sent_id, v.tok_id, v.text as predicate, coalesce(sb.s, '') as agent, coalesce(ob.s, '') as patient from tok v left join sb on sb.doc_id = v.doc_id and sb.tok_id = v.tok_id left join ob on ob.doc_id = v.doc_id and ob.tok_id = v.tok_id where {_VERB})"""
+sub as (select x.doc_id, x.a, string_agg(w.text, ' ' order by w.tok_id) as s from tree x join tok w on x.doc_id = w.doc_id and x.tok_id = w.tok_id group by x.doc_id, x.a),
+arg as (select j.doc_id, j.head_id as v, string_agg(s, '; ' order by j.tok_id) filter (where j.dep like '%subj%') as agent, string_agg(s, '; ' order by j.tok_id) filter (where j.dep like '%obj%') as patient
+  from tok j join sub on sub.doc_id = j.doc_id and sub.a = j.tok_id where j.head_id <> j.tok_id group by j.doc_id, j.head_id),
+ap as (select v.doc_id, v.sent_id, v.tok_id, case when v.dep = 'ROOT' then 'main' when v.dep = 'conj' then 'coordinate' else 'subordinate' end as clause_level, v.lemma as predicate, agent, patient, sub.s as clause_tokens
+  from tok v join sub on sub.doc_id = v.doc_id and sub.a = v.tok_id left join arg on arg.doc_id = v.doc_id and arg.v = v.tok_id where v.pos = 'VERB' and (v.dep in ('ROOT', 'conj') or v.{SUB})),
+st as (select s.doc_id, s.sent_id, any_value(s.sentence) as sentence, count(ap.tok_id) as c, count(agent) as a, count(patient) as p, coalesce(string_agg(clause_level || ':' || predicate, ',' order by ap.tok_id), '') as clauses
+  from (select * from sent where (doc_id, sent_id) in (select doc_id, sent_id from tok)) s left join ap on ap.doc_id = s.doc_id and ap.sent_id = s.sent_id group by s.doc_id, s.sent_id),
+sw as (select doc_id, sent_id, count(*) over w as n, max(sent_id) over w as e, sum(c) over w as c, sum(a) over w as a, sum(p) over w as p, list(sentence) over w as l from st window w as (partition by doc_id order by sent_id rows between current row and 2 following)),
+tw3 as (select doc_id, sent_id::bigint as start_sentence, e::bigint as end_sentence, c::bigint as total_clauses, a::bigint as total_agents, p::bigint as total_patients, array_to_string(l, '|') as sentences from sw where n = 3)"""
+SURPRISAL = f"""
+wl as (select unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as w from documents), uf as (select w, count(*) as f from wl group by w), mass as (select sum(f) + count(*) as m from uf),
+lp as (select doc_id, sent_id, -ln((coalesce(f, 0) + 1) / m::double) as p from tok left join uf on lower(tok.text) = uf.w cross join mass where is_alpha),
+s1 as (select doc_id, sent_id, avg(p) as m, coalesce(var_samp(p), 0) as v from lp group by doc_id, sent_id), s2 as (select doc_id, sent_id, m, v, m / (select avg(p) from lp) as q from s1),
+su as (select s.doc_id, s.sent_id, coalesce({R('m', 3)}, 0) as mean_surprisal, coalesce({R('v', 3)}, 0) as surprisal_variance, coalesce({R('q', 3)}, 0) as normalized_surprisal from (select distinct doc_id, sent_id from tok) s left join s2 on s.doc_id = s2.doc_id and s.sent_id = s2.sent_id)"""
 
 
 def _mean(c: str) -> str:
@@ -141,9 +153,10 @@ ph as (select doc_id, (row_number() over (partition by doc_id order by at0, phra
 
 def oracle_sql() -> dict[str, str]:
     from ..operators.concepts import STOP_WORDS
+    from ..operators.discourse import CONNECTIVES
 
     np = NP.format(stop=_listed(STOP_WORDS))
-    t = f"with {TOKENS}"
+    t = f"with recursive {TOKENS}"
     patterns = [r"^\s*\d+\s*$", r"^\s*(?:chapter|part|page)\s+\S+\s*$", r"https?://\S+"]
     text = "text"
     for p in patterns:
@@ -160,13 +173,14 @@ def oracle_sql() -> dict[str, str]:
         "tokens": f"{t} select * from tok",
         "lexical_density": f"{t}, {DENSITY} select * from dens",
         "lexical_density_w3": f"{t}, {DENSITY} {tumbling('dens', ['token_count', 'content_count'], ['lexical_density'])}",
-        "information_content_w3": f"with {WORDS}, {TOKENS}, {CONTENT} {tumbling('ic', [], ['information_content'], ['ic_count'])}",
+        "information_content_w3": f"with recursive {WORDS}, {TOKENS}, {CONTENT} {tumbling('ic', [], ['information_content'], ['ic_count'])}",
         "cohesion_w3": f"{t}, {COHESION} {tumbling('co', [], ['cohesion_overlap'])}",
         "clause_metrics": f"{t}, {CLAUSES} select * from cl",
         "clause_metrics_w3": f"{t}, {CLAUSES} {W_CLAUSE}",
         "depth_w3": f"{t}, {DEPTHS} {W_DEPTH}",
         "dependency_w3": f"{t}, {DEPENDENCIES} {W_DEPENDENCY}",
-        "semantic_roles": f"{t} select t.doc_id, t.sent_id, t.tok_id, t.dep as role, t.text, h.text as head from tok t join tok h on t.doc_id = h.doc_id and t.head_id = h.tok_id where t.dep in ('nsubj', 'dobj', 'iobj', 'pobj')",
+        "semantic_roles": f"""{t}, ro as (select t.doc_id, t.sent_id, string_agg(t.dep || ':' || t.text || ':' || h.text, ',' order by t.tok_id) as r, count(*) as n from tok t join tok h on t.doc_id = h.doc_id and t.head_id = h.tok_id where t.dep in ('nsubj', 'dobj', 'iobj', 'pobj') group by all)
+          select s.doc_id, s.sent_id, s.sentence as sentence_text, coalesce(r, '') as roles, coalesce(n, 0) as role_count from sent s left join ro on s.doc_id = ro.doc_id and s.sent_id = ro.sent_id where (s.doc_id, s.sent_id) in (select doc_id, sent_id from tok)""",
         "sliding_density": f"""{t}, {DENSITY}, sl as (select doc_id, sent_id, count(*) over w as n, max(sent_id) over w as e, list(token_count::double) over w as a, list(content_count::double) over w as b, list(lexical_density) over w as c from dens
           window w as (partition by doc_id order by sent_id rows between current row and 2 following)),
           sm as (select doc_id, sent_id, e, list_reduce(list_prepend(0e0, a), lambda x, y: x + y) / len(a) as a, list_reduce(list_prepend(0e0, b), lambda x, y: x + y) / len(b) as b,
@@ -175,7 +189,7 @@ def oracle_sql() -> dict[str, str]:
         "mattr_50": rf"""with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_full_match(x, '\p{{L}}+')) as w from documents),
           f as (select doc_id, sum(k)::double / 50 / count(*) as m from (select doc_id, len(list_distinct(list_slice(w, s, s + 49))) as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as s from w where len(w) >= 50)) group by doc_id)
           select w.doc_id, case when len(w) >= 50 then {R('m', 3)} when len(w) > 0 then len(list_distinct(w))::double / len(w) else 0 end as mattr from w left join f on w.doc_id = f.doc_id""",
-        "avg_word_freq": f"with {WORDS}, {TOKENS}, {AVERAGE} select * from aw",
+        "avg_word_freq": f"with recursive {WORDS}, {TOKENS}, {AVERAGE} select * from aw",
         "chunks_2048": f"with {C2048} select doc_id, chunk_id, start_token, end_token, num_tokens from ck",
         "chunks_overlap": f"with {C512} select doc_id, chunk_id, start_token, end_token, num_tokens from ck",
         "chunk_scores": f"with {SCORES} select doc_id, chunk_id, start_token, end_token, round(lp, 6) as avg_log_prob, num_tokens, text_snippet from cs",
@@ -196,15 +210,27 @@ def oracle_sql() -> dict[str, str]:
           select e.label as doc_id, e.vec_id as node_id, round(case when n > 1 then coalesce(c, 0)::double / (n - 1) else 1 end, 6) as degree from embeddings e join n on e.label = n.label left join c on c.doc_id = e.label and c.v = e.vec_id""",
         "closeness": f"with recursive {HOPS} select h.doc_id, s as node_id, round(case when sum(d) > 0 then ((count(*) - 1)::double / sum(d)) * (count(*) - 1) / (any_value(n) - 1) else 0 end, 6) as closeness from hop h join nn on h.doc_id = nn.doc_id group by h.doc_id, s",
         "betweenness": f"with recursive {PATHS} select e.label as doc_id, e.vec_id as node_id, round(coalesce(b, 0) * 2 / ((n - 1) * (n - 2)), 6) as betweenness from embeddings e join nn on e.label = nn.doc_id left join btw on btw.doc_id = e.label and btw.node_id = e.vec_id",
-        "surprisal": f"""{t}, wl as (select unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as w from documents), wf as (select w, count(*) as f from wl group by w), mass as (select sum(f) + count(*) as m from wf),
-          lp as (select doc_id, sent_id, -ln((coalesce(f, 0) + 1) / m::double) as p from tok left join wf on lower(tok.text) = wf.w cross join mass where is_alpha),
-          a as (select doc_id, sent_id, avg(p) as m, coalesce(var_samp(p), 0) as v from lp group by doc_id, sent_id), b as (select doc_id, sent_id, m, v, m / (select avg(p) from lp) as q from a)
-          select s.doc_id, s.sent_id, coalesce({R('m', 3)}, 0) as mean_surprisal, coalesce({R('v', 3)}, 0) as surprisal_variance, coalesce({R('q', 3)}, 0) as normalized_surprisal from (select distinct doc_id, sent_id from tok) s left join b on s.doc_id = b.doc_id and s.sent_id = b.sent_id""",
-        "agent_patient": f"{t}, {DEPTHS}, {CLAUSE_ROLES} select doc_id, sent_id, tok_id, predicate, agent, patient from ap",
-        "agent_windows": f"""{t}, {DEPTHS}, {CLAUSE_ROLES}, n1 as (select s.doc_id, s.sent_id, coalesce(a, 0) as a, coalesce(p, 0) as p, coalesce(o, 0) as o from (select distinct doc_id, sent_id from tok) s left join (
-          select doc_id, sent_id, count(*) filter (where agent <> '') as a, count(*) as p, count(*) filter (where patient <> '') as o from ap group by doc_id, sent_id) c on s.doc_id = c.doc_id and s.sent_id = c.sent_id),
-          n2 as (select doc_id, sent_id, count(*) over w as n, max(sent_id) over w as e, sum(a) over w as a, sum(p) over w as p, sum(o) over w as o from n1 window w as (partition by doc_id order by sent_id rows between current row and 2 following))
-          select doc_id, sent_id::bigint as start_sentence, e::bigint as end_sentence, a::bigint as agents, p::bigint as predicates, o::bigint as patients from n2 where n = 3""",
+        "surprisal": f"{t}, {SURPRISAL} select * from su",
+        "agent_patient": f"{t}, {TREE}, {CLAUSE_ROLES} select * from ap",
+        "agent_windows": f"{t}, {TREE}, {CLAUSE_ROLES} select * from tw3",
+        "clause_structures": f"{t}, {TREE}, {CLAUSE_ROLES} select doc_id, sent_id, clauses, c as num_clauses, a as num_agents, p as num_patients from st",
+        "information_content": f"""with recursive {WORDS}, {TOKENS}, {CONTENT}, fs as (select doc_id, sent_id, string_agg(freq::varchar, ',' order by tok_id) as f from tok join freqs on lower(tok.text) = freqs.word where is_alpha group by doc_id, sent_id)
+          select ic.doc_id, ic.sent_id, round(information_content, 9) as information_content, ic_count, coalesce(f, '') as freqs from ic left join fs on ic.doc_id = fs.doc_id and ic.sent_id = fs.sent_id""",
+        "lemmas": f"{t} select doc_id, string_agg(lemma, ' ' order by tok_id) as lemmas from tok group by doc_id",
+        "text_tokens": f"{t} select doc_id, string_agg(text, ' ' order by tok_id) as tokens from tok group by doc_id",
+        "window_metrics": f"""with recursive {WORDS}, {TOKENS}, {CLAUSES}, {DEPTHS}, {DEPENDENCIES}, {DENSITY}, {CONTENT}, {COHESION}, {AVERAGE}, {SURPRISAL}, {CLAUSE_ROLES}
+          select x.*, avg_word_freq, normalized_freq, content_function_ratio, total_clauses, total_agents, total_patients from (select * from ({W_CLAUSE}) join ({W_DEPTH}) using ({KEYS}) join ({W_DEPENDENCY}) using ({KEYS}) join ({tumbling('dens', ['token_count', 'content_count'], ['lexical_density'])}) using ({KEYS})
+            join ({tumbling('ic', [], ['information_content'], ['ic_count'])}) using ({KEYS}) join ({tumbling('co', [], ['cohesion_overlap'])}) using ({KEYS}) join ({tumbling('su', ['mean_surprisal', 'surprisal_variance', 'normalized_surprisal'])}) using ({KEYS})) x
+          left join ({tumbling('aw', ['avg_word_freq', 'normalized_freq', 'content_function_ratio'])}) y on x.doc_id = y.doc_id and x.window_id = y.window_id left join tw3 on tw3.doc_id = x.doc_id and tw3.start_sentence = x.start_sentence""",
+        "edge_style": f"""with recursive {PATHS}, bt as (select e.label as doc_id, e.vec_id as v, coalesce(b, 0) as b from embeddings e left join btw on btw.doc_id = e.label and btw.node_id = e.vec_id),
+          sc as (select doc_id, v, case when max(b) over w > min(b) over w then (b - min(b) over w) / (max(b) over w - min(b) over w) else 0 end as b from bt window w as (partition by doc_id))
+          select ed.doc_id, src, dst, round(0.5 + 4 * (x.b + y.b) / 2, 6) as width, round(0.3 + 0.7 * (x.b + y.b) / 2, 6) as alpha from ed join sc x on x.doc_id = ed.doc_id and x.v = src join sc y on y.doc_id = ed.doc_id and y.v = dst""",
+        "discourse_baseline": f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') as t from documents),
+          f as (select doc_id, t, list_min(list_filter(range(1, len(t) + 1), lambda i: lower(t[i]) in ({_listed(CONNECTIVES)}))) as k from d)
+          select doc_id, 'Expansion' as level1, 'Conjunction' as level2, null::varchar as level3, case when k is null then '' else coalesce(array_to_string(t[1:k - 1], ' '), '') end as arg1_span, case when k is null then '' else coalesce(array_to_string(t[k + 1:], ' '), '') end as arg2_span,
+            t[k] as connective, case when k is null then 'false' else 'true' end as explicit, 'forward' as direction from f""",
+        "roman_numerals": rf"""with p as (select doc_id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}\p{{M}}_]+\.?|[^\p{{L}}\p{{N}}\p{{M}}_]'), lambda x: case when regexp_full_match(x, '(?i)[ivxlc]+\.?') then ' ' else x end) as l from documents)
+          select doc_id, {ws.format(x="coalesce(array_to_string(l, ''), '')")} as text from p""",
         "incremental_todo": "select doc_id from documents where doc_id not in (select doc_id from labels)",
         "rounding": f"select l_orderkey, l_linenumber, {R('x')} as two, {R('x', 3)} as three from (select l_orderkey, l_linenumber, l_extendedprice * l_discount / 7 as x from lineitem)",
         "boilerplate": f"select doc_id, {ws.format(x=text)} as text from documents",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import exact_round
 from ..functions.text import clean_text, remove_patterns, trim_to_end, trim_to_start
 from ..operators import concepts, discourse, graph, lexical, lm, syntax
-from ..operators.annotate import RuleAnnotator, sentences
+from ..operators.annotate import RuleAnnotator, lemmatize_tokens, sentences, tokenize_text, with_sentences
 from ..operators.windows import chunks
 from ..sources.books import HEADING, PAGE_NUMBER, ROMAN_NUMERAL, URL
 from ..sources.files import todo
@@ -101,15 +101,38 @@ def dependency_w3(spark, sf_dir):
 
 
 def semantic_roles(spark, sf_dir):
-    return syntax.semantic_roles(_tokens(spark, sf_dir))
+    d = _docs(spark, sf_dir)
+    roles = F.array_join(F.transform("semantic_roles", lambda x: F.concat_ws(":", x["role"], x["text"], x["head"])), ",")
+    return with_sentences(syntax.semantic_roles(RuleAnnotator().tokens(d)), d).select("doc_id", "sent_id", "sentence_text", roles.alias("roles"), F.col("role_count").cast("long").alias("role_count"))
 
 
 def agent_patient(spark, sf_dir):
-    return syntax.clauses(_tokens(spark, sf_dir))
+    return syntax.clauses(_tokens(spark, sf_dir)).withColumn("clause_tokens", F.array_join("clause_tokens", " "))
 
 
 def agent_windows(spark, sf_dir):
-    return r.agent_windows(_tokens(spark, sf_dir))
+    d = _docs(spark, sf_dir)
+    return r.agent_windows(RuleAnnotator().tokens(d), docs=d).withColumn("sentences", F.array_join("sentences", "|"))
+
+
+def clause_structures(spark, sf_dir):
+    x = syntax.semantic_structures(_tokens(spark, sf_dir))
+    return x.select("doc_id", "sent_id", F.array_join(F.transform("clauses", lambda c: F.concat_ws(":", c["clause_level"], c["predicate"])), ",").alias("clauses"), *[F.col(c).cast("long").alias(c) for c in r.ROLES])
+
+
+def information_content(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    x = lexical.information_content(RuleAnnotator().tokens(d), lexical.corpus_frequencies(d))
+    return x.select("doc_id", "sent_id", F.round("information_content", 9).alias("information_content"), "ic_count", F.array_join(F.transform("ic_values", lambda v: F.round(F.exp(-v)).cast("long").cast("string")), ",").alias("freqs"))
+
+
+def lemmas(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return lemmatize_tokens(tokenize_text(d)).select("doc_id", F.array_join("lemmas", " ").alias("lemmas"))
+
+
+def text_tokens(spark, sf_dir):
+    return tokenize_text(_docs(spark, sf_dir)).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 def sliding_density(spark, sf_dir):
@@ -209,7 +232,8 @@ def betweenness(spark, sf_dir):
 
 
 def centralities(spark, sf_dir):
-    return _central(spark, sf_dir)
+    names = ("degree", "betweenness", "closeness", "eigenvector", "pagerank")
+    return _rounded(_central(spark, sf_dir).select("doc_id", "node_id", *names), *names)
 
 
 def communities(spark, sf_dir):
@@ -222,11 +246,12 @@ def clusters(spark, sf_dir):
 
 
 def node_style(spark, sf_dir):
-    return r.network(_nodes(spark, sf_dir), LOOSE)["node_style"]
+    n = _nodes(spark, sf_dir)
+    return _rounded(r.network(n, LOOSE)["node_style"].select("doc_id", "node_id", "size", "border", "colour"), "size", "border")
 
 
 def edge_style(spark, sf_dir):
-    return r.network(_nodes(spark, sf_dir), LOOSE)["edge_style"]
+    return _rounded(r.network(_nodes(spark, sf_dir), LOOSE)["edge_style"], "width", "alpha")
 
 
 def concept_network(spark, sf_dir):
@@ -249,7 +274,7 @@ def rounding(spark, sf_dir):
 def queries() -> dict:
     found = (
         top_words, clean, marker_trim, boilerplate, roman_numerals, word_freq, sentence_split, tokens, lexical_density, lexical_density_w3, information_content_w3, cohesion_w3, clause_metrics,
-        clause_metrics_w3, depth_w3, dependency_w3, semantic_roles, agent_patient, agent_windows, sliding_density, mattr_50, avg_word_freq, surprisal, chunks_2048, chunks_overlap, chunk_scores,
+        clause_metrics_w3, depth_w3, dependency_w3, semantic_roles, agent_patient, agent_windows, clause_structures, information_content, lemmas, text_tokens, sliding_density, mattr_50, avg_word_freq, surprisal, chunks_2048, chunks_overlap, chunk_scores,
         doc_logprob, whole_text, turn_overlap, clause_series, depth_series, dependency_series, syntax_analysis, window_metrics, phrases, top_n_phrases, sim_edges, degree, closeness,
         betweenness, centralities, communities, clusters, node_style, edge_style, concept_network, discourse_baseline, incremental_todo, rounding,
     )
