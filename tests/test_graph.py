@@ -86,3 +86,27 @@ def test_pictures_hold_all_rows(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 0, 1, 1.0, 1.0), (1, 1, 2, 1.0, 1.0)], "doc_id long, src long, dst long, width double, alpha double")
     plots.save_network({"node_style": styles, "places": places, "edge_style": edges}, 1, "x.png")
     assert axes.plot.call_count == 2 and len(axes.scatter.call_args.args[0]) == 3
+
+
+def test_errors_do_not_stop_a_run(spark, nodes, monkeypatch):
+    from corpusloom.plans import runners
+
+    out = runners.network(nodes, errors=True)
+    assert out["errors"].count() == 0 and out["node_style"].count() == 5 and out["edge_style"].count() == 1
+    # a network beyond the bound of one task fails alone
+    fields, run = {"x": "double"}, lambda n, *e: {"x": np.ones(n)}
+    monkeypatch.setattr(graph, "LARGEST", 3)
+    real = graph._per_document(nodes, out["edges"], fields, lambda n, *e: run(n) if n <= 3 else 1 / 0, errors=True)
+    assert {r.doc_id for r in real.where("error is not null").collect()} == {1} and real.where("doc_id = 2").first().x == 1.0
+
+
+def test_text_networks(spark):
+    docs = spark.createDataFrame([(1, "the old house is by the river. An old house can see the big boats of it."), (2, "")], "doc_id long, text string")
+    out = runners_of().text_networks(docs, least=0.05)
+    assert out["nodes"].count() > 2 and out["errors"].count() == 0 and out["centrality"].count() == out["nodes"].count()
+
+
+def runners_of():
+    from corpusloom.plans import runners
+
+    return runners

@@ -1,4 +1,6 @@
 import math
+import random
+import time
 
 import pytest
 
@@ -44,11 +46,75 @@ def test_dependencies(tree):
     assert (b.main_clause, b.max_dependents, b.mean_dependency_distance) == (0.0, 0, 0.0)
 
 
-def test_roles_and_agents(tree):
-    got = {(r.role, r.text, r.head) for r in syntax.semantic_roles(tree).collect()}
-    assert got == {("nsubj", "cat", "said"), ("nsubj", "dogs", "run"), ("dobj", "birds", "sing")}
-    c = {r.predicate: (r.agent, r.patient) for r in syntax.clauses(tree).collect()}
-    assert c == {"said": ("The cat", ""), "run": ("dogs", ""), "sing": ("", "birds")}
+def test_roles(tree):
+    a, b = syntax.semantic_roles(tree).orderBy("sent_id").collect()
+    assert [tuple(r) for r in a.semantic_roles] == [("nsubj", "cat", "said"), ("nsubj", "dogs", "run"), ("dobj", "birds", "sing")] and a.role_count == 3
+    assert b.semantic_roles == [] and b.role_count == 0
+
+
+def test_clause_structures(tree):
+    got = {r.predicate: (r.clause_level, r.agent, r.patient, r.clause_tokens) for r in syntax.clauses(tree).collect()}
+    words = [w for w, *_ in TREE]
+    assert got["said"][:3] == ("main", "The cat", None) and got["said"][3] == words
+    assert got["run"] == ("subordinate", "dogs", None, subtree(5)) and got["sing"] == ("coordinate", None, "birds", subtree(8))
+    a, b = syntax.semantic_structures(tree).orderBy("sent_id").collect()
+    assert (a.num_clauses, a.num_agents, a.num_patients) == (3, 2, 1) and [c.predicate for c in a.clauses] == ["said", "run", "sing"] and (b.clauses, b.num_clauses) == ([], 0)
+
+
+def subtree(top):
+    heads = [h for *_, h in TREE]
+
+    def under(i):
+        return i == top or heads[i] != i and under(heads[i])
+
+    return [w for i, (w, *_) in enumerate(TREE) if under(i)]
+
+
+def clauses_model(rows):
+    """By the definition, from one sentence's (text, lemma, pos, dep, head)."""
+    kids = {i: [k for k, r in enumerate(rows) if r[4] == i and k != i] for i in range(len(rows))}
+
+    def tree(i):
+        return sorted([i, *(x for k in kids[i] for x in tree(k))])
+
+    out = []
+    for i, (_, lemma, pos, dep, _) in enumerate(rows):
+        level = "main" if dep == "ROOT" else "subordinate" if any(x in dep for x in ("advcl", "ccomp", "xcomp")) else "coordinate" if dep == "conj" else None
+        if pos == "VERB" and level:
+            said = lambda what: "; ".join(" ".join(rows[x][0] for x in tree(k)) for k in kids[i] if what in rows[k][3]) or None  # noqa: E731, B023
+            out.append((i, level, lemma, said("subj"), said("obj"), [rows[x][0] for x in tree(i)]))
+    return out
+
+
+def test_clauses_of_random_trees(spark):
+    """Trees that cross, several subjects of a verb, nested clauses, verbs that are auxiliaries."""
+    rng, rows, want = random.Random(5), [], {}
+    for s in range(30):
+        n = rng.randrange(1, 25)
+        order = rng.sample(range(n), n)
+        heads = {order[0]: order[0]} | {order[k]: order[rng.randrange(k)] for k in range(1, n)}
+        sent = [(f"w{i}", f"l{i}", rng.choice(["VERB", "VERB", "AUX", "NOUN"]), "ROOT" if heads[i] == i else rng.choice(["nsubj", "nsubjpass", "csubj", "dobj", "pobj", "conj", "advcl", "ccomp", "det"]), heads[i]) for i in range(n)]
+        rows += [(1, s, 100 * s + i, t, lemma, p, d, 100 * s + h, True, False, False) for i, (t, lemma, p, d, h) in enumerate(sent)]
+        want |= {(s, 100 * s + i): tuple(r) for i, *r in clauses_model(sent)}
+    tokens = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.sent_id, r.tok_id): (r.clause_level, r.predicate, r.agent, r.patient, r.clause_tokens) for r in syntax.clauses(tokens).collect()}
+    assert got == want and len(want) > 50
+    counts = {r.sent_id: (r.num_clauses, r.num_agents, r.num_patients) for r in syntax.clause_counts(tokens).collect()}
+    for s in range(30):
+        own = [v for (k, _), v in want.items() if k == s]
+        assert counts[s] == (len(own), sum(v[2] is not None for v in own), sum(v[3] is not None for v in own))
+
+
+def test_very_long_sentence(spark):
+    """Twenty thousand tokens without an end mark, in seconds."""
+    text = " ".join(["the dogs walked to the old houses and birds jumped over it"] * 1700)
+    tokens = RuleAnnotator().tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    began = time.time()
+    assert tokens.count() > 20_000
+    annotated, began = time.time() - began, time.time()
+    got = syntax.clauses(tokens).collect()
+    assert len(got) == 3400 and time.time() - began < 60 + 10 * annotated
+    assert syntax.semantic_structures(tokens).first().num_clauses == 3400
 
 
 def test_density_and_cohesion(tree):
@@ -61,7 +127,7 @@ def test_density_and_cohesion(tree):
 def test_information_content(tree, spark):
     freqs = spark.createDataFrame([("cat", 4), ("dogs", 1), ("zero", 0)], "word string, freq long")
     a, b = lexical.information_content(tree, freqs).orderBy("sent_id").collect()
-    assert math.isclose(a.information_content, -math.log(4) / 2) and a.ic_count == 2 and b.information_content is None
+    assert math.isclose(a.information_content, -math.log(4) / 2) and a.ic_count == 2 and a.ic_values == [-math.log(4), 0.0] and b.information_content is None and b.ic_values == []
 
 
 def test_mattr(spark):
@@ -127,3 +193,55 @@ def test_discourse_reads_the_whole_text(spark):
     assert (r.connective, r.explicit, r.arg1_span, r.arg2_span) == ("but", "true", ("word " * 600).strip(), ("more " * 600).strip())
     (r,) = discourse.parse(docs, limit=512).collect()
     assert (r.explicit, r.arg1_span) == ("false", "")
+
+
+def test_cohesion_ignores_case(spark):
+    rows = [(1, s, s, w, w, "PROPN", "ROOT", s, True, False, False) for s, w in enumerate(["Paris", "paris", "rome"])]
+    got = [(r.cohesion_overlap, r.content_words) for r in lexical.cohesion(spark.createDataFrame(rows, SCHEMA)).orderBy("sent_id").collect()]
+    assert got == [(None, ["paris"]), (1, ["paris"]), (0, ["rome"])]
+
+
+def test_words_meet_frequencies_once_a_sentence(spark):
+    df = spark.createDataFrame([(1, "the cat the dog the. !!! The end")], "doc_id long, text string")
+    got = {(r.sent_id, r.word): (sorted(r.tok_ids), r.content) for r in lexical.sentence_words(RuleAnnotator().tokens(df)).collect()}
+    assert got[0, "the"] == ([0, 2, 4], 0) and got[0, "cat"] == ([1], 1) and {k[0] for k in got} == {0, 1, 2}
+    assert [v for k, v in got.items() if k[0] == 1] == [([], 0)]
+
+
+def test_agent_windows_hold_their_sentences(spark):
+    df = spark.createDataFrame([(1, "Dogs walked it. No. Cats jumped. End.")], "doc_id long, text string")
+    got = runners.agent_windows(RuleAnnotator().tokens(df), docs=df).orderBy("start_sentence").collect()
+    assert [(r.start_sentence, r.total_clauses, r.total_agents, r.total_patients) for r in got] == [(0, 2, 2, 1), (1, 1, 1, 0)]
+    assert [s.strip() for s in got[0].sentences] == ["Dogs walked it.", "No.", "Cats jumped."]
+
+
+def test_window_metrics_annotate_twice_at_most(spark):
+    df = spark.createDataFrame([(1, "Dogs walked it. No. Cats jumped. End.")], "doc_id long, text string")
+    plan = runners.window_metrics(df)._jdf.queryExecution().optimizedPlan().toString()
+    # the second pass, for the overall mean of the surprisal, has only the words
+    assert plan.count("posexplode(regexp_extract_all(") <= 2 and plan.count("advmod") == 1
+
+
+def test_logit_scorer(spark):
+    """The log-softmax at the token's own position, and shifted by one."""
+    df = spark.createDataFrame([(1, "a b a"), (2, "b")], "doc_id long, text string")
+
+    def load():
+        return lambda tokens: ([0 if t == "a" else 1 for t in tokens], [[1.0 + k, 0.0] for k in range(len(tokens))])
+
+    p = lambda k, i: (1 + k if i == 0 else 0) - math.log(math.exp(1 + k) + 1)
+    for shifted, want in ((False, {1: (p(0, 0) + p(1, 1) + p(2, 0)) / 3, 2: p(0, 1)}), (True, {1: (p(0, 1) + p(1, 0)) / 2, 2: None})):
+        got = {r.doc_id: r.avg_log_prob for r in lm.chunk_log_probs(df, lm.LogitScorer(load, shifted)).collect()}
+        assert got.keys() == want.keys() and all(got[k] == w or math.isclose(got[k], w) for k, w in want.items())
+
+
+def test_parser_of_ones_own(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string")
+    got = discourse.parse_with(df, lambda: lambda t: [{"level1": "Contingency", "connective": t}] * len(t)).collect()
+    assert [(r.doc_id, r.level1, r.connective, r.direction) for r in got] == [(1, "Contingency", "x", None)] and got[0].__fields__ == discourse.parse(df).columns
+
+
+def test_stop_words_are_an_argument(spark):
+    df = spark.createDataFrame([(1, "the old house")], "doc_id long, text string")
+    t = RuleAnnotator().tokens(df)
+    assert concepts.noun_phrases(t).first().phrase == "old house" and concepts.noun_phrases(t, stop_words=("old",)).first().phrase == "the house"

@@ -1,15 +1,39 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.plans.runners import preprocess_pdfs
 from corpusloom.sources import files
 from corpusloom.sources.books import config
 from corpusloom.streaming.incremental import process_new
 
 
 def test_layout():
-    assert files.Layout("/x/").path("graph") == "/x/graph"
-    with pytest.raises(ValueError):
-        files.Layout("/x").path("other")
+    at = files.Layout("/x/")
+    assert at.raw() == "/x/raw_texts" and at.raw("novels") == "/x/raw_texts/novels"
+    assert at.path("texts", "cleaned", "book", "b.txt") == "/x/texts/cleaned_texts/book/b.txt" and at.path("graphs", "network") == "/x/graphs/network_analysis"
+    for layer, kind in (("texts", "network"), ("other", "cleaned"), ("embeddings", "")):
+        with pytest.raises(ValueError):
+            at.path(layer, kind)
+
+
+def test_from_pdf_to_text(spark, tmp_path):
+    for genre, name, pages in (("novels", "One", "front|BEGIN a\n 7 \nb END c|back"), ("novels", "Two", "x|y"), ("novellas", "Other", "z"), ("letters", "One", "no genre")):
+        (tmp_path / genre).mkdir(exist_ok=True)
+        (tmp_path / genre / f"{name}.pdf").write_bytes(pages.encode())
+    books = config(spark, [("one", [2, 3, 9], "BEGIN", "END", ["page_number"]), ("TWO", None, None, None, [])])
+    load = lambda: lambda b: b.decode().split("|")
+    got = preprocess_pdfs(spark, str(tmp_path), books, load)
+    assert {(r.genre, r.name, r.text) for r in got["texts"].collect()} == {("novels", "one", "BEGIN a b END"), ("novels", "two", "x y")}
+    assert [tuple(r) for r in got["skipped"].collect()] == [("novellas", "other")] and [tuple(r) for r in got["missing_pages"].collect()] == [("one", 9)]
+    again = preprocess_pdfs(spark, str(tmp_path), books, load, got["texts"])
+    assert again["texts"].count() == 0 and again["skipped"].count() == 1
+
+
+def test_no_pdf_library():
+    try:
+        files.pdf_reader()
+    except RuntimeError as e:
+        assert "pdfplumber" in str(e)
 
 
 def test_texts_and_json(spark, tmp_path):

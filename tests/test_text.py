@@ -38,6 +38,15 @@ def test_patterns(spark):
     assert "I was" not in got["roman_numeral"] and "XIV" not in got["roman_numeral"] and "days" in got["roman_numeral"] and " ill " not in got["roman_numeral"]
 
 
+def test_patterns_of_books(spark):
+    cases = {
+        "part_to_chapter": ("PART II the sea CHAPTER 3 text", "CHAPTER 3 text"), "number_part": ("Part Two\nIt was", "It was"), "numeral_line": ("end.\n  XIV \nI. \nI was", "end. I was"),
+        "numeral_heading": ("a\nIV\nNIGHT FALLS\nIt", "a It"), "domain": ("from some-books.com here", "from here"),
+    }
+    for name, (text, want) in cases.items():
+        assert spark.range(1).select(remove_boilerplate(F.lit(text), [PATTERNS[name]])).first()[0] == want, name
+
+
 def test_preprocess_by_config(spark):
     books = config(spark, [("one", None, "BEGIN", None, ["page_number"]), ("two", None, None, None, [])])
     texts = spark.createDataFrame([("One", "junk BEGIN a\n 7 \nb"), ("two", " x  y "), ("three", "z")], "name string, text string")
