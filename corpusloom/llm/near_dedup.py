@@ -27,8 +27,8 @@ from .common import discard, grouped, materialize, sliced, text_or_empty
 COMPONENTS, BANDS, ROWS = 512, 25, 5
 #: Signatures that agree less are not verified: four standard deviations (sqrt(0.8 * 0.2 / 512)) below the threshold.
 LEAST_AGREEMENT = 0.07
-#: Members of a block, about.
-BLOCK = 500
+#: Members of a block, about, and outer blocks of one bucket that one task compares with all the others.
+BLOCK, SPAN = 500, 64
 #: Best partners in each block that a member offers, round by round; the last round takes all that are still in other components.
 BEST = (4, None)
 #: Characters that one call of the kernels takes, about.
@@ -180,11 +180,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = named.join(bounded(materialize(divided, "divided")), "bucket").join(both, "node")
         rest = rest.withColumn("parts", F.ceil(F.col("n") / BLOCK)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
         rest = materialize(rest.select("bucket", "part", "parts", F.struct("node", "comp", "sketch", "bands").alias("m"), (F.col("comp") != F.col("lead")).alias("outside")), "rest")
-        blocks = rest.groupBy("bucket", "part").agg(F.collect_list("m").alias("block"))
-        # an outer block is sent to each block of its bucket by that block's number, so a hot bucket is dealt over as many keys as it has blocks
-        outer = rest.where("outside").groupBy("bucket", "part", "parts").agg(F.collect_list("m").alias("outer"))
-        outer = outer.select("bucket", "outer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-        found = outer.join(blocks, ["bucket", "part"]).select("bucket", "outer", "block").mapInArrow(_across(least, most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+        # a bucket is dealt over a task for every SPAN of its outer blocks; its other blocks are copied to each of these
+        salts = F.ceil(F.col("parts") / SPAN)
+        outer = rest.where("outside").groupBy("bucket", "part", "parts").agg(F.collect_list("m").alias("outer")).select("bucket", F.pmod("part", salts).alias("salt"), "outer")
+        blocks = rest.groupBy("bucket", "part", "parts").agg(F.collect_list("m").alias("block")).select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "block")
+        found = outer.join(blocks, ["bucket", "salt"]).select("bucket", "outer", "block").mapInArrow(_across(least, most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
         # a row holds two blocks, about 700 kB
         found = materialize(found, "found", 4)
         cut = found.agg(F.max("cut")).first()[0]

@@ -115,6 +115,7 @@ def test_near(spark):
 
 def test_near_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "SPAN", 2)
     rows = near_rows(8)
     got = near_dedup.near_duplicates(docs(spark, rows)).collect()
     assert sorted(((r.doc_id, r.class_id, r.class_size) for r in got), key=str) == near_model(rows)
