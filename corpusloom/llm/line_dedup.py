@@ -15,8 +15,8 @@ from .components import bounded
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 #: What comes first hides what it holds; then the head, which ends with its tag or before the first element of a body. What is never closed goes up to the page's end, so that no text is gone over again for every opening tag.
 HIDDEN = (
-    r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)",
-    r"(?is)<head\b.*?(?:</head\s*>|(?=<(?:body|p|div|h[1-6]|main|article|section|header|footer|nav|table|ul|ol|pre|blockquote|form)\b)|\z)",
+    r"(?is)<(?:script\b(?:[^<]++|<(?!/script\s*>))*+(?:</script\s*>)?|style\b(?:[^<]++|<(?!/style\s*>))*+(?:</style\s*>)?|!--(?:[^-]++|-(?!->))*+(?:-->)?)",
+    r"(?is)<head\b(?:[^<]++|<(?!/head\s*>|(?:body|p|div|h[1-6]|main|article|section|header|footer|nav|table|ul|ol|pre|blockquote|form)\b))*+(?:</head\s*>)?",
 )
 BREAKS = r"(?i)</?(?:p|br|div|li|ul|ol|nav|h[1-6]|tr|table|td|th|header|footer|article|section|aside|main|body|html|title|blockquote|pre)\b[^>]*>"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#160;", " "), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&amp;", "&"))
@@ -35,6 +35,11 @@ def visible_text(html: Column) -> Column:
     for hidden in HIDDEN:
         text = F.regexp_replace(text, hidden, "")
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), "<[^>]*>", "")
+    # few lines hold an entity
+    return F.element_at(F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit("&")), _decoded(t)).otherwise(t)), 1)
+
+
+def _decoded(text: Column) -> Column:
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
