@@ -14,6 +14,10 @@ rank in the others).
 
 So nothing is cut and results are exact; how much is searched depends on how far the vectors lie in groups. Equal vectors are one
 entry with its smallest ids, as many as a query can return.
+
+No task holds more than a shard and a batch of queries: entries and queries lie in rows of some KB, and a task reads a shard's
+entries and then its queries as a stream. The shards are gone through in rounds, so that a round's queries fit the disk; each
+round begins with the floors that those before it have raised.
 """
 
 from __future__ import annotations
@@ -32,7 +36,10 @@ from .common import arrow_batches, discard, materialize, sliced
 SHARD, QUERY_BLOCK = 4096, 1024
 #: Distinct vectors in the sample that pivots are taken from, for each pivot.
 SPREAD = 16
-ASKED = "shard long, queries array<struct<id:long,floor:double,vector:array<double>>>"
+#: Bytes of the vectors in a row of a table between steps, about (Parquet's reader decodes thousands of rows at once), and of those that go to the shards in one round.
+ROW_BYTES, ROUND_BYTES = 8 << 10, 4 << 30
+QUERIES, BLOCK = "array<struct<id:long,floor:double,vector:array<double>>>", "array<struct<vector:array<double>,ids:array<long>>>"
+ASKED, DEALT = f"shard long, queries {QUERIES}", f"shard long, block {BLOCK}"
 HITS = "query_id long, vec_id long, score double"
 
 
@@ -163,29 +170,50 @@ def _measured(routes: Routes):
     return run
 
 
-def _sent(routes: Routes, homes: bool):
-    """Queries (id, floor, vector) in lists by the shards that they go to: their own, or all others that can reach the floor."""
+def _listed(batch: pa.RecordBatch, fields: tuple[str, ...], shards: np.ndarray, name: str) -> pa.RecordBatch:
+    """Rows (shard, name) with the fields of a batch that is sorted by shards, in lists of ROW_BYTES at most."""
+    vectors = batch.column("vector")
+    each = max(1, ROW_BYTES * len(vectors) // (8 * len(vectors.flatten())))
+    runs = np.flatnonzero(np.diff(shards, prepend=-1))
+    place = np.arange(len(shards)) - np.repeat(runs, np.diff(np.append(runs, len(shards))))
+    begins = np.flatnonzero(place % each == 0)
+    items = pa.StructArray.from_arrays([batch.column(c) for c in fields], list(fields))
+    return pa.RecordBatch.from_arrays([pa.array(shards[begins]), pa.ListArray.from_arrays(pa.array(np.append(begins, len(shards)), pa.int32()), items)], ["shard", name])
+
+
+def _dealt(routes: Routes):
+    """Entries in lists by shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 4096):
+            cells = routes.cell[batch.column("first").to_numpy(), batch.column("second").to_numpy()]
+            shards = routes.shard[cells] + batch.column("part").to_numpy() % routes.parts[cells]
+            order = np.argsort(shards, kind="stable")
+            yield _listed(batch.take(pa.array(order)), ("vector", "ids"), shards[order], "block")
+
+    return run
+
+
+def _sent(routes: Routes, to: range | None):
+    """Queries (id, floor, vector) in lists by the shards that they go to: their own (to: None), or those others of to that can reach the floor (queries know their own as home)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = routes.shard + routes.parts
+        ends, fields = routes.shard + routes.parts, ("id", "floor", "vector")
         for batch in sliced(batches, QUERY_BLOCK):
-            ids, q = batch.column("id").to_numpy(), _vectors(batch.column("vector"))
+            q = _vectors(batch.column("vector"))
             most = routes.bounds.most(q, _cosines(q, routes.pivots))
-            home = routes.home(most, ids)
-            if homes:
-                wanted = {s: np.flatnonzero(home == s) for s in np.unique(home).tolist()}
-            else:
-                floors = batch.column("floor").to_numpy(zero_copy_only=False)
-                reach = ~(most < floors[:, None])  # what overflows is searched
-                wanted = {}
-                for s in range(int(ends.max())):
-                    cells = (routes.shard <= s) & (s < ends)
-                    wanted[s] = np.flatnonzero(reach[:, cells].any(axis=1) & (home != s))
-            for s, rows in wanted.items():
+            if to is None:
+                home = routes.home(most, batch.column("id").to_numpy())
+                order = np.argsort(home, kind="stable")
+                yield _listed(batch.take(pa.array(order)), fields, home[order], "queries")
+                continue
+            home, floors = batch.column("home").to_numpy(), batch.column("floor").to_numpy(zero_copy_only=False)
+            reach = ~(most < floors[:, None])  # what overflows is searched
+            for s in to:
+                cells = (routes.shard <= s) & (s < ends)
+                rows = np.flatnonzero(reach[:, cells].any(axis=1) & (home != s))
                 if len(rows):
-                    part = batch.take(pa.array(rows))
-                    each = pa.StructArray.from_arrays([part.column(c) for c in ("id", "floor", "vector")], ["id", "floor", "vector"])
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), each)], ["shard", "queries"])
+                    yield _listed(batch.take(pa.array(rows)), fields, np.full(len(rows), s), "queries")
 
     return run
 
@@ -235,28 +263,37 @@ class _Shard:
 
 
 def _search(pivots: np.ndarray, posted: int, rerank: int, k: int):
-    """Of rows (shard, queries, block), lists of queries and of entries, the k best hits of each query in the shard; without a floor, from a guess by footrule."""
+    """Of rows (shard, queries, block), of each shard its entries and then its queries, the k best hits of each query in the shard; without a floor, from a guess by footrule."""
+
+    def found(shard: _Shard, s: pa.StructArray) -> Iterator[tuple[int, int, float]]:
+        ids, q, floors = s.field("id").to_numpy(), _vectors(s.field("vector")), s.field("floor").to_numpy(zero_copy_only=False)
+        cosines = _cosines(q, pivots)
+        most, n = shard.bounds.most(q, cosines), len(shard.x)
+        for at in range(0, len(q), 64):
+            part = slice(at, at + 64)
+            floor = floors[part]
+            if np.isnan(floor).any():
+                guess = shard.guessed(q[part], _permutations(cosines[part], posted), posted, min(n, max(rerank, 2 * (k + 1))), min(n, k + 1))
+                floor = np.where(np.isnan(floor), guess, floor)
+            yield from shard.hits(q[part], ids[part], floor, most[part], k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shard = None, None
+        held, blocks, shard = -1, [], None
         for batch in batches:
-            for row in range(batch.num_rows):
-                number = batch.column("shard")[row].as_py()
-                if number != held:
-                    held, shard = number, _Shard(batch.column("block").slice(row, 1).flatten(), pivots, posted)
-                s = batch.column("queries").slice(row, 1).flatten()
-                ids, q, floors = s.field("id").to_numpy(), _vectors(s.field("vector")), s.field("floor").to_numpy(zero_copy_only=False)
-                cosines = _cosines(q, pivots)
-                most, n = shard.bounds.most(q, cosines), len(shard.x)
-                found: list[tuple[int, int, float]] = []
-                for at in range(0, len(q), 64):
-                    part = slice(at, at + 64)
-                    floor = floors[part]
-                    if np.isnan(floor).any():
-                        guess = shard.guessed(q[part], _permutations(cosines[part], posted), posted, min(n, max(rerank, 2 * (k + 1))), min(n, k + 1))
-                        floor = np.where(np.isnan(floor), guess, floor)
-                    found += shard.hits(q[part], ids[part], floor, most[part], k)
-                columns = zip(*found, strict=True) if found else ((), (), ())
+            numbers, asks = batch.column("shard").to_numpy(), batch.column("queries").is_valid().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.diff(2 * numbers + asks, prepend=-1)).tolist()
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if numbers[a] != held:
+                    held, blocks, shard = numbers[a], [], None
+                if not asks[a]:
+                    blocks.append(batch.column("block").slice(a, b - a).flatten())
+                    continue
+                if blocks:
+                    blocks, shard = [], _Shard(pa.concat_arrays(blocks), pivots, posted)
+                if shard is None:  # a shard that no entry fell to
+                    continue
+                hits = list(found(shard, batch.column("queries").slice(a, b - a).flatten()))
+                columns = zip(*hits, strict=True) if hits else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
     return run
@@ -283,7 +320,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def index(entries: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, Routes]:
-    """(shards (shard, block), routes) of entries (vector, ids): every entry lies in one shard."""
+    """(shards (shard, block), routes) of entries (vector, ids): every entry lies in one shard, which is some rows."""
     part = F.pmod(F.xxhash64("vector"), F.lit(1 << 40)).alias("part")
     posted = materialize(entries.select(part, "vector", "ids").mapInArrow(_posted(pivots), "first long, second long, part long, vector array<double>, ids array<long>"), "posted", 4096)
     counts = {(r["first"], r["second"]): r["n"] for r in posted.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -294,11 +331,7 @@ def index(entries: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, Routes]:
         got = seen.groupBy("cell", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("short").alias("short"), F.max("long").alias("long")).orderBy("cell", "pivot").toArrow()
     low, high, short, long = (np.array(got[c].to_pylist(), float).reshape(-1, n) for c in ("low", "high", "short", "long"))
     routes.bounds = Bounds(low, high, short[:, 0], long[:, 0])
-    # a table of at most pivots * pivots rows
-    pairs = [(int(a), int(b), int(routes.shard[c]), int(routes.parts[c])) for (a, b) in counts for c in [routes.cell[a, b]]]
-    where = F.broadcast(entries.sparkSession.createDataFrame(pairs, "first long, second long, base long, parts long"))
-    dealt = posted.join(where, ["first", "second"]).select((F.col("base") + F.col("part") % F.col("parts")).alias("shard"), F.struct("vector", "ids").alias("e"))
-    shards = materialize(dealt.groupBy("shard").agg(F.collect_list("e").alias("block")), "shards")
+    shards = materialize(posted.mapInArrow(_dealt(routes), DEALT), "shards", 4096)
     discard(posted)
     return shards, routes
 
@@ -326,21 +359,34 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     p = _spread(np.array(sample, np.float64), pivots)
     shards, routes = index(entries, p)
-    tasks = min(4 * int((routes.shard + routes.parts).max()), 10_000)
+    count = int((routes.shard + routes.parts).max())
     search = _search(p, min(posted, len(p)), rerank, k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    def hits(asked: DataFrame, homes: bool, name: str) -> DataFrame:
-        # the stated query set against the shards, in blocks; a row holds a block of queries and a shard, some MB
-        sent = materialize(asked.select("id", "floor", "vector").mapInArrow(_sent(routes, homes), ASKED), f"{name}-asked", QUERY_BLOCK)
-        met = sent.repartition(tasks, "shard").join(shards, "shard").select("shard", "queries", "block")
-        return materialize(met.mapInArrow(search, HITS), name, 16)
-
-    asked = rows.where(F.col("id") % every == 0)
-    first = hits(asked.withColumn("floor", F.lit(None).cast("double")), True, "home")
-    top = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-    # fewer hits than k are no floor
-    floors = asked.join(top, "id", "left").select("id", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "vector")
-    rest = hits(floors, False, "others")
-    both = first.unionByName(rest)
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def met(sent: DataFrame, to: range, name: str) -> DataFrame:
+        # the stated query set against the shards: of each, its entries come before its queries
+        blocks = shards.where(F.col("shard").between(to.start, to.stop - 1)).select("shard", F.lit(None).cast(QUERIES).alias("queries"), "block")
+        both = blocks.unionByName(sent.select("shard", "queries", F.lit(None).cast(BLOCK).alias("block")))
+        both = both.repartition(min(4 * len(to), 10_000), "shard").sortWithinPartitions("shard", F.col("queries").isNotNull())
+        return materialize(both.mapInArrow(search, HITS), name, 256)
+
+    asked = rows.where(F.col("id") % every == 0).select("id", F.lit(None).cast("double").alias("floor"), "vector")
+    homes = materialize(asked.mapInArrow(_sent(routes, None), ASKED), "home-asked", QUERY_BLOCK)
+    top = met(homes, range(count), "home")
+    asked = homes.select(F.col("shard").alias("home"), F.explode("queries").alias("q")).select("home", "q.id", "q.vector")
+    weight = asked.count() * 8 * p.shape[1]
+    step = max(1, min(count, ROUND_BYTES // max(weight, 1)))
+    spent: list[DataFrame] = []
+    for at in range(0, count, step):
+        discard(*spent)
+        to = range(at, min(at + step, count))
+        least = top.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        # fewer hits than k are no floor
+        floors = asked.join(least, "id", "left").select("id", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "vector", "home")
+        sent = materialize(floors.mapInArrow(_sent(routes, to), ASKED), "others-asked", QUERY_BLOCK)
+        rest = met(sent, to, "others")
+        ranked = top.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        if to.stop < count:
+            spent = [top, sent, rest]
+            top = materialize(ranked.select("query_id", "vec_id", "score"), "top")
+    return ranked.select("query_id", "rank", "vec_id", "score")
