@@ -47,7 +47,8 @@ def _decoded(text: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines without white space at their ends and in runs; empty ones are left out."""
-    lines = F.split(F.regexp_replace(text, r"[ \t\r\f\x0B]+", " "), "\n", -1)
+    # single blanks, nearly all there are, match nothing
+    lines = F.split(F.regexp_replace(text, r" [ \t\r\f\x0B]++|[\t\r\f\x0B][ \t\r\f\x0B]*+", " "), "\n", -1)
     return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
@@ -74,6 +75,9 @@ def line_dedup(pages: DataFrame, url_col: str = "url", text: Column | None = Non
     names = [f"k{k}" for k in range(len(keep))]
     host = host_of(quoted(url_col)).alias("host")
     source = pages.select(*[quoted(c).alias(n) for c, n in zip(keep, names, strict=True)], host, lines_of(visible_text(F.col("html")) if text is None else F.coalesce(text, F.lit(""))).alias("lines"))
+    # the lines are read twice, and worked out once; what has no type can't be written
+    untyped = {n for n, kind in source.dtypes if kind == "void"}
+    source = materialize(source.drop(*untyped), "lines")
     found = boilerplate(source.select("host", "lines"), ratio, least)
     drop = materialize(found.groupBy("host").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list("line")).alias("dropped")), "boilerplate")
     size = drop.select(F.sum(F.aggregate("dropped", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16))).first()[0] or 0
@@ -83,12 +87,12 @@ def line_dedup(pages: DataFrame, url_col: str = "url", text: Column | None = Non
         # as many tasks for a host as it has pages, by measure: a small host's list is sent once
         salts = F.ceil(F.col("pages") / SALT_PAGES)
         sizes = bounded(materialize(drop.select("host", salts.alias("salts")), "salts"))
-        salted = source.join(sizes, "host", "left").withColumn("salt", F.pmod(F.xxhash64(*names, F.size("lines"), F.get("lines", F.lit(0))), F.coalesce("salts", F.lit(1))))
+        salted = source.join(sizes, "host", "left").withColumn("salt", F.pmod(F.xxhash64(*[n for n in names if n not in untyped], F.size("lines"), F.get("lines", F.lit(0))), F.coalesce("salts", F.lit(1))))
         every = drop.select("host", "dropped", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
         joined = salted.join(every, ["host", "salt"], "left")
     kept = F.filter("lines", lambda x: ~F.array_contains(F.col("dropped"), x))
     left = F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(kept)
-    out = joined.select(*names, "host", F.size("lines").alias("n"), left.alias("left"))
+    out = joined.select(*[F.lit(None).alias(n) if n in untyped else n for n in names], "host", F.size("lines").alias("n"), left.alias("left"))
     results = (F.col("host"), F.col("n").cast("long"), (F.col("n") - F.size("left")).cast("long"), F.array_join("left", "\n"))
     called = free_names(keep, "host", "n_lines", "n_dropped", "text")
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *[r.alias(n) for r, n in zip(results, called, strict=True)])

@@ -260,6 +260,26 @@ def test_lines_at_the_ratio_stay(spark):
     assert {r.page_id for r in got if r.n_dropped} == {100, 101, 102, 103}
 
 
+def test_lines_are_worked_out_once(spark, monkeypatch):
+    """The markup is taken out in the job that writes the lines, and in none after it."""
+    plans, keep = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name, *a: plans.update({name: df}) or keep(df, name, *a))
+    df = spark.createDataFrame([(i, "http://a.com", f"<p>menu</p><p>own {i}</p>") for i in range(6)], "page_id long, url string, html string").withColumn("none", F.lit(None))
+    for bound in (16 << 20, -1):
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", bound)
+        plans["result"] = out = line_dedup.line_dedup(df, keep=("page_id", "none"))
+        assert dict(out.dtypes)["none"] == "void" and {(r.page_id, r.none, r.text) for r in out.collect()} == {(i, None, f"own {i}") for i in range(6)}
+        assert [n for n, p in plans.items() if "regexp_replace" in p._jdf.queryExecution().optimizedPlan().toString()] == ["lines"]
+
+
+def test_white_space_in_lines(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab \t\r\f\x0b\n") for _ in range(rng.randrange(40))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", line_dedup.lines_of(F.col("t")).alias("lines"))
+    for r in df.collect():
+        assert r.lines == [x for x in (re.sub(r"[ \t\r\f\x0b]+", " ", part).strip(" ") for part in r.t.split("\n")) if x]
+
+
 def test_rules_removed_and_added_again(spark):
     docs = spark.createDataFrame([(1, "a" * 32 + " token = abcdefgh1"), (2, "a" * 32 + " token = abcdefgh1"), (None, "AKIA" + "B" * 12), (4, None)], "doc_id long, text string")
     assign, access, hex_ = secret_scan.RULES
