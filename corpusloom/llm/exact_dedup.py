@@ -5,13 +5,17 @@ has ended, and its members are equal; every other group is split again by the ne
 texts, so only copies and texts with common beginnings carry their bytes into later rounds. Each round aggregates within tasks
 before it shuffles and joins the few groups back, so that a group of copies may hold a third of all rows; each round's state is
 a table in the shared folder.
+
+Groups are found by the bytes of their slices, and rows find their group by a tag of 64 bits, so that no slice is joined. A tag is
+only a name: whether two slices of a group share one is counted, and what shares a tag stays together, uncut, for the next round,
+whose tags are others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, text_or_empty
@@ -19,8 +23,8 @@ from .common import discard, materialize, text_or_empty
 #: Bytes by which each round splits; after the last, every round is four times as wide as the one before, up to WIDEST.
 WIDTHS = (64, 1 << 10, 1 << 14, 1 << 18, 1 << 20)
 WIDEST = 1 << 26
-#: Groups that are joined by broadcast at most, in bytes of their slices. Beyond it the join shuffles.
-BROADCAST_BYTES = 16 << 20
+#: Groups that are joined by broadcast at most, in bytes, of which a group has about GROUP_BYTES. Beyond it the join shuffles.
+BROADCAST_BYTES, GROUP_BYTES = 16 << 20, 64
 
 
 def _widths() -> Iterator[int]:
@@ -31,22 +35,24 @@ def _widths() -> Iterator[int]:
         yield width
 
 
+def tagged(cut: Column, level: int) -> Column:
+    return F.xxhash64(cut, F.lit(level))
+
+
 def _split(state: DataFrame, width: int, level: int) -> DataFrame:
     """One round: state (id, sha, gid, rest) to (uid, id, sha, gid, n, keep, done, rest)."""
     cut = F.substring("rest", 1, width)
-    sliced = state.withColumn("slice", cut)
-    groups = sliced.groupBy("gid", "slice").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep")).where("n > 1")
-    groups = groups.select("gid", "slice", "n", "keep", (F.octet_length("slice") < width).alias("ended"))
+    slices = state.groupBy("gid", cut.alias("slice")).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
+    slices = slices.select("gid", tagged(F.col("slice"), level).alias("tag"), "n", "keep", (F.octet_length("slice") < width).alias("ended"))
+    groups = slices.groupBy("gid", "tag").agg(F.sum("n").alias("n"), F.max("keep").alias("keep"), F.first("ended").alias("ended"), (F.count(F.lit(1)) > 1).alias("shared")).where("n > 1")
     groups = made = materialize(groups.withColumn("next", F.monotonically_increasing_id()), f"groups{level}")
-    # by the bytes that the groups really hold, not by the width
-    size = groups.agg(F.sum(F.octet_length("slice") + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
+    if groups.count() * GROUP_BYTES <= BROADCAST_BYTES:
         groups = F.broadcast(groups)
-    out = sliced.alias("s").join(groups.alias("g"), F.expr("s.gid = g.gid and s.slice = g.slice"), "left")
-    single, done = F.col("n").isNull(), F.coalesce("ended", F.lit(True))
+    out = state.withColumn("tag", tagged(cut, level)).alias("s").join(groups.alias("g"), F.expr("s.gid = g.gid and s.tag = g.tag"), "left")
+    single, done = F.col("n").isNull(), F.coalesce(F.col("ended") & ~F.col("shared"), F.lit(True))
     out = out.select(
         F.monotonically_increasing_id().alias("uid"), "s.id", "sha", F.coalesce("g.next", F.lit(-1)).alias("gid"), F.coalesce("n", F.lit(1)).alias("n"),
-        F.when(single, F.col("s.id")).otherwise(F.col("keep")).alias("keep"), done.alias("done"), F.when(~done, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
+        F.when(single, F.col("s.id")).otherwise(F.col("keep")).alias("keep"), done.alias("done"), F.when(~done, F.when(F.col("shared"), F.col("rest")).otherwise(F.expr(f"substring(rest, {width + 1})"))).alias("rest"),
     )
     out = materialize(out, f"split{level}")
     discard(made)

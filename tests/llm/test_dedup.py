@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import bagminhash, common, exact_dedup, near_dedup
 from corpusloom.llm.components import connected_components
@@ -41,6 +42,30 @@ def test_exact(spark, monkeypatch, bound):
     assert sorted(map(tuple, got), key=str) == exact_model(rows)
 
 
+@pytest.mark.parametrize("bound", [0, 16 << 20])
+def test_exact_with_shared_tags(spark, monkeypatch, bound):
+    """Slices that share a tag stay apart in the result, whatever the tags."""
+    monkeypatch.setattr(exact_dedup, "WIDTHS", (2, 3, 5))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", bound)
+    tagged = exact_dedup.tagged
+    monkeypatch.setattr(exact_dedup, "tagged", lambda cut, level: F.pmod(tagged(cut, level), F.lit(5)))
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(0, 5)))) for i in range(40)] + [(100, "x" * 40), (101, "x" * 40), (102, "x" * 41), (None, None)]
+    got = exact_dedup.exact_dedup(docs(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == exact_model(rows)
+
+
+def test_exact_joins_no_slices(spark, monkeypatch):
+    """Long slices of few groups don't make a join shuffle the texts."""
+    plans, keep = {}, exact_dedup.materialize
+    monkeypatch.setattr(exact_dedup, "materialize", lambda df, name: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or keep(df, name))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 4096)
+    rows = [(i, f"{i // 2:04}" * 1000) for i in range(40)]
+    got = exact_dedup.exact_dedup(docs(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == exact_model(rows)
+    assert all("strategy=broadcast" in plans[f"split{level}"] for level in range(3))
+
+
 def test_exact_at_the_real_widths(spark):
     """Texts that differ in one byte on either side of each width, and copies beyond the widest fixed one."""
     rows, n = [], 0
