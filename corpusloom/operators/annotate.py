@@ -11,19 +11,23 @@ annotator has the same interface and runs in Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from . import blocks
+from .blocks import LEXICON as LEXICON
 
 SENTENCE = r"[^.!?]+[.!?]*|[.!?]+"
 TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"
 SCHEMA = "doc_id bigint, sent_id int, tok_id int, text string, lemma string, pos string, dep string, head_id int, is_alpha boolean, is_punct boolean, is_space boolean"
-LEXICON = {
-    "DET": ("the", "a", "an", "this", "that"), "ADP": ("of", "in", "on", "by", "with", "for", "from", "at", "to"), "PRON": ("i", "you", "he", "she", "it", "we", "they"),
-    "CCONJ": ("and", "or", "but"), "SCONJ": ("because", "if", "when", "while", "although"), "AUX": ("is", "are", "was", "were", "be", "has", "have", "had", "will", "would", "can"),
-}
-SUFFIXES = (("ADV", "ly$"), ("VERB", "(ed|ing|ize|ise)$"), ("ADJ", "(ous|ful|ive|able|ible|al|ic)$"))
 SUBORDINATE = ("advcl", "ccomp", "xcomp")
 
 
@@ -39,65 +43,43 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(found).alias("sent_id", "sentence"))
 
 
-def part_of_speech(low: Column) -> Column:
-    pos = F.when(~low.rlike(r"[\p{L}\p{N}]"), "PUNCT").when(low.rlike(r"^\p{N}+$"), "NUM")
-    for tag, listed in LEXICON.items():
-        pos = pos.when(low.isin(*listed), tag)
-    for tag, suffix in SUFFIXES:
-        pos = pos.when(low.rlike(suffix), tag)
-    return pos.otherwise("NOUN")
+def with_sentences(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows (doc_id, sent_id, ...) of the rule annotator's sentences with sentence_text."""
+    return rows.join(sentences(docs).withColumnRenamed("sentence", "sentence_text"), ["doc_id", "sent_id"], "left")
 
 
-def lemma(low: Column) -> Column:
-    n = F.length(low)
-    out = F.when((n > 5) & low.endswith("ing"), F.regexp_replace(low, "ing$", "")).when((n > 4) & low.endswith("ed"), F.regexp_replace(low, "ed$", ""))
-    return out.when((n > 3) & low.endswith("s") & ~low.endswith("ss"), F.regexp_replace(low, "s$", "")).otherwise(low)
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt out if their files make fewer partitions than there are cores. Only plans without a shuffle are asked, which nothing runs for."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" not in docs._jdf.queryExecution().executedPlan().toString() and docs.rdd.getNumPartitions() < cores:
+        return docs.repartition(cores)
+    return docs
 
 
-def with_sentences(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows (doc_id, sent_id, ...) of the rule annotator's sentences with sentence_text."""
-    return rows.join(sentences(docs).withColumnRenamed("sentence", "sentence_text"), ["doc_id", "sent_id"], "left")
+def annotated(docs: DataFrame, fields: str, make: Callable, *carried: str, id_col: str = "doc_id", text_col: str = "text", block: Callable = blocks.Block) -> DataFrame:
+    """(doc_id, fields) of docs, worked out where a text is read. make(block, *carried) gives, of a block of texts, the number of each row's text and the columns; carried: further columns of docs that it takes, as Arrow arrays of the block."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    wanted = to_arrow_schema(StructType.fromDDL(f"doc_id {kind}, {fields}"))
 
+    def run(batches):
+        for batch in batches:
+            sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            group = np.cumsum(sizes + 1) // blocks.BLOCK
+            for a, b in pairwise(blocks.spans(group).tolist()):
+                part = batch.slice(a, b - a)
+                of, columns = make(block([t or "" for t in part.column(1).to_pylist()]), *part.columns[2:])
+                arrays = [part.column(0).take(pa.array(of)), *[x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()]]
+                table = pa.Table.from_arrays(arrays, names=["doc_id", *columns]).select(wanted.names).cast(wanted)
+                yield from table.to_batches(max_chunksize=blocks.ROWS)
 
-class RuleAnnotator:
-    """Tokens by rules, all of them window expressions over a sentence.
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)).mapInArrow(run, f"doc_id {kind}, {fields}")
 
-    The documents, not their tokens, are dealt out by doc_id; every later grouping by document or sentence finds its rows in place.
-    """
 
-    def words(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, sent_id, tok_id, text, low, pos): tokens without their tree."""
-        dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
-        found = sentences(dealt).select("doc_id", "sent_id", F.posexplode(F.regexp_extract_all("sentence", F.lit(TOKEN), 0)).alias("k", "text"))
-        order = Window.partitionBy("doc_id").orderBy("sent_id", "k")
-        low = F.lower("text")
-        return found.select("doc_id", "sent_id", (F.row_number().over(order) - 1).alias("tok_id"), "text", low.alias("low"), part_of_speech(low).alias("pos"))
+class RuleAnnotator:
+    """Tokens by rules, without a model: see operators.blocks. A row of docs is a document."""
 
     def tokens(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        w = self.words(docs, id_col, text_col)
-        whole = Window.partitionBy("doc_id", "sent_id")
-        order = whole.orderBy("tok_id")
-        before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-
-        def at(tag) -> Column:
-            return F.when(tag, F.col("tok_id"))
-
-        pos = F.col("pos")
-        first = lambda tag: F.min(at(tag)).over(whole)
-        w = w.withColumns({
-            "root": F.coalesce(first(pos == "VERB"), first(pos == "AUX"), first(pos != "PUNCT"), first(F.lit(True))),
-            "verb": F.max(at(pos == "VERB")).over(before), "adp": F.max(at(pos == "ADP")).over(before), "full": F.max(at(pos.isin("NOUN", "VERB"))).over(before),
-            "noun": F.min(at(pos == "NOUN")).over(after), "pos1": F.lag("pos").over(order), "low1": F.lag("low").over(order),
-        })
-        root, governed = F.col("tok_id") == F.col("root"), F.col("adp").isNotNull() & (F.col("full").isNull() | (F.col("full") < F.col("adp")))
-        thing = pos.isin("NOUN", "PRON")
-        dep = F.when(root, "ROOT").when((pos == "VERB") & (F.col("pos1") == "CCONJ"), "conj").when((pos == "VERB") & ((F.col("pos1") == "SCONJ") | (F.col("low1") == "that")), "ccomp")
-        dep = dep.when((pos == "VERB") & (F.col("low1") == "to"), "xcomp").when(pos == "VERB", "advcl").when(thing & governed, "pobj").when(thing & (F.col("tok_id") < F.col("root")), "nsubj").when(thing, "dobj")
-        for tag, name in (("ADV", "advmod"), ("AUX", "aux"), ("CCONJ", "cc"), ("SCONJ", "mark"), ("PUNCT", "punct"), ("ADP", "prep"), ("DET", "det"), ("ADJ", "amod"), ("NUM", "nummod")):
-            dep = dep.when(pos == tag, name)
-        head = F.when(root, F.col("tok_id")).when(pos == "ADP", F.coalesce("verb", "root")).when(thing & governed, F.col("adp")).when(thing & (F.col("tok_id") < F.col("root")), F.col("root"))
-        head = head.when(thing, F.coalesce("verb", "root")).when(pos.isin("DET", "ADJ", "NUM"), F.coalesce("noun", "root")).otherwise(F.col("root"))
-        return w.select("doc_id", "sent_id", "tok_id", "text", lemma(F.col("low")).alias("lemma"), "pos", dep.alias("dep"), head.alias("head_id"), F.col("text").rlike(r"^\p{L}+$").alias("is_alpha"), (pos == "PUNCT").alias("is_punct"), F.lit(False).alias("is_space"))
+        return annotated(docs, SCHEMA.split(", ", 1)[1], lambda b: (b.tdoc, b.tokens()), id_col=id_col, text_col=text_col)
 
 
 class ModelAnnotator:
@@ -121,14 +103,17 @@ class ModelAnnotator:
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, SCHEMA)
 
 
+def _listed(b: blocks.Block, values: pa.Array, name: str) -> tuple:
+    offsets = blocks.spans(b.tdoc)
+    return b.tdoc[offsets[:-1]], {name: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)}
+
+
 def tokenize_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokens): token texts of each document in order."""
-    w = RuleAnnotator().words(docs, id_col, text_col)
-    return w.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", "text"))), lambda x: x["text"]).alias("tokens"))
+    """(doc_id, tokens): token texts in order, of each document that has any."""
+    return annotated(docs, "tokens array<string>", lambda b: _listed(b, b.text.cast(pa.string()), "tokens"), id_col=id_col, text_col=text_col)
 
 
 def lemmatize_tokens(tokens: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     """(doc_id, lemmas): lemmas of the tokens joined by spaces and parsed again, so their number may change."""
     again = tokens.select(F.col(id_col).alias("doc_id"), F.concat_ws(" ", tokens_col).alias("text"))
-    w = RuleAnnotator().words(again)
-    return w.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tok_id", lemma(F.col("low")).alias("lemma")))), lambda x: x["lemma"]).alias("lemmas"))
+    return annotated(again, "lemmas array<string>", lambda b: _listed(b, b.lemmas(), "lemmas"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import exact_round
 from ..functions.text import clean_text, remove_patterns, trim_to_end, trim_to_start
-from ..operators import concepts, discourse, graph, lexical, lm, syntax
-from ..operators.annotate import RuleAnnotator, lemmatize_tokens, sentences, tokenize_text, with_sentences
+from ..operators import concepts, discourse, graph, lexical, lm, local
+from ..operators.annotate import RuleAnnotator, lemmatize_tokens, sentences, tokenize_text
 from ..operators.windows import chunks
 from ..sources.books import HEADING, PAGE_NUMBER, ROMAN_NUMERAL, URL
 from ..sources.files import todo
@@ -22,10 +22,6 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RuleAnnotator().tokens(_docs(spark, sf_dir))
-
-
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("node_id"), F.col("embedding").alias("vector"))
 
@@ -64,15 +60,15 @@ def sentence_split(spark, sf_dir):
 
 
 def tokens(spark, sf_dir):
-    return _tokens(spark, sf_dir)
+    return RuleAnnotator().tokens(_docs(spark, sf_dir))
 
 
 def lexical_density(spark, sf_dir):
-    return lexical.lexical_density(_tokens(spark, sf_dir))
+    return local.lexical_density(_docs(spark, sf_dir))
 
 
 def lexical_density_w3(spark, sf_dir):
-    return r.density_windows(_tokens(spark, sf_dir))
+    return local.density_windows(_docs(spark, sf_dir))
 
 
 def information_content_w3(spark, sf_dir):
@@ -81,43 +77,39 @@ def information_content_w3(spark, sf_dir):
 
 
 def cohesion_w3(spark, sf_dir):
-    return r.cohesion_windows(_tokens(spark, sf_dir))
+    return local.cohesion_windows(_docs(spark, sf_dir))
 
 
 def clause_metrics(spark, sf_dir):
-    return syntax.clause_metrics(_tokens(spark, sf_dir))
+    return local.clause_metrics(_docs(spark, sf_dir))
 
 
 def clause_metrics_w3(spark, sf_dir):
-    return r.clause_windows(_tokens(spark, sf_dir))
+    return local.clause_windows(_docs(spark, sf_dir))
 
 
 def depth_w3(spark, sf_dir):
-    return r.depth_windows(_tokens(spark, sf_dir))
+    return local.depth_windows(_docs(spark, sf_dir))
 
 
 def dependency_w3(spark, sf_dir):
-    return r.dependency_windows(_tokens(spark, sf_dir))
+    return local.dependency_windows(_docs(spark, sf_dir))
 
 
 def semantic_roles(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    roles = F.array_join(F.transform("semantic_roles", lambda x: F.concat_ws(":", x["role"], x["text"], x["head"])), ",")
-    return with_sentences(syntax.semantic_roles(RuleAnnotator().tokens(d)), d).select("doc_id", "sent_id", "sentence_text", roles.alias("roles"), F.col("role_count").cast("long").alias("role_count"))
+    return local.semantic_roles(_docs(spark, sf_dir))
 
 
 def agent_patient(spark, sf_dir):
-    return syntax.clauses(_tokens(spark, sf_dir)).withColumn("clause_tokens", F.array_join("clause_tokens", " "))
+    return local.clauses(_docs(spark, sf_dir))
 
 
 def agent_windows(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return r.agent_windows(RuleAnnotator().tokens(d), docs=d).withColumn("sentences", F.array_join("sentences", "|"))
+    return local.agent_windows(_docs(spark, sf_dir))
 
 
 def clause_structures(spark, sf_dir):
-    x = syntax.semantic_structures(_tokens(spark, sf_dir))
-    return x.select("doc_id", "sent_id", F.array_join(F.transform("clauses", lambda c: F.concat_ws(":", c["clause_level"], c["predicate"])), ",").alias("clauses"), *[F.col(c).cast("long").alias(c) for c in r.ROLES])
+    return local.clause_structures(_docs(spark, sf_dir))
 
 
 def information_content(spark, sf_dir):
@@ -136,7 +128,7 @@ def text_tokens(spark, sf_dir):
 
 
 def sliding_density(spark, sf_dir):
-    return r.density_sliding(_tokens(spark, sf_dir))
+    return local.density_sliding(_docs(spark, sf_dir))
 
 
 def mattr_50(spark, sf_dir):
@@ -182,15 +174,15 @@ def turn_overlap(spark, sf_dir):
 
 
 def clause_series(spark, sf_dir):
-    return r.series(r.clause_windows(_tokens(spark, sf_dir)), "subordinate", "coordinate")
+    return r.series(local.clause_windows(_docs(spark, sf_dir)), "subordinate", "coordinate")
 
 
 def depth_series(spark, sf_dir):
-    return r.series(r.depth_windows(_tokens(spark, sf_dir)), *r.DEPTH)
+    return r.series(local.depth_windows(_docs(spark, sf_dir)), *r.DEPTH)
 
 
 def dependency_series(spark, sf_dir):
-    return r.series(r.dependency_windows(_tokens(spark, sf_dir)), *r.DEPENDENCY)
+    return r.series(local.dependency_windows(_docs(spark, sf_dir)), *r.DEPENDENCY)
 
 
 def syntax_analysis(spark, sf_dir):
@@ -202,11 +194,11 @@ def window_metrics(spark, sf_dir):
 
 
 def phrases(spark, sf_dir):
-    return concepts.noun_phrases(_tokens(spark, sf_dir))
+    return local.noun_phrases(_docs(spark, sf_dir), concepts.STOP_WORDS)
 
 
 def top_n_phrases(spark, sf_dir):
-    return concepts.top_phrases(concepts.noun_phrases(_tokens(spark, sf_dir)), 100)
+    return local.noun_phrases(_docs(spark, sf_dir), concepts.STOP_WORDS, 100)
 
 
 def sim_edges(spark, sf_dir):

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import exact_round
 from ..functions.text import clean_text, midpoint, trim_to_end, trim_to_start
-from ..operators import concepts, graph, lexical, lm, syntax
+from ..operators import concepts, graph, lexical, lm, local, syntax
 from ..operators.annotate import Annotator, RuleAnnotator, with_sentences
+from ..operators.local import CLAUSE, DEPENDENCY, DEPTH
 from ..operators.windows import sliding, tumbling
 from ..sources import files
 
@@ -56,9 +57,6 @@ def whole_text_metrics(docs: DataFrame, model_name: str = "unigram", scorer: lm.
     return docs.select("doc_id").join(per, "doc_id", "left").join(top, "doc_id", "left").select("doc_id", F.lit(model_name).alias("model"), "avg_log_prob", F.coalesce("num_tokens", F.lit(0)).alias("num_tokens"), "top_words", "chunks")
 
 
-CLAUSE = ["main", "subordinate", "coordinate", "subordination_ratio", "coordination_ratio"]
-DEPTH = ["max_depth", "mean_depth", "median_depth", "depth_skew"]
-DEPENDENCY = ["main_clause", "subordinate_clause", "coordinate_clause", "max_dependents", "mean_dependency_distance"]
 
 
 def clause_windows(tokens: DataFrame, size: int = 3) -> DataFrame:
@@ -120,7 +118,7 @@ def series(windows: DataFrame, *values: str) -> DataFrame:
 
 def syntax_analysis(docs: DataFrame, size: int = 3, annotator: Annotator | None = None) -> DataFrame:
     """Clause, depth and dependency windows side by side, in one pass over the tokens."""
-    return syntax_windows((annotator or RuleAnnotator()).tokens(docs), size)
+    return local.syntax_windows(docs, size) if annotator is None else syntax_windows(annotator.tokens(docs), size)
 
 
 def sentence_metrics(tokens: DataFrame, freqs: DataFrame, scorer: lm.UnigramScorer) -> DataFrame:
