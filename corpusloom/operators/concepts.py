@@ -107,16 +107,20 @@ def density_clusters(x: np.ndarray, least: int = 5) -> np.ndarray:
     if n < max(2, least):
         return np.full(n, -1)
     square = (x * x).sum(axis=1)
-    d = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * x @ x.T, 0))
-    np.fill_diagonal(d, 0)
-    core = np.sort(d, axis=1)[:, min(least, n) - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+    # distances are worked out again for each node that the tree takes, never held for all pairs
+    step = max(1, (16 << 20) // (8 * n))
+    core = np.empty(n)
+    for i in range(0, n, step):
+        d = np.sqrt(np.maximum(square[i : i + step, None] + square[None] - 2 * x[i : i + step] @ x.T, 0))
+        d[np.arange(len(d)), np.arange(i, i + len(d))] = 0
+        core[i : i + step] = np.partition(d, min(least, n) - 1, axis=1)[:, min(least, n) - 1]
     inside, best, via, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
     at = 0
     for _ in range(n - 1):
         inside[at] = True
-        closer = ~inside & (reach[at] < best)
-        best[closer], via[closer] = reach[at][closer], at
+        reach = np.maximum(np.sqrt(np.maximum(square + square[at] - 2 * (x @ x[at]), 0)), np.maximum(core, core[at]))
+        closer = ~inside & (reach < best)
+        best[closer], via[closer] = reach[closer], at
         at = int(np.argmin(np.where(inside, np.inf, best)))
         edges.append((best[at], via[at], at))
     edges.sort()
@@ -133,19 +137,19 @@ def density_clusters(x: np.ndarray, least: int = 5) -> np.ndarray:
         parent[a] = parent[b] = new
         kids[new], height[new], sizes[new] = (a, b), h, sizes[a] + sizes[b]
 
-    def leaves(i: int) -> list[int]:
-        out, todo = [], [i]
-        while todo:
-            j = todo.pop()
-            todo.extend(kids[j]) if j in kids else out.append(j)
-        return out
+    # the leaves below a node stand together
+    start, leaf = np.zeros(2 * n - 1, int), np.zeros(n, int)
+    for i in range(2 * n - 2, n - 1, -1):
+        a, b = kids[i]
+        start[a], start[b] = start[i], start[i] + sizes[a]
+    leaf[start[:n]] = np.arange(n)
 
     lam = lambda h: 1 / h if h > 0 else 1e12
     clusters, order = {}, []  # number: (birth, stability, members, children)
     todo = [(2 * n - 2, 0.0, None)]
     while todo:
         node, birth, above = todo.pop()
-        number, stability, members, children, at = len(order), 0.0, leaves(node), [], node
+        number, stability, members, children, at = len(order), 0.0, leaf[start[node] : start[node] + sizes[node]], [], node
         order.append(number)
         while at in kids:
             a, b = kids[at]

@@ -110,3 +110,49 @@ def runners_of():
     from corpusloom.plans import runners
 
     return runners
+
+
+def test_networks_of_vectors_are_those_of_their_edges(spark, monkeypatch):
+    """Of any size, without a table of edges: before, a network beyond LARGEST nodes was an error, and all pairs went through a join."""
+    from corpusloom.operators import similar
+
+    rng = np.random.default_rng(3)
+    rows = [(d, int(k), [None] if k == 5 else rng.normal(size=3 if k % 9 == 0 else 4).round(1).tolist()) for d, n in ((1, 60), (2, 1), (3, 2), (4, 25)) for k in range(n)] + [(1, 100, None), (1, 101, [0.0] * 4)]
+    nodes = spark.createDataFrame(rows, "doc_id long, node_id long, vector array<float>")
+    for name, value in (("PAIRED", 7), ("SOURCES", 9), ("BYTES", 4000)):
+        monkeypatch.setattr(similar, name, value)
+    unit = {(d, k): None if v is None else np.zeros(len(v)) if None in v else np.float32(v).astype(float) for d, k, v in rows}
+    want = set()
+    for d, i in unit:
+        for e, j in unit:
+            a, b = unit[d, i], unit[e, j]
+            if d == e and i < j and a is not None and b is not None and len(a) == len(b) and a.any() and b.any() and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.3:
+                want.add((d, i, j))
+    edges = graph.similarity_edges(nodes, 0.3).cache()
+    assert {(r.doc_id, r.src, r.dst) for r in edges.collect()} == want and edges.count() == len(want) > 100
+    monkeypatch.setattr(graph, "LARGEST", 100)
+
+    def same(got, by_edges):
+        names = [c for c in got.columns if c not in ("doc_id", "node_id")]
+        a, b = ({(r.doc_id, r.node_id): [r[c] for c in names] for r in df.collect()} for df in (got, by_edges))
+        assert a.keys() == b.keys() == unit.keys()
+        assert all(np.allclose(a[k], b[k], atol=1e-9, equal_nan=True) for k in a)
+
+    central = graph.centralities(nodes, edges).cache()
+    same(similar.degree(nodes, 0.3), central.select("doc_id", "node_id", "degree"))
+    same(similar.centralities(nodes, 0.3), central)
+    same(similar.communities(nodes, 0.3), graph.communities(nodes, edges))
+    monkeypatch.setattr(graph, "LARGEST", 10)
+    assert similar.paths(nodes, 0.3).count() == len(unit)
+
+
+def test_clusters_hold_no_matrix_of_all_pairs():
+    """Before, three matrices of all distances; 4,000 nodes took over 380 MB."""
+    import tracemalloc
+
+    x = np.random.default_rng(1).normal(size=(4000, 2))
+    tracemalloc.start()
+    labels = concepts.density_clusters(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels) == 4000 and most < 120e6
