@@ -7,7 +7,9 @@ are handled once a block. A row of the documents is a document. Letters and digi
 
 from __future__ import annotations
 
+import math
 import unicodedata
+from collections import Counter
 from functools import cache, cached_property
 
 import numpy as np
@@ -44,15 +46,6 @@ def kinds() -> np.ndarray:
     return out
 
 
-@cache
-def blanks() -> np.ndarray:
-    """By code point: what Python calls white space, as functions.text.WS has it."""
-    out = np.zeros(0x110000, bool)
-    out[:0x10000] = [unicodedata.category(chr(i))[0] == "Z" for i in range(0x10000)]
-    out[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85]] = True
-    return out
-
-
 def part_of_speech(low: str) -> int:
     """Of a word of letters."""
     known = _BY_WORD.get(low)
@@ -112,23 +105,29 @@ def spans(keys: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a block: what white space separates, in lower case, by document."""
+    """The words of texts: what white space separates, in lower case. Each is met once, by Python's own dictionaries."""
 
     def __init__(self, texts: list[str]):
-        self.n = len(texts)
-        lows = [t.lower() for t in texts]
-        points = np.frombuffer("\n".join(lows).encode("utf-32-le"), np.uint32)
-        sizes = np.fromiter(map(len, lows), np.int64, self.n)
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        inside = ~blanks()[points]
-        if self.n > 1:
-            inside[starts[1:] - 1] = False
-        edge = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        words = strings_at(points, begin, end, inside).dictionary_encode()
-        self.word, self.names = words.indices.to_numpy(), words.dictionary
-        self.first = np.searchsorted(begin, np.concatenate([starts, [len(points) + 1]]))
-        self.doc = np.repeat(np.arange(self.n), np.diff(self.first))
+        self.words = [t.lower().split() for t in texts]
+
+    def chunks(self, log_probs: list, size: int) -> dict:
+        """As lm.chunk_log_probs with a unigram model, without overlap: doc, the texts, and the columns. log_probs: of each text's words."""
+        out = {c: [] for c in ("doc", "chunk_id", "start_token", "end_token", "avg_log_prob", "num_tokens", "text_snippet")}
+        for doc, (words, p) in enumerate(zip(self.words, log_probs, strict=True)):
+            for at in range(0, len(words), size):
+                part = p[at : at + size]
+                for column, x in zip(out.values(), (doc, at // size, at, at + len(part), sum(part) / len(part), len(part), " ".join(words[at : at + min(size, 50)])), strict=True):
+                    column.append(x)
+        return out
+
+    def commonest(self, most: int, least: int) -> list[str]:
+        """Of each text, its commonest words of letters, as lexical.top_words, as word:freq."""
+        out = []
+        for words in self.words:
+            # in order of first appearance, which sorting keeps among equals
+            found = [(w, n) for w, n in Counter(words).items() if n >= least and w.isalpha()]
+            out.append(",".join(f"{w}:{n}" for w, n in sorted(found, key=lambda x: -x[1])[:most]))
+        return out
 
 
 class Block:
@@ -290,6 +289,38 @@ class Block:
         n = np.bincount(shared // (len(names) + 1), minlength=self.m)
         return {"cohesion_overlap": (n.astype(np.int32), self.sid > 0)}
 
+    # freq: how often the corpus has each of the block's distinct words; 0 for what it hasn't
+
+    def information(self, freq: np.ndarray) -> dict:
+        seen = self.alpha & (freq[self.word] > 0)
+        by_word = np.array([-math.log(f) if f else 0.0 for f in freq.tolist()])
+        n = self.counts(seen)
+        return {"information_content": (ratio(np.bincount(self.sent[seen], by_word[self.word[seen]], self.m), n), n > 0), "ic_count": n}
+
+    def frequencies(self, freq: np.ndarray) -> pa.Array:
+        """The frequencies behind information(), joined by commas."""
+        seen = self.alpha & (freq[self.word] > 0)
+        texts = pa.array(list(map(str, freq.tolist())), pa.string()).take(pa.array(self.word[seen]))
+        return joined_lists(np.concatenate([[0], np.cumsum(self.counts(seen))]), texts, ",")
+
+    def averages(self, freq: np.ndarray, overall: float | None) -> dict:
+        """As lexical.average_word_frequency; overall: the mean frequency."""
+        n, content = self.counts(self.alpha), self.counts(self.alpha & self.content)
+        total = np.bincount(self.sent[self.alpha], np.maximum(freq, 1)[self.word[self.alpha]], self.m)
+        mean, some = ratio(total, n), n > 0
+        norm = exact_round(mean / overall, 3) if overall else np.zeros(self.m)
+        return {"avg_word_freq": (exact_round(mean, 3), some), "normalized_freq": (norm, some), "content_function_ratio": (exact_round(ratio(content, n - content), 3), some)}
+
+    def surprisal(self, freq: np.ndarray, mass: float | None, overall: float | None) -> dict:
+        """As lm.surprisal; mass: of the counts, with one added for each word; overall: the mean of all tokens."""
+        by_word = np.array([-math.log((f + 1) / mass) for f in freq.tolist()]) if mass else np.zeros(len(freq))
+        sent, p = self.sent[self.alpha], by_word[self.word[self.alpha]]
+        n = np.bincount(sent, minlength=self.m)
+        mean = ratio(np.bincount(sent, p, self.m), n)
+        spread = np.bincount(sent, (p - mean[sent]) ** 2, self.m)
+        norm = mean / overall if overall else np.zeros(self.m)
+        return {"mean_surprisal": exact_round(mean, 3), "surprisal_variance": exact_round(np.where(n > 1, ratio(spread, n - 1), 0), 3), "normalized_surprisal": exact_round(norm, 3)}
+
     def clause_heads(self) -> np.ndarray:
         """Which tokens are verbs that head a clause: the rules give every verb such a dependency."""
         return self.pos == P["VERB"]

@@ -9,6 +9,7 @@ from ..functions.rounding import exact_round
 from ..functions.text import clean_text, remove_patterns, trim_to_end, trim_to_start
 from ..operators import concepts, discourse, graph, lexical, lm, local, similar
 from ..operators.annotate import RuleAnnotator, lemmatize_tokens, sentences, tokenize_text
+from ..operators.counted import Counted
 from ..operators.windows import chunks
 from ..sources.books import HEADING, PAGE_NUMBER, ROMAN_NUMERAL, URL
 from ..sources.files import todo
@@ -72,8 +73,7 @@ def lexical_density_w3(spark, sf_dir):
 
 
 def information_content_w3(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return r.information_windows(RuleAnnotator().tokens(d), lexical.corpus_frequencies(d))
+    return Counted(_docs(spark, sf_dir)).information_windows()
 
 
 def cohesion_w3(spark, sf_dir):
@@ -113,9 +113,7 @@ def clause_structures(spark, sf_dir):
 
 
 def information_content(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    x = lexical.information_content(RuleAnnotator().tokens(d), lexical.corpus_frequencies(d))
-    return x.select("doc_id", "sent_id", F.round("information_content", 9).alias("information_content"), "ic_count", F.array_join(F.transform("ic_values", lambda v: F.round(F.exp(-v)).cast("long").cast("string")), ",").alias("freqs"))
+    return _rounded(Counted(_docs(spark, sf_dir)).information_content(), "information_content", places=9)
 
 
 def lemmas(spark, sf_dir):
@@ -136,13 +134,11 @@ def mattr_50(spark, sf_dir):
 
 
 def avg_word_freq(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return lexical.average_word_frequency(RuleAnnotator().tokens(d), lexical.corpus_frequencies(d))
+    return Counted(_docs(spark, sf_dir)).average_word_frequency()
 
 
 def surprisal(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return lm.surprisal(RuleAnnotator().tokens(d), lm.UnigramScorer(d))
+    return Counted(_docs(spark, sf_dir)).surprisal()
 
 
 def chunks_2048(spark, sf_dir):
@@ -154,19 +150,15 @@ def chunks_overlap(spark, sf_dir):
 
 
 def chunk_scores(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return _rounded(lm.chunk_log_probs(d, lm.UnigramScorer(d)), "avg_log_prob")
+    return _rounded(Counted(_docs(spark, sf_dir)).chunk_log_probs(), "avg_log_prob")
 
 
 def doc_logprob(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return _rounded(lm.document_log_probs(lm.chunk_log_probs(d, lm.UnigramScorer(d))), "avg_log_prob")
+    return _rounded(Counted(_docs(spark, sf_dir)).document_log_probs(), "avg_log_prob")
 
 
 def whole_text(spark, sf_dir):
-    x = r.whole_text_metrics(_docs(spark, sf_dir))
-    word = F.array_join(F.transform("top_words", lambda t: F.concat_ws(":", t["word"], t["freq"].cast("string"))), ",")
-    return x.select("doc_id", "model", F.round("avg_log_prob", 6).alias("avg_log_prob"), "num_tokens", F.coalesce(word, F.lit("")).alias("top_words"), F.coalesce(F.size("chunks"), F.lit(0)).cast("long").alias("chunks"))
+    return _rounded(Counted(_docs(spark, sf_dir)).whole_text(), "avg_log_prob")
 
 
 def turn_overlap(spark, sf_dir):

@@ -11,6 +11,7 @@ from ..functions.rounding import exact_round
 from ..functions.text import clean_text, midpoint, min_max, trim_to_end, trim_to_start
 from ..operators import concepts, graph, lexical, lm, local, similar, syntax
 from ..operators.annotate import Annotator, RuleAnnotator, with_sentences
+from ..operators.counted import Counted
 from ..operators.local import CLAUSE, DEPENDENCY, DEPTH
 from ..operators.windows import sliding, tumbling
 from ..sources import files
@@ -152,7 +153,9 @@ def sentence_metrics(tokens: DataFrame, freqs: DataFrame, scorer: lm.UnigramScor
 
 def window_metrics(docs: DataFrame, size: int = 3, annotator: Annotator | None = None) -> DataFrame:
     """All window metrics of each document: syntax, density, information content, cohesion, surprisal, word frequency, and the sums of agent, predicate and patient structures (null in a last window that isn't full)."""
-    tokens = (annotator or RuleAnnotator()).tokens(docs)
+    if annotator is None:
+        return Counted(docs).window_metrics(size)
+    tokens = annotator.tokens(docs)
     rows = _totals(sentence_metrics(tokens, lexical.corpus_frequencies(docs), lm.UnigramScorer(docs)), size)
     rows = rows.withColumns({c: F.when(F.col("n") == size, F.col(c)) for c in TOTALS})
     means = [*CLAUSE, *DEPTH, *DEPENDENCY, "token_count", "content_count", "mean_surprisal", "surprisal_variance", "normalized_surprisal", "avg_word_freq", "normalized_freq", "content_function_ratio"]

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import concepts, lexical, local, syntax
+from corpusloom.operators import concepts, counted, lexical, lm, local, syntax
 from corpusloom.operators.annotate import RuleAnnotator, sentences, tokenize_text, with_sentences
 from corpusloom.plans import runners
 
@@ -81,3 +81,30 @@ def test_blocks_split_anywhere(docs):
     for f in (lambda b: b.clauses(), lambda b: b.depth(), lambda b: b.dependency(), lambda b: b.roles()):
         for c, x in f(whole).items():
             assert x.tolist() == [v for b in apart for v in f(b)[c].tolist()], c
+
+
+@pytest.mark.parametrize("common", [5, 10_000])
+def test_counted_metrics_are_those_of_the_tokens_table(docs, tokens, monkeypatch, common):
+    """With the counts of a few words in every task, and the others from a join; and with all of them in every task."""
+    monkeypatch.setattr(counted, "COMMON", common)
+    c, freqs, scorer = counted.Counted(docs), lexical.corpus_frequencies(docs).cache(), lm.UnigramScorer(docs)
+    assert c.all_common == (common > 5)
+    same(c.average_word_frequency(), lexical.average_word_frequency(tokens, freqs))
+    same(c.surprisal(), lm.surprisal(tokens, scorer))
+    same(c.information_windows(), runners.information_windows(tokens, freqs))
+    close(c.chunk_log_probs(7), lm.chunk_log_probs(docs, scorer, 7), "chunk_id", "avg_log_prob")
+    close(c.document_log_probs(7), lm.document_log_probs(lm.chunk_log_probs(docs, scorer, 7)), "doc_id", "avg_log_prob")
+    plan = c.window_metrics()._jdf.queryExecution().executedPlan().toString()
+    # the texts are shuffled once if there are rare words, and tokens never
+    assert "posexplode" not in plan and "Window" not in plan and plan.count("Exchange") <= (0 if c.all_common else 8)
+
+
+def close(got, want, key, value):
+    a, b = ({(r.doc_id, r[key]): r.asDict() for r in df.collect()} for df in (got, want))
+    assert a.keys() == b.keys() and a
+    for k in a:
+        assert abs(a[k].pop(value) - b[k].pop(value)) < 1e-9 and a[k] == b[k]
+
+
+def test_window_metrics_are_those_of_an_annotator(docs):
+    same(runners.window_metrics(docs), runners.window_metrics(docs, annotator=RuleAnnotator()))
