@@ -57,7 +57,7 @@ def spread(docs: DataFrame) -> DataFrame:
 
 
 def annotated(docs: DataFrame, fields: str, make: Callable, *carried: str, id_col: str = "doc_id", text_col: str = "text", block: Callable = blocks.Block) -> DataFrame:
-    """(doc_id, fields) of docs, worked out where a text is read. make(block, *carried) gives, of a block of texts, the number of each row's text and the columns; carried: further columns of docs that it takes, as Arrow arrays of the block."""
+    """(doc_id, fields) of docs, worked out where a text is read. make(block, *carried) gives, of a block of texts, the number of each row's text and the columns, or several such parts; carried: further columns of docs that it takes, as Arrow arrays of the block."""
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = to_arrow_schema(StructType.fromDDL(f"doc_id {kind}, {fields}"))
 
@@ -67,10 +67,11 @@ def annotated(docs: DataFrame, fields: str, make: Callable, *carried: str, id_co
             group = np.cumsum(sizes + 1) // blocks.BLOCK
             for a, b in pairwise(blocks.spans(group).tolist()):
                 part = batch.slice(a, b - a)
-                of, columns = make(block([t or "" for t in part.column(1).to_pylist()]), *part.columns[2:])
-                arrays = [part.column(0).take(pa.array(of)), *[x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()]]
-                table = pa.Table.from_arrays(arrays, names=["doc_id", *columns]).select(wanted.names).cast(wanted)
-                yield from table.to_batches(max_chunksize=blocks.ROWS)
+                made = make(block([t or "" for t in part.column(1).to_pylist()]), *part.columns[2:])
+                for of, columns in [made] if isinstance(made, tuple) else made:
+                    arrays = [part.column(0).take(pa.array(of)), *[x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()]]
+                    table = pa.Table.from_arrays(arrays, names=["doc_id", *columns]).select(wanted.names).cast(wanted)
+                    yield from table.to_batches(max_chunksize=blocks.ROWS)
 
     return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)).mapInArrow(run, f"doc_id {kind}, {fields}")
 

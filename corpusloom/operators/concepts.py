@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -84,6 +85,46 @@ class NGramEmbedder:
         return x.withColumn("vector", F.transform("_v", lambda v: F.coalesce(F.try_divide(v, norm), F.lit(0.0)).cast("float"))).drop("_g", "_v")
 
 
+_MASK, _P1, _P2, _P3, _P4, _P5 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+
+
+def xxhash64(data: bytes, seed: int = 42) -> int:
+    """Spark's xxhash64 of a string of less than 32 bytes, unsigned."""
+    turn = lambda x, r: (x << r | x >> 64 - r) & _MASK
+    h, at = (seed + _P5 + len(data)) & _MASK, 0
+    while at + 8 <= len(data):
+        lane = int.from_bytes(data[at : at + 8], "little") * _P2 & _MASK
+        h, at = (turn(h ^ turn(lane, 31) * _P1 & _MASK, 27) * _P1 + _P4) & _MASK, at + 8
+    if at + 4 <= len(data):
+        h, at = (turn(h ^ int.from_bytes(data[at : at + 4], "little") * _P1 & _MASK, 23) * _P2 + _P3) & _MASK, at + 4
+    for byte in data[at:]:
+        h = turn(h ^ byte * _P5 & _MASK, 11) * _P1 & _MASK
+    h = (h ^ h >> 33) * _P2 & _MASK
+    h = (h ^ h >> 29) * _P3 & _MASK
+    return h ^ h >> 32
+
+
+@lru_cache(1 << 18)
+def _bucket(gram: str, buckets: int) -> int:
+    h = xxhash64(gram.encode())
+    return (h - (1 << 64) if h >> 63 else h) % buckets
+
+
+def gram_vectors(phrases: list[str], dim: int, n: int) -> np.ndarray:
+    """NGramEmbedder's vectors of the phrases, as rows; n-grams of less than 32 bytes (n up to 7)."""
+    sizes, found = [], []
+    for p in phrases:
+        p = f"#{p}#"
+        grams = [_bucket(p[i : i + n], 2 * dim) for i in range(max(len(p) - n + 1, 1))]
+        sizes.append(len(grams))
+        found += grams
+    buckets = np.array(found, np.int64) + np.repeat(np.arange(len(phrases)), sizes) * 2 * dim
+    counts = np.bincount(buckets, minlength=len(phrases) * 2 * dim).reshape(-1, 2 * dim)
+    v = (counts[:, :dim] - counts[:, dim:]).astype(float)
+    norm = np.sqrt((v * v).sum(axis=1))[:, None]
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype(np.float32)
+
+
 class ModelEmbedder:
     """load() makes, once in each Python worker, a function from a list of phrases to an array of vectors."""
 

@@ -232,7 +232,7 @@ def edge_style(spark, sf_dir):
 
 
 def concept_network(spark, sf_dir):
-    return r.network(r.network_nodes(_docs(spark, sf_dir)))["edges"]
+    return local.concept_edges(_docs(spark, sf_dir), concepts.STOP_WORDS, 0.3)
 
 
 def discourse_baseline(spark, sf_dir):

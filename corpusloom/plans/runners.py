@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import exact_round
 from ..functions.text import clean_text, midpoint, min_max, trim_to_end, trim_to_start
 from ..operators import concepts, graph, lexical, lm, local, similar, syntax
-from ..operators.annotate import Annotator, RuleAnnotator, with_sentences
+from ..operators.annotate import Annotator, with_sentences
 from ..operators.counted import Counted
 from ..operators.local import CLAUSE, DEPENDENCY, DEPTH
 from ..operators.windows import sliding, tumbling
@@ -162,9 +162,13 @@ def window_metrics(docs: DataFrame, size: int = 3, annotator: Annotator | None =
     return tumbling(rows, size, means, firsts=["ic_count", *TOTALS], nullable=["lexical_density", "information_content", "cohesion_overlap"])
 
 
-def network_nodes(docs: DataFrame, top: int = 100, annotator: Annotator | None = None, embedder: concepts.Embedder | None = None) -> DataFrame:
-    """(doc_id, node_id, text, vector): the concepts of each document."""
-    phrases = concepts.top_phrases(concepts.noun_phrases((annotator or RuleAnnotator()).tokens(docs)), top)
+def network_nodes(docs: DataFrame, top: int | None = None, annotator: Annotator | None = None, embedder: concepts.Embedder | None = None) -> DataFrame:
+    """(doc_id, node_id, text, vector): the concepts of each document, all of them or, with top, its commonest."""
+    if annotator is None:
+        phrases = local.noun_phrases(docs, concepts.STOP_WORDS, top)
+    else:
+        phrases = concepts.noun_phrases(annotator.tokens(docs))
+        phrases = phrases if top is None else concepts.top_phrases(phrases, top)
     return (embedder or concepts.NGramEmbedder()).embed(phrases).select("doc_id", F.col("phrase_idx").cast("long").alias("node_id"), F.col("phrase").alias("text"), "vector")
 
 
@@ -190,7 +194,7 @@ def network(nodes: DataFrame, least: float = 0.3, errors: bool = False) -> dict[
     return out
 
 
-def text_networks(docs: DataFrame, top: int = 100, least: float = 0.3, annotator: Annotator | None = None, embedder: concepts.Embedder | None = None) -> dict[str, DataFrame]:
+def text_networks(docs: DataFrame, top: int | None = None, least: float = 0.3, annotator: Annotator | None = None, embedder: concepts.Embedder | None = None) -> dict[str, DataFrame]:
     """Concepts (nodes) and networks of every document, and the errors of those that failed."""
     nodes = network_nodes(docs, top, annotator, embedder)
     return {"nodes": nodes} | network(nodes, least, errors=True)

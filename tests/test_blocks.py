@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import concepts, counted, lexical, lm, local, syntax
+from corpusloom.operators import concepts, counted, graph, lexical, lm, local, syntax
 from corpusloom.operators.annotate import RuleAnnotator, sentences, tokenize_text, with_sentences
 from corpusloom.plans import runners
 
@@ -108,3 +108,16 @@ def close(got, want, key, value):
 
 def test_window_metrics_are_those_of_an_annotator(docs):
     same(runners.window_metrics(docs), runners.window_metrics(docs, annotator=RuleAnnotator()))
+
+
+def test_concept_networks_hold_all_phrases(spark, monkeypatch):
+    """Before, the network had a document's first 100 phrases."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeéß") for _ in range(rng.randrange(3, 9))) + "x"
+    docs = spark.createDataFrame([(1, " of ".join(word() + " " + word() for _ in range(180))), (2, "the old house"), (3, None), (4, "old houses of old horses of hours")], "doc_id long, text string")
+    monkeypatch.setattr(local, "MANY", 50)
+    got = {(r.doc_id, r.src, r.dst): r.weight for r in local.concept_edges(docs, concepts.STOP_WORDS, 0.3).collect()}
+    nodes = runners.network_nodes(docs)
+    assert nodes.where("doc_id = 1").count() > 150 and max(k[2] for k in got) > 150
+    want = {(r.doc_id, r.src, r.dst): r.weight for r in graph.similarity_edges(nodes, 0.3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got) and {k[0] for k in got} == {1, 4}
